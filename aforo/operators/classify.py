@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -21,17 +22,19 @@ def _check(period_end: str) -> None:
         raise ValueError(f"period_end must be one of {PERIOD_ENDS}, not {period_end!r}")
 
 
+def _midnight(day: dt.date) -> Column:
+    return F.lit(day.isoformat()).cast("timestamp_ntz")
+
+
 def in_period(ts: Column, period: Period, period_end: str = "instant") -> Column:
     """Whether ``ts`` lies in the period.
 
     ``instant`` closes the period at the first instant of its last day, ``day`` takes that whole day.
     """
     _check(period_end)
-    start = F.lit(period.inicio.isoformat()).cast("timestamp_ntz")
-    last = F.lit(period.fin.isoformat()).cast("timestamp_ntz")
     if period_end == "instant":
-        return ts.between(start, last)
-    return (ts >= start) & (ts < last + F.expr("INTERVAL 1 DAY"))
+        return ts.between(_midnight(period.inicio), _midnight(period.fin))
+    return (ts >= _midnight(period.inicio)) & (ts < _midnight(period.fin + dt.timedelta(days=1)))
 
 
 def in_any_period(ts: Column, periods: Sequence[Period], period_end: str = "instant") -> Column:
@@ -40,10 +43,8 @@ def in_any_period(ts: Column, periods: Sequence[Period], period_end: str = "inst
 
 
 def _first_match(ts: Column, periods: Sequence[Period], period_end: str, value: str) -> Column:
-    chain = F
-    for p in periods:
-        chain = chain.when(in_period(ts, p, period_end), F.lit(getattr(p, value)))
-    return chain
+    cases = [(in_period(ts, p, period_end), getattr(p, value)) for p in periods]
+    return F.coalesce(*(F.when(test, F.lit(label)) for test, label in cases))
 
 
 def period_number(ts: Column, periods: Sequence[Period] = PERIODS, period_end: str = "instant") -> Column:
@@ -108,7 +109,8 @@ def classify_by_table(
         parts = F.when(F.col("_day") < F.col("fin"), whole_day).otherwise(midnight_only)
         days = days.select("num", "nombre", "_day", F.explode(parts).alias("_midnight"))
         keys.append("_midnight")
-        probe.append((F.date_trunc("day", F.col(ts)).cast("timestamp_ntz") == F.col(ts)).alias("_midnight"))
+        midnight = F.col(ts).cast("date").cast("timestamp_ntz")
+        probe.append((F.col(ts) == midnight).alias("_midnight"))
     winner = days.groupBy(*keys).agg(F.min(F.struct("num", "nombre")).alias("_p"))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("periodo_num", "periodo")]
     return (

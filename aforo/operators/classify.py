@@ -43,8 +43,10 @@ def in_any_period(ts: Column, periods: Sequence[Period], period_end: str = "inst
 
 
 def _first_match(ts: Column, periods: Sequence[Period], period_end: str, value: str) -> Column:
-    cases = [(in_period(ts, p, period_end), getattr(p, value)) for p in periods]
-    return F.coalesce(*(F.when(test, F.lit(label)) for test, label in cases))
+    if not periods:
+        raise ValueError("at least one period is needed")
+    head, *rest = ((in_period(ts, p, period_end), F.lit(getattr(p, value))) for p in periods)
+    return reduce(lambda chosen, case: chosen.when(*case), rest, F.when(*head))
 
 
 def period_number(ts: Column, periods: Sequence[Period] = PERIODS, period_end: str = "instant") -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aforo.operators.clean import TS
-from aforo.periods import PERIODS, Period
+from aforo.periods import PERIODS, Period, pick
 
 PERIOD_ENDS = ("instant", "day")
 
@@ -63,24 +63,26 @@ def classify(
     periods: Sequence[Period] = PERIODS,
     period_end: str = "instant",
     keep_unclassified: bool = False,
+    only: Sequence[int] | None = None,
     ts: str = TS,
 ) -> DataFrame:
     """Add ``periodo_num`` and ``periodo``, replacing labels set by folder.
 
+    ``only`` keeps the periods with these numbers, and has the scan read no more than their dates.
+
     Rows outside all periods are dropped through a range predicate, not through a test on the
     derived label, because only the former is pushed to the scan. Number and name are two
     independent expressions over ``ts``: whichever is not used is pruned.
     """
     stamp = F.col(ts)
     kept = [c for c in df.columns if c not in ("periodo_num", "periodo")]
+    number = period_number(stamp, periods, period_end)
     rows = df.select(*(F.col(f"`{c}`") for c in kept))
-    if not keep_unclassified:
+    if only is not None:
+        rows = rows.filter(in_any_period(stamp, pick(periods, only), period_end)).filter(number.isin(*only))
+    elif not keep_unclassified:
         rows = rows.filter(in_any_period(stamp, periods, period_end))
-    return rows.select(
-        "*",
-        period_number(stamp, periods, period_end).alias("periodo_num"),
-        period_name(stamp, periods, period_end).alias("periodo"),
-    )
+    return rows.select("*", number.alias("periodo_num"), period_name(stamp, periods, period_end).alias("periodo"))
 
 
 def classify_by_table(

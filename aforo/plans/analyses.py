@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aforo.functions.dates import day_type
+from aforo.operators.clean import TS
 from aforo.operators.stats import Stat, group_stats, named_stats, spec_stats
 
 # The statistics of each analysis, in the order of its result columns.
@@ -39,9 +40,9 @@ def with_day_type(df: DataFrame) -> DataFrame:
     return df.withColumn("tipo_día", day_type(F.col("es_fin_semana")))
 
 
-def _with_keys(df: DataFrame, *keys: str) -> DataFrame:
+def _dated(df: DataFrame) -> DataFrame:
     """Rows whose date could be read; a reading without a date belongs to no year or hour."""
-    return df.dropna(subset=list(keys))
+    return df.filter(F.col(TS).isNotNull())
 
 
 def period_stats(df: DataFrame, decimals: int | None = None) -> DataFrame:
@@ -73,24 +74,24 @@ def distinct_periods(df: DataFrame) -> DataFrame:
 
 
 def hour_profile(df: DataFrame, periodo: str, decimals: int | None = None) -> DataFrame:
-    """The load curve of one period, by hour. The period is picked before aggregating."""
+    """The load curve of one period, by hour. ``classify(..., only=[n])`` keeps the scan to that period."""
     return load_by_hour(df.filter(F.col("periodo") == periodo), decimals)
 
 
 def intensity_by_year(df: DataFrame, decimals: int | None = None, approx: bool = False) -> DataFrame:
     """Intensity by year, with the exact median (two passes) or an approximate one (one pass)."""
     pairs = [(name, "median_approx" if approx and stat == "median" else stat) for name, stat in YEAR_STATS]
-    return group_stats(_with_keys(df, "año"), ["año"], named_stats("intensidad", pairs), decimals)
+    return group_stats(_dated(df), ["año"], named_stats("intensidad", pairs), decimals)
 
 
 def intensity_by_hour(df: DataFrame, decimals: int | None = None) -> DataFrame:
-    return group_stats(_with_keys(df, "hora"), ["hora"], named_stats("intensidad", CLOCK_STATS), decimals)
+    return group_stats(_dated(df), ["hora"], named_stats("intensidad", CLOCK_STATS), decimals)
 
 
 def intensity_year_weekend(df: DataFrame, decimals: int | None = None) -> DataFrame:
     """Intensity by year, weekends against other days."""
     stats = named_stats("intensidad", YEAR_WEEKEND_STATS)
-    return group_stats(_with_keys(df, "año"), ["año", "es_fin_semana"], stats, decimals)
+    return group_stats(_dated(df), ["año", "es_fin_semana"], stats, decimals)
 
 
 def measure_stats(df: DataFrame, keys: Sequence[str], spec: dict[str, list[str]], decimals: int | None = None) -> DataFrame:

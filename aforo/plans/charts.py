@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from aforo.functions.dates import WEEKEND_LABEL, WORKDAY_LABEL
 from aforo.operators.profile import correlation
-from aforo.operators.reshape import mean_matrix, spread, wide
-from aforo.operators.stats import group_stats, spec_stats
+from aforo.operators.reshape import mean_matrix, spread
+from aforo.operators.stats import Stat, group_stats, spec_stats
 from aforo.periods import PERIODS, Period
 from aforo.plans import analyses
 
@@ -40,18 +40,19 @@ def load_curves_wide(df: DataFrame, periods: Sequence[Period] = PERIODS) -> Data
     return mean_matrix(df, "hora", "periodo", period_columns(periods), ["carga"])
 
 
-def _means(split: DataFrame) -> DataFrame:
-    return split.select(*split.columns[:2], *(F.col(f"{m}_mean").alias(m) for m in CHART_MEASURES))
+def _bars(df: DataFrame, column: str, values: Mapping[str, str]) -> DataFrame:
+    means = [Stat(m, m, "mean") for m in CHART_MEASURES]
+    return spread(group_stats(df, ["periodo", column], means, sort=False), "periodo", column, values, CHART_MEASURES)
 
 
 def day_type_bars(df: DataFrame) -> DataFrame:
-    """Mean load and intensity, period against day type, reshaped from the split."""
-    return spread(_means(analyses.day_type_split(df)), "periodo", "tipo_día", DAY_TYPES, CHART_MEASURES)
+    """Mean load and intensity, period against day type."""
+    return _bars(analyses.with_day_type(df), "tipo_día", DAY_TYPES)
 
 
 def road_type_bars(df: DataFrame, values: Mapping[str, str] = ROAD_TYPES) -> DataFrame:
-    """Mean load and intensity, period against road type, reshaped from the split."""
-    return spread(_means(analyses.road_type_split(df)), "periodo", "tipo_elem", values, CHART_MEASURES)
+    """Mean load and intensity, period against road type."""
+    return _bars(df, "tipo_elem", values)
 
 
 def hour_error_bars(df: DataFrame) -> DataFrame:
@@ -65,16 +66,3 @@ def hour_error_bars(df: DataFrame) -> DataFrame:
 def correlation_cells(df: DataFrame) -> DataFrame:
     """The cells of the correlation heat map."""
     return correlation(df)
-
-
-__all__ = [
-    "correlation_cells",
-    "day_type_bars",
-    "hour_error_bars",
-    "load_curves",
-    "load_curves_wide",
-    "mean_matrix",
-    "period_means",
-    "road_type_bars",
-    "wide",
-]

@@ -1,0 +1,107 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from aforo.functions.dates import day_type, is_weekend, parse_dayfirst, parse_either, parse_iso, weekday_number
+from aforo.operators.clean import clean
+
+
+def one(spark, text, parse):
+    return spark.createDataFrame([(text,)], "t string").select(parse(F.col("t"))).first()[0]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("2020-01-31 00:15:00", dt.datetime(2020, 1, 31, 0, 15)),
+        ("2020-02-31 00:00:00", None),
+        ("2020-02-29 23:59:59", dt.datetime(2020, 2, 29, 23, 59, 59)),
+        ("2019-02-29 00:00:00", None),
+        ("2020-01-31", None),
+        ("31/01/2020 00:00:00", None),
+        ("2020-01-31 24:00:00", None),
+        ("2019-3-31 02:15:00Z", None),
+        ("basura", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_iso_text(spark, text, expected):
+    assert one(spark, text, parse_iso) == expected
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("31/03/2019 02:15:00", dt.datetime(2019, 3, 31, 2, 15)),
+        ("03/31/2019 02:15:00", None),
+        ("2019-03-31 02:15:00", None),
+        ("31/02/2020 00:00:00", None),
+        ("1/3/2019 02:15:00", None),
+        (None, None),
+    ],
+)
+def test_dayfirst_text(spark, text, expected):
+    assert one(spark, text, parse_dayfirst) == expected
+
+
+def test_either_form(spark):
+    assert one(spark, "31/03/2019 02:15:00", parse_either) == one(spark, "2019-03-31 02:15:00", parse_either)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Paris", "America/New_York"])
+def test_hours_do_not_depend_on_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = [("2019-03-31 02:15:00",), ("2019-10-27 02:15:00",), ("2019-03-10 02:15:00",)]
+        df = clean(spark.createDataFrame(rows, "fecha string"))
+        assert [r.hora for r in df.collect()] == [2, 2, 2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize(
+    "day, sat_sun, fri_sat, sunday1, monday0",
+    [
+        ("2020-02-06", False, False, 5, 3),
+        ("2020-02-07", False, True, 6, 4),
+        ("2020-02-08", True, True, 7, 5),
+        ("2020-02-09", True, False, 1, 6),
+        ("2020-02-10", False, False, 2, 0),
+    ],
+)
+def test_weekend_rules(spark, day, sat_sun, fri_sat, sunday1, monday0):
+    t = F.lit(day).cast("timestamp_ntz")
+    row = spark.range(1).select(
+        is_weekend(t), is_weekend(t, "fri_sat"), weekday_number(t), weekday_number(t, "monday0"), day_type(is_weekend(t))
+    ).first()
+    assert tuple(row) == (sat_sun, fri_sat, sunday1, monday0, "Fin de semana" if sat_sun else "Laborable")
+
+
+def test_unknown_rules_are_refused(spark):
+    t = F.lit("2020-01-01").cast("timestamp_ntz")
+    for bad in (lambda: is_weekend(t, "sun"), lambda: weekday_number(t, "x"), lambda: clean(spark.range(1), nan="x")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_calendar_columns(spark, ts):
+    df = clean(spark.createDataFrame([(ts("2020-02-09 23:45:00"),)], "fecha timestamp_ntz"))
+    row = df.select("año", "mes", "día", "hora", "día_semana", "es_fin_semana").first()
+    assert tuple(row) == (2020, 2, 9, 23, 1, True)
+
+
+def test_clean_keeps_every_row_and_column(spark):
+    rows = [("basura", 1, "x"), (None, 2, "y"), ("2020-01-01 00:00:00", 3, None)]
+    df = clean(spark.createDataFrame(rows, "fecha string, carga int, otro string"))
+    assert df.count() == 3
+    assert df.columns[:3] == ["fecha", "carga", "otro"]
+    assert [r.fecha_ts is None for r in df.orderBy("carga").collect()] == [True, True, False]
+
+
+def test_cleaning_twice_is_cleaning_once(spark):
+    once = clean(spark.createDataFrame([("2020-01-01 05:00:00", 1.0)], "fecha string, carga double"))
+    assert clean(once).columns == once.columns
+    assert clean(once).collect() == once.collect()

@@ -1,7 +1,7 @@
 """All period analyses from one scan.
 
 Each analysis alone reads the whole table. ``summarize`` reads it once and keeps, for every
-period, hour, day type and road type, the count, mean, sum of squared deviations, minimum and
+period, hour, day type and road type, the count, sum, sum of squared deviations, minimum and
 maximum of each measure: a few hundred rows however many readings there are. These merge
 exactly, so ``rollup`` derives any coarser statistic from them.
 """
@@ -28,7 +28,7 @@ def summarize(df: DataFrame, measures: Sequence[str] = MEASURES, grain: Sequence
         c = F.col(m)
         moments += [
             F.count(c).alias(f"{m}_n"),
-            F.avg(c).alias(f"{m}_mean"),
+            F.sum(c.cast("double")).alias(f"{m}_sum"),
             (F.var_pop(c) * F.count(c)).alias(f"{m}_m2"),
             F.min(c).alias(f"{m}_min"),
             F.max(c).alias(f"{m}_max"),
@@ -43,11 +43,13 @@ def rollup(
     decimals: int | None = None,
 ) -> DataFrame:
     """Statistics by coarser keys. Squared deviations are moved to the common mean, which avoids cancellation."""
-    measures = list(dict.fromkeys(s.measure for s in stats))
     group = Window.partitionBy(*keys)
-    total = {m: F.sum(f"{m}_n").over(group) for m in measures}
-    mean = {m: F.sum(F.col(f"{m}_n") * F.col(f"{m}_mean")).over(group) / F.nullif(total[m], F.lit(0)) for m in measures}
-    centred = summary.select("*", *(mean[m].alias(f"_{m}_mean") for m in measures))
+
+    def mean_over_group(m: str) -> Column:
+        return F.try_divide(F.sum(f"{m}_sum").over(group), F.sum(f"{m}_n").over(group))
+
+    spread = dict.fromkeys(s.measure for s in stats if s.stat == "std")
+    centred = summary.select("*", *(mean_over_group(m).alias(f"_{m}_mean") for m in spread))
 
     def column(s: Stat) -> Column:
         m = s.measure
@@ -55,11 +57,11 @@ def rollup(
         if s.stat == "count":
             value = n
         elif s.stat == "mean":
-            value = F.first(f"_{m}_mean")
+            value = F.try_divide(F.sum(f"{m}_sum"), n)
         elif s.stat == "std":
-            shift = F.col(f"{m}_mean") - F.col(f"_{m}_mean")
-            spread = F.sum(F.col(f"{m}_m2") + F.col(f"{m}_n") * shift * shift)
-            value = F.when(n > 1, F.sqrt(spread / F.nullif(n - 1, F.lit(0))))
+            shift = F.try_divide(F.col(f"{m}_sum"), F.col(f"{m}_n")) - F.col(f"_{m}_mean")
+            squares = F.sum(F.col(f"{m}_m2") + F.col(f"{m}_n") * shift * shift)
+            value = F.sqrt(F.try_divide(squares, n - 1))
         elif s.stat in ("min", "max"):
             value = (F.min if s.stat == "min" else F.max)(f"{m}_{s.stat}")
         else:

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aforo.operators.clean import TS
-from aforo.periods import PERIODS, Period, pick
+from aforo.periods import PERIODS, Period
 
 PERIOD_ENDS = ("instant", "day")
+CALENDAR_FIRST = dt.date(1900, 1, 1)
+CALENDAR_LAST = dt.date(2199, 12, 31)
 
 
 def _check(period_end: str) -> None:
@@ -23,7 +25,7 @@ def _check(period_end: str) -> None:
 
 
 def _midnight(day: dt.date) -> Column:
-    return F.lit(day.isoformat()).cast("timestamp_ntz")
+    return F.expr(f"timestamp_ntz'{day.isoformat()}'")
 
 
 def in_period(ts: Column, period: Period, period_end: str = "instant") -> Column:
@@ -37,25 +39,23 @@ def in_period(ts: Column, period: Period, period_end: str = "instant") -> Column
     return (ts >= _midnight(period.inicio)) & (ts < _midnight(period.fin + dt.timedelta(days=1)))
 
 
+def _first_match(cases: Sequence[tuple[Column, object]]) -> Column:
+    head, *rest = cases
+    return reduce(lambda chosen, case: chosen.when(*case), rest, F.when(*head))
+
+
 def in_any_period(ts: Column, periods: Sequence[Period], period_end: str = "instant") -> Column:
     """The same test over all periods: plain comparisons, so it reaches the Parquet scan."""
     return reduce(or_, (in_period(ts, p, period_end) for p in periods))
 
 
-def _first_match(ts: Column, periods: Sequence[Period], period_end: str, value: str) -> Column:
-    if not periods:
-        raise ValueError("at least one period is needed")
-    head, *rest = ((in_period(ts, p, period_end), F.lit(getattr(p, value))) for p in periods)
-    return reduce(lambda chosen, case: chosen.when(*case), rest, F.when(*head))
-
-
 def period_number(ts: Column, periods: Sequence[Period] = PERIODS, period_end: str = "instant") -> Column:
     """Number of the first period that holds ``ts``, NULL outside all of them."""
-    return _first_match(ts, periods, period_end, "num")
+    return _first_match([(in_period(ts, p, period_end), p.num) for p in periods])
 
 
 def period_name(ts: Column, periods: Sequence[Period] = PERIODS, period_end: str = "instant") -> Column:
-    return _first_match(ts, periods, period_end, "nombre")
+    return _first_match([(in_period(ts, p, period_end), p.nombre) for p in periods])
 
 
 def classify(
@@ -74,21 +74,31 @@ def classify(
     derived label, because only the former is pushed to the scan. Number and name are two
     independent expressions over ``ts``: whichever is not used is pruned.
     """
-    stamp = F.col(ts)
-    kept = [c for c in df.columns if c not in ("periodo_num", "periodo")]
-    number = period_number(stamp, periods, period_end)
-    rows = df.select(*(F.col(f"`{c}`") for c in kept))
+    if not periods:
+        raise ValueError("at least one period is needed")
+    inside = {p.num: in_period(F.col(ts), p, period_end) for p in periods}
+    number = _first_match([(inside[p.num], p.num) for p in periods])
+    name = _first_match([(inside[p.num], p.nombre) for p in periods])
+    rows = df
     if only is not None:
-        rows = rows.filter(in_any_period(stamp, pick(periods, only), period_end)).filter(number.isin(*only))
+        rows = rows.filter(reduce(or_, (inside[n] for n in only))).filter(number.isin(*only))
     elif not keep_unclassified:
-        rows = rows.filter(in_any_period(stamp, periods, period_end))
-    return rows.select("*", number.alias("periodo_num"), period_name(stamp, periods, period_end).alias("periodo"))
+        rows = rows.filter(reduce(or_, inside.values()))
+    return rows.withColumns({"periodo_num": number, "periodo": name})
+
+
+def _covered_days(inicio: Column, fin: Column) -> Column:
+    """The days of a period; an error outside the calendar that bounds the broadcast."""
+    inside = (inicio >= F.lit(CALENDAR_FIRST)) & (fin <= F.lit(CALENDAR_LAST))
+    refuse = F.raise_error(f"period outside {CALENDAR_FIRST}..{CALENDAR_LAST}: use broadcast=False")
+    return F.when(inside, F.sequence(inicio, fin)).otherwise(refuse)
 
 
 def classify_by_table(
     df: DataFrame,
     table: DataFrame,
     period_end: str = "instant",
+    broadcast: bool = True,
     ts: str = TS,
 ) -> DataFrame:
     """Left lookup of each reading in a period table given as data (``num, nombre, inicio, fin``).
@@ -96,15 +106,19 @@ def classify_by_table(
     Period bounds are dates, so the range test is an equality on the calendar day: the table is
     unfolded to one row per covered day (and, for ``instant``, whether the reading falls exactly
     on midnight, the only part of a last day that still counts). The lowest number wins where
-    periods overlap, so a reading never multiplies. The lookup side holds at most two rows per
-    calendar day however many readings or periods there are; Spark picks broadcast or shuffle
-    from its size, and a range join (always a nested loop) is avoided.
+    periods overlap, so a reading never multiplies, and no nested-loop range join is planned.
+
+    With ``broadcast`` the readings are not shuffled. The lookup side then has a fixed bound,
+    two rows per calendar day of 1900 to 2199, about 220 thousand, however many periods there are;
+    a period outside those years is an error. ``broadcast=False`` takes any dates and leaves the
+    join to Spark.
     """
     _check(period_end)
     for name in ("inicio", "fin"):
         if not isinstance(table.schema[name].dataType, T.DateType):
             raise TypeError(f"period column {name} must be a date")
-    days = table.select("num", "nombre", "fin", F.explode(F.sequence("inicio", "fin")).alias("_day"))
+    days_of = _covered_days if broadcast else F.sequence
+    days = table.select("num", "nombre", "fin", F.explode(days_of(F.col("inicio"), F.col("fin"))).alias("_day"))
     keys = ["_day"]
     probe = [F.col(ts).cast("date").alias("_day")]
     if period_end == "instant":
@@ -119,6 +133,6 @@ def classify_by_table(
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("periodo_num", "periodo")]
     return (
         df.select(*kept, *probe)
-        .join(winner, keys, "left")
+        .join(F.broadcast(winner) if broadcast else winner, keys, "left")
         .select(*kept, F.col("_p.num").alias("periodo_num"), F.col("_p.nombre").alias("periodo"))
     )

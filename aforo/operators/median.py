@@ -38,10 +38,9 @@ def _median(df: DataFrame, summary: DataFrame, keys: Sequence[str], measure: str
         F.col(total).alias("_n"),
     )
     group = [f"_k{i}" for i in range(len(keys))]
-    values = df.select(
-        *(F.col(f"`{k}`").alias(g) for k, g in zip(keys, group)),
-        _present(df, measure).alias("_v"),
-    ).filter(F.col("_v").isNotNull())
+    value = F.col(f"`{measure}`")
+    present = value.isNotNull() & ~F.isnan(value) if is_floating(df.schema[measure].dataType) else value.isNotNull()
+    values = df.filter(present).select(*(F.col(f"`{k}`").alias(g) for k, g in zip(keys, group)), value.alias("_v"))
     same_group = [F.col(f"_k{i}").eqNullSafe(F.col(f"_g{i}")) for i in range(len(keys))]
     clamped = F.least(F.greatest(F.col("_v"), F.col("_low")), F.col("_high"))
     counts = (

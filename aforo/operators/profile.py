@@ -18,6 +18,9 @@ from aforo.functions.values import is_floating, missing, nan_to_null, number_fro
 # The readings the study counts as invalid.
 INVALID_RULES: dict[str, str] = {"vmed_negativa": "vmed < 0"}
 
+# Aggregation state of one correlation, in fields.
+CORR_BUFFERS = 6
+
 
 def _long(totals: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
     """Unfold a one-row table into one row per entry."""
@@ -86,20 +89,32 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every ordered pair of numeric columns.
 
-    A row counts for a pair when both values are present. All pairs share one pass; each
-    unordered pair is computed once.
+    A row counts for a pair when both values are present. One pass in either of two shapes: all
+    pairs side by side in one aggregate while that is small enough for generated code, else
+    each row once per column, grouped by that column, against all columns.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
 
     def value(name: str) -> Column:
         column = F.col(f"`{name}`")
-        return nan_to_null(column) if is_floating(df.schema[name].dataType) else column
+        return nan_to_null(column) if is_floating(df.schema[name].dataType) else column.cast("double")
 
     pairs = list(combinations_with_replacement(names, 2))
-    totals = df.agg(*(F.corr(value(a), value(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
-    cells = [(a, b, F.col(f"_{i}")) for i, (a, b) in enumerate(pairs)]
-    cells += [(b, a, c) for a, b, c in cells if a != b]
-    return _long(totals, [(F.lit(a), F.lit(b), c) for a, b, c in cells], ("columna_a", "columna_b", "correlacion"))
+    titles = ("columna_a", "columna_b", "correlacion")
+    if len(pairs) * CORR_BUFFERS <= int(df.sparkSession.conf.get("spark.sql.codegen.maxFields")):
+        totals = df.agg(*(F.corr(value(a), value(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
+        cells = [(a, b, F.col(f"_{i}")) for i, (a, b) in enumerate(pairs)]
+        cells += [(b, a, c) for a, b, c in cells if a != b]
+        return _long(totals, [(F.lit(a), F.lit(b), c) for a, b, c in cells], titles)
+
+    values = df.select(*(value(n).alias(f"_{i}") for i, n in enumerate(names)))
+    sides = F.array(*(F.struct(F.lit(n).alias("columna_a"), F.col(f"_{i}").alias("_x")) for i, n in enumerate(names)))
+    totals = (
+        values.select("*", F.inline(sides))
+        .groupBy("columna_a")
+        .agg(*(F.corr("_x", f"_{i}").alias(f"_r{i}") for i in range(len(names))))
+    )
+    return _long(totals, [(F.col("columna_a"), F.lit(n), F.col(f"_r{i}")) for i, n in enumerate(names)], titles)
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from aforo.operators.classify import classify
-from aforo.operators.clean import clean
+from aforo.operators.clean import TS, clean
 from aforo.periods import PERIODS, Period, pick
 from aforo.plans import summary
 from aforo.sources import lake, readings, sinks
@@ -65,7 +65,7 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description="Period analyses of sensor readings")
     parser.add_argument("root", help="folder of the period folders, or of a Parquet copy with --parquet")
     parser.add_argument("output")
-    parser.add_argument("--periods", type=int, nargs="+", help="read only the folders of these periods")
+    parser.add_argument("--periods", type=int, nargs="+", help="read only the folders of these periods (with --parquet: only their dates)")
     parser.add_argument("--ingest", metavar="PATH", help="write the readings as Parquet by month and analyse that")
     parser.add_argument("--parquet", action="store_true", help="root is such a copy")
     parser.add_argument("--date-format", choices=("iso", "dayfirst", "either"), default="iso")
@@ -78,12 +78,13 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     options = Options(args.date_format, args.period_end, args.weekend, args.nan, args.decimals)
+    if args.ingest:
+        # The copy keeps NaN, so that later runs can choose.
+        lake.write_readings(load(spark, args.root, args.periods, replace(options, nan="propagate")), args.ingest)
     if args.parquet or args.ingest:
-        if args.ingest:
-            lake.write_readings(load(spark, args.root, args.periods, options), args.ingest)
-        # Bounds are pushed by the classification; naming the periods also prunes the month folders.
-        df = lake.read_readings(spark, args.ingest or args.root, PERIODS, options.period_end)
-        df = clean(df, weekend=options.weekend, nan=options.nan, fecha="fecha_ts") if args.parquet else df
+        dates = pick(PERIODS, args.periods) if args.parquet and args.periods else PERIODS
+        stored = lake.read_readings(spark, args.ingest or args.root, dates, options.period_end)
+        df = clean(stored, fecha=TS, weekend=options.weekend, nan=options.nan)
     else:
         df = load(spark, args.root, args.periods, options)
     analyse(df, args.output, options)

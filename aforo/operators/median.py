@@ -2,10 +2,10 @@
 
 The built-in ``median`` keeps all distinct values of a group in one task's memory. Here a first
 pass computes, next to the other statistics, a quantile sketch whose guaranteed error brackets
-the median of each group. In a second pass every value is clamped into its group's bracket:
-that leaves the median where it is, and nearly all rows fall on the two bracket ends, where the
-count by value folds them before the shuffle. What is left to order is about one distinct value
-in a thousand.
+the median of each group. In a second pass the values outside their group's bracket are put
+down as minus or plus infinity: that leaves the median where it is, and nearly all rows fall
+on these two, where counting by value folds them before the shuffle. What is left to order is
+about one distinct value in a thousand.
 """
 
 from __future__ import annotations
@@ -22,80 +22,94 @@ from aforo.sources.scratch import scratch_path
 SKETCH_ACCURACY = 10_000
 # The sketch errs by at most 1/accuracy of the ranks; five times that keeps the median inside.
 BRACKET = 5 / SKETCH_ACCURACY
+INFINITY = float("inf")
 
 
-def _present(df: DataFrame, measure: str) -> Column:
-    column = F.col(f"`{measure}`")
+def _number(df: DataFrame, measure: str) -> Column:
+    """The measure as a double, NULL where missing."""
+    column = F.col(f"`{measure}`").cast("double")
     return nan_to_null(column) if is_floating(df.schema[measure].dataType) else column
 
 
-def _median(df: DataFrame, summary: DataFrame, keys: Sequence[str], measure: str, name: str) -> DataFrame:
-    low, high, total = (f"_{end}_{measure}" for end in ("low", "high", "total"))
-    brackets = summary.select(
+def _first_pass(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat], measures: Sequence[str]) -> DataFrame:
+    """One row per group: the mergeable statistics and the bracket of each median.
+
+    Stored, so that group numbers are fixed and Spark knows the true size when it joins.
+    """
+    columns = [s.column() for s in stats]
+    for i, measure in enumerate(measures):
+        ends = F.percentile_approx(_number(df, measure), [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY)
+        columns += [ends[0].alias(f"_low{i}"), ends[1].alias(f"_high{i}")]
+    path = scratch_path(df.sparkSession, "median")
+    groups = df.groupBy(*keys).agg(*columns)
+    groups.select("*", F.monotonically_increasing_id().alias("_group")).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _bracketed(i: int) -> Column:
+    value = F.col(f"_v{i}")
+    below, above = value < F.col(f"_low{i}"), value > F.col(f"_high{i}")
+    return F.when(below, -INFINITY).when(above, INFINITY).otherwise(value)
+
+
+def _medians(df: DataFrame, groups: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """``_group`` and one column per measure, ``_median<i>``."""
+    values = df.select(
+        *(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)),
+        *(_number(df, m).alias(f"_v{i}") for i, m in enumerate(measures)),
+    )
+    brackets = groups.select(
         *(F.col(f"`{k}`").alias(f"_g{i}") for i, k in enumerate(keys)),
-        F.col(low).alias("_low"),
-        F.col(high).alias("_high"),
-        F.col(total).alias("_n"),
+        "_group",
+        *(f"_{end}{i}" for i in range(len(measures)) for end in ("low", "high")),
     )
-    group = [f"_k{i}" for i in range(len(keys))]
-    value = F.col(f"`{measure}`")
-    present = value.isNotNull() & ~F.isnan(value) if is_floating(df.schema[measure].dataType) else value.isNotNull()
-    values = df.filter(present).select(*(F.col(f"`{k}`").alias(g) for k, g in zip(keys, group)), value.alias("_v"))
     same_group = [F.col(f"_k{i}").eqNullSafe(F.col(f"_g{i}")) for i in range(len(keys))]
-    clamped = F.least(F.greatest(F.col("_v"), F.col("_low")), F.col("_high"))
-    counts = (
-        values.join(brackets, same_group)
-        .groupBy(*group, "_n", "_low", "_high", clamped.alias("_c"))
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.count_if(F.col("_v") < F.col("_low")).alias("_below"),
-            F.count_if(F.col("_v") > F.col("_high")).alias("_above"),
+    joined = values.join(brackets, same_group)
+    if len(measures) == 1:
+        long = joined.select("_group", F.lit(0).alias("_measure"), _bracketed(0).alias("_value"))
+    else:
+        entries = (
+            F.struct(F.lit(i).alias("_measure"), _bracketed(i).alias("_value")) for i in range(len(measures))
         )
+        long = joined.select("_group", F.inline(F.array(*entries)))
+    counts = long.filter(F.col("_value").isNotNull()).groupBy("_group", "_measure", "_value").agg(F.count(F.lit(1)).alias("_rows"))
+
+    series = Window.partitionBy("_group", "_measure")
+    upto = series.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.select("*", F.sum("_rows").over(upto).alias("_upto"), F.sum("_rows").over(series).alias("_n"))
+    # The two middle values; one and the same when the count is odd.
+    first, second = (
+        F.min(F.when(F.col("_upto") >= F.floor((F.col("_n") + k) / 2), F.col("_value"))) for k in (1, 2)
     )
-    upto = Window.partitionBy(*group).orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.select("*", F.sum("_rows").over(upto).alias("_upto"))
-    # Ranks of the two middle values; the same rank when the count is odd.
-    first = F.floor((F.col("_n") + 1) / 2)
-    second = F.floor((F.col("_n") + 2) / 2)
-    found = ranked.groupBy(*group, "_n").agg(
-        F.min(F.when(F.col("_upto") >= first, F.col("_c"))).cast("double").alias("_a"),
-        F.min(F.when(F.col("_upto") >= second, F.col("_c"))).cast("double").alias("_b"),
-        F.sum("_below").alias("_below"),
-        F.sum("_above").alias("_above"),
-    )
-    bracketed = (F.col("_below") < first) & (F.col("_above") < F.col("_n") - second + 1)
-    middle = (F.col("_a") + F.col("_b")) / 2
-    return found.select(
-        *(F.col(g).alias(k) for g, k in zip(group, keys)),
-        F.when(bracketed, middle).otherwise(F.raise_error("median outside its bracket")).alias(name),
+    middle = ranked.groupBy("_group", "_measure").agg(((first + second) / 2).alias("_median"))
+    by_measure = (F.max(F.when(F.col("_measure") == i, F.col("_median"))).alias(f"_median{i}") for i in range(len(measures)))
+    return middle.groupBy("_group").agg(*by_measure)
+
+
+def _checked(i: int) -> Column:
+    """The median, or an error if it fell outside its bracket. Infinities in the data itself are none."""
+    median = F.col(f"_median{i}")
+    cut_below, cut_above = F.col(f"_low{i}") > -INFINITY, F.col(f"_high{i}") < INFINITY
+    outside = (
+        ((median == -INFINITY) & cut_below)
+        | ((median == INFINITY) & cut_above)
+        | (F.isnan(median) & (cut_below | cut_above))
     )
+    return F.when(outside, F.raise_error("median outside its bracket")).otherwise(median)
 
 
 def group_stats_with_median(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat]) -> DataFrame:
-    """Like ``group_stats``, with exact medians among the statistics. NaN counts as missing in a median.
+    """Like ``group_stats``, with exact medians among the statistics; missing and NaN are passed over.
 
-    Runs one job: the first pass is written to the scratch folder, one row per group, so that
-    its true size is known when Spark chooses how to join it in the second pass.
+    Two scans whatever the number of medians, the first of which runs at once.
     """
-    medians = [s for s in stats if s.stat == "median"]
-    others = [s for s in stats if s.stat != "median"]
-    first_pass = [s.column() for s in others]
-    for measure in dict.fromkeys(s.measure for s in medians):
-        value = _present(df, measure)
-        ends = F.percentile_approx(value, [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY)
-        first_pass += [
-            ends[0].alias(f"_low_{measure}"),
-            ends[1].alias(f"_high_{measure}"),
-            F.count(value).alias(f"_total_{measure}"),
-        ]
-    path = scratch_path(df.sparkSession, "median")
-    df.groupBy(*keys).agg(*first_pass).write.parquet(path)
-    summary = df.sparkSession.read.parquet(path)
-
-    result = summary
-    for s in medians:
-        part = _median(df, summary, keys, s.measure, s.name)
-        part = part.select(*(F.col(f"`{k}`").alias(f"_m{i}") for i, k in enumerate(keys)), f"`{s.name}`")
-        same_group = [F.col(f"`{k}`").eqNullSafe(F.col(f"_m{i}")) for i, k in enumerate(keys)]
-        result = result.join(part, same_group, "left").drop(*(f"_m{i}" for i in range(len(keys))))
-    return result.select(*(F.col(f"`{k}`") for k in keys), *(F.col(f"`{s.name}`") for s in stats))
+    measures = list(dict.fromkeys(s.measure for s in stats if s.stat == "median"))
+    groups = _first_pass(df, keys, [s for s in stats if s.stat != "median"], measures)
+    found = groups.join(_medians(df, groups, keys, measures), "_group", "left")
+
+    def column(s: Stat) -> Column:
+        if s.stat == "median":
+            return _checked(measures.index(s.measure)).alias(s.name)
+        return F.col(f"`{s.name}`")
+
+    return found.select(*(F.col(f"`{k}`") for k in keys), *(column(s) for s in stats))

@@ -1,0 +1,100 @@
+import csv
+from pathlib import Path
+
+import pytest
+
+from aforo import job
+from aforo.operators.classify import classify
+from aforo.operators.clean import clean
+from aforo.periods import PERIODS
+from aforo.plans import analyses
+from aforo.sources import readings
+
+HEADER = "id;fecha;tipo_elem;intensidad;ocupacion;carga;vmed"
+
+
+@pytest.fixture
+def root(tree):
+    """Two sensors, every six hours, around the turn from the second to the third period."""
+    for folder, month, days in (
+        (PERIODS[1].carpeta, "03-2020", [f"2020-03-{d:02}" for d in range(13, 19)]),
+        (PERIODS[3].carpeta, "05-2020", ["2020-05-01", "2020-05-02", "2020-05-03"]),
+    ):
+        rows = []
+        for i, day in enumerate(days):
+            for hour in (0, 6, 12, 18):
+                rows.append(f"1;{day} {hour:02}:00:00;URB;{100 * i + hour};{i + hour / 8};{i * 5 + hour};{i - 1}")
+                rows.append(f"2;{day} {hour:02}:00:00;M30;{900 * i + hour};NaN;{i * 7 + hour};{i}")
+        tree(folder, month, rows, HEADER)
+    return tree.root
+
+
+def run(spark, *argv):
+    job.run(spark, job.arguments([str(a) for a in argv]))
+
+
+def table(path):
+    parts = sorted(Path(path).glob("part-*.csv"))
+    assert len(parts) == 1
+    with open(parts[0], encoding="utf-8", newline="") as f:
+        return list(csv.DictReader(f))
+
+
+def test_results_are_those_of_the_analyses(spark, root, tmp_path):
+    out = tmp_path / "salida"
+    run(spark, root, out)
+    df = classify(clean(readings.read_all(spark, root)))
+    for name, build in (
+        ("analisis_01_intensidad_ocupacion_carga", analyses.period_stats),
+        ("analisis_02_carga_por_hora", analyses.load_by_hour),
+        ("analisis_03_laborables_vs_finde", analyses.day_type_split),
+        ("analisis_04_tipo_via", analyses.road_type_split),
+        ("instancias_por_periodo", analyses.rows_per_period),
+    ):
+        expected = build(df)
+        got = table(out / name)
+        assert list(got[0]) == expected.columns
+        for line, row in zip(got, expected.collect(), strict=True):
+            for column, value in row.asDict().items():
+                if isinstance(value, float):
+                    assert float(line[column]) == pytest.approx(value, rel=1e-9)
+                else:
+                    assert line[column] == ("" if value is None else str(value))
+
+
+def test_variants(spark, root, tmp_path):
+    def counts(name, *options):
+        run(spark, root, tmp_path / name, *options)
+        return {r["periodo"]: int(r["count"]) for r in table(tmp_path / name / "instancias_por_periodo")}
+
+    assert counts("a") == {"Primeros casos": 18, "Confinamiento estricto": 34, "Nueva normalidad": 8}
+    assert counts("b", "--period-end", "day") == {"Primeros casos": 24, "Confinamiento estricto": 40, "Nueva normalidad": 8}
+    assert counts("c", "--periods", 2) == {"Primeros casos": 18, "Confinamiento estricto": 24}
+
+
+def test_propagated_nan_is_blank(spark, root, tmp_path):
+    run(spark, root, tmp_path / "n", "--nan", "propagate")
+    split = {(r["periodo"], r["tipo_elem"]): r["ocupacion_mean"] for r in table(tmp_path / "n" / "analisis_04_tipo_via")}
+    assert all((v == "") == (kind == "M30") for (_, kind), v in split.items())
+    assert all(r["ocupacion_mean"] == "" for r in table(tmp_path / "n" / "analisis_01_intensidad_ocupacion_carga"))
+
+
+def test_rounded(spark, root, tmp_path):
+    run(spark, root, tmp_path / "r", "--decimals", 2)
+    means = [r["carga_mean"] for r in table(tmp_path / "r" / "analisis_01_intensidad_ocupacion_carga")]
+    assert means and all(len(m.split(".")[1]) <= 2 for m in means)
+
+
+def test_ingested_copy_gives_the_same(spark, root, tmp_path):
+    lake = tmp_path / "lago"
+    run(spark, root, tmp_path / "x")
+    run(spark, root, tmp_path / "y", "--ingest", lake)
+    run(spark, lake, tmp_path / "z", "--parquet")
+    run(spark, lake, tmp_path / "w", "--parquet", "--weekend", "fri_sat")
+    for name in job.RESULTS:
+        assert table(tmp_path / "x" / name) == table(tmp_path / "y" / name) == table(tmp_path / "z" / name)
+    name = "analisis_03_laborables_vs_finde"
+    assert table(tmp_path / "x" / name) != table(tmp_path / "w" / name)
+    run(spark, lake, tmp_path / "v", "--parquet", "--nan", "propagate", "--periods", 3)
+    split = table(tmp_path / "v" / "analisis_04_tipo_via")
+    assert [(r["tipo_elem"], r["ocupacion_mean"] == "") for r in split] == [("M30", True), ("URB", False)]

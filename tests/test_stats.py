@@ -108,6 +108,13 @@ def test_median_passes_over_nan(spark):
     assert got == {"a": 2.0, "b": None}
 
 
+def test_median_of_infinities(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", inf), ("a", inf), ("a", 1.0), ("b", -inf), ("b", 2.0), ("c", inf)], "k string, v double")
+    got = {r.k: r.v_median for r in group_stats(df, ["k"], spec_stats({"v": ["median"]})).collect()}
+    assert got == {"a": inf, "b": -inf, "c": inf}
+
+
 def test_approximate_median_is_one_aggregate(spark, plan):
     df = spark.range(1001).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
     result = group_stats(df, ["k"], spec_stats({"v": ["median_approx"]}), sort=False)

@@ -39,8 +39,9 @@ def clean(
     ``nan="skip"`` turns NaN into NULL so that aggregates pass over it, ``"propagate"`` keeps it.
     ``ranges`` maps a column to its valid closed range; values outside become NULL.
 
-    Two selects: the first fixes the timestamp, the second reads it by name, so that Catalyst
-    can push date predicates to the scan and parses each text date once.
+    A date column is passed on as it is, so that predicates on ``fecha_ts`` reach the scan. A text
+    date is parsed in a one-row ``inline``: predicates stay above it, where each would otherwise
+    be rewritten to parse the text again, once per period bound.
     """
     if nan not in ("skip", "propagate"):
         raise ValueError(f"unknown NaN policy {nan!r}")
@@ -55,6 +56,8 @@ def clean(
             column = within(column, *ranges[field.name])
         return column.alias(field.name)
 
-    kept = [f for f in df.schema.fields if f.name not in derived]
-    stamped = df.select(*(value(f) for f in kept), timestamp_of(df, fecha, date_format).alias(TS))
-    return stamped.select("*", *calendar(F.col(TS), weekend, weekday))
+    kept = [value(f) for f in df.schema.fields if f.name not in derived]
+    stamp = timestamp_of(df, fecha, date_format).alias(TS)
+    if isinstance(df.schema[fecha].dataType, T.StringType):
+        stamp = F.inline(F.array(F.struct(stamp)))
+    return df.select(*kept, stamp).select("*", *calendar(F.col(TS), weekend, weekday))

@@ -326,7 +326,7 @@ def corr_matrix(spark, sf_dir):
 
 @query
 def head_rows(spark, sf_dir):
-    return profile.first_rows(cleaned(spark, sf_dir), 70, ["fecha_ts", "event_id"]).select(*READING)
+    return profile.first_rows(cleaned(spark, sf_dir), ["fecha_ts", "event_id"], 70).select(*READING)
 
 
 # Union and reshaping.

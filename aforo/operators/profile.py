@@ -117,6 +117,6 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return _long(totals, [(F.col("columna_a"), F.lit(n), F.col(f"_r{i}")) for i, n in enumerate(names)], titles)
 
 
-def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+def first_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
     """The first ``n`` rows in the given order: each task keeps ``n``, nothing is sorted in full."""
     return df.orderBy(*order).limit(n)

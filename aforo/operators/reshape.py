@@ -41,6 +41,13 @@ def mean_matrix(df: DataFrame, index: str, columns: str, values: Mapping[str, st
 
 
 def categories(df: DataFrame, column: str) -> dict[str, str]:
-    """The categories present in the data, as a ``values`` mapping. Runs a job on the distinct values."""
-    found = df.select(column).distinct().filter(F.col(column).isNotNull()).orderBy(column).collect()
+    """The categories present in the data, as a ``values`` mapping. Runs a job on the distinct values.
+
+    Spark's own limit on pivot columns holds here too: more categories are an error.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    distinct = df.select(column).distinct().filter(F.col(column).isNotNull())
+    found = distinct.orderBy(column).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} categories")
     return {r[0]: str(r[0]).strip().lower().replace(" ", "_") for r in found}

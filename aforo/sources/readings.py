@@ -74,16 +74,12 @@ def empty_text(spark: SparkSession, columns: Sequence[str] = tuple(READING_TYPES
     return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
-def read_text_cells(spark: SparkSession, paths: str | Sequence[str], sep: str = SEPARATOR) -> DataFrame:
-    """All month files as text columns, bound by name; columns a file lacks are NULL.
-
-    One scan per distinct header. ``enforceSchema`` is off, so every part file's own header is
-    checked as it is read, and a file that deviates from its month fails instead of being mixed.
-    """
+def _scan(spark: SparkSession, paths: str | Sequence[str], sep: str) -> DataFrame | None:
+    """Text cells of all month files, one scan per distinct header; None when there are no files."""
     months = month_files(spark, paths)
     if not months:
         log.warning("no month files under %s", paths)
-        return empty_text(spark)
+        return None
     scans = []
     for header, files in months_by_header(spark, months, sep).items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
@@ -91,6 +87,16 @@ def read_text_cells(spark: SparkSession, paths: str | Sequence[str], sep: str =
     return union_by_name(scans)
 
 
+def read_text_cells(spark: SparkSession, paths: str | Sequence[str], sep: str = SEPARATOR) -> DataFrame:
+    """All month files as text columns, bound by name; columns a file lacks are NULL.
+
+    ``enforceSchema`` is off, so every part file's own header is checked as it is read, and a
+    file that deviates from its month fails instead of being mixed.
+    """
+    found = _scan(spark, paths, sep)
+    return empty_text(spark) if found is None else found
+
+
 def typed(raw: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
     """Cast the text cells; unnamed columns pass through as text, absent named ones are added as NULL."""
     types = {**READING_TYPES, **(types or {})}
@@ -126,7 +132,13 @@ def read_all(spark: SparkSession, root: str, **options) -> DataFrame:
     return read_files(spark, f"{root}/{ALL_MONTHS}", **options)
 
 
-def read_folder(spark: SparkSession, root: str, period: Period, **options) -> DataFrame | None:
+def read_folder(
+    spark: SparkSession,
+    root: str,
+    period: Period,
+    types: Mapping[str, str] | None = None,
+    sep: str = SEPARATOR,
+) -> DataFrame | None:
     """One period's folder, its rows labelled with that period; None when it has no folder or files.
 
     The label is a constant of the scan, not worked out from each row's path. It is coarse:
@@ -134,13 +146,11 @@ def read_folder(spark: SparkSession, root: str, period: Period, **options) -> Da
     """
     if period.carpeta is None:
         return None
-    paths = f"{root}/{period.carpeta}/{FOLDER_MONTHS}"
-    if not month_files(spark, paths):
-        log.warning("period %s: no month files under %s", period.num, paths)
+    found = _scan(spark, f"{root}/{period.carpeta}/{FOLDER_MONTHS}", sep)
+    if found is None:
         return None
-    return read_files(spark, paths, **options).select(
-        "*", F.lit(period.num).alias("periodo_num"), F.lit(period.nombre).alias("periodo")
-    )
+    label = (F.lit(period.num).alias("periodo_num"), F.lit(period.nombre).alias("periodo"))
+    return typed(found, types).select("*", *label)
 
 
 def read_periods(spark: SparkSession, root: str, periods: Sequence[Period] = PERIODS, **options) -> DataFrame:

@@ -108,6 +108,31 @@ def test_pivot_from_rows_equals_pivot_of_the_split(spark):
         assert tuple(a) == pytest.approx(tuple(b))
 
 
+def test_too_many_categories_are_refused(spark):
+    spark.conf.set("spark.sql.pivotMaxValues", "3")
+    try:
+        assert len(reshape.categories(spark.range(3), "id")) == 3
+        with pytest.raises(ValueError):
+            reshape.categories(spark.range(4), "id")
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+def test_both_shapes_of_the_correlation_agree(spark):
+    df = lines(spark, SF).select("id", "intensidad", "ocupacion", "carga", "vmed")
+
+    def cells():
+        return {(r.columna_a, r.columna_b): r.correlacion for r in profile.correlation(df).collect()}
+
+    side_by_side = cells()
+    spark.conf.set("spark.sql.codegen.maxFields", "50")
+    try:
+        by_column = cells()
+    finally:
+        spark.conf.unset("spark.sql.codegen.maxFields")
+    assert by_column == {k: pytest.approx(v, abs=1e-12) for k, v in side_by_side.items()}
+
+
 def test_error_bars(spark):
     for r in charts.hour_error_bars(cleaned(spark, SF)).collect():
         assert r.superior - r.media == pytest.approx(r.desv_est)
@@ -135,7 +160,7 @@ def test_profiles(spark):
 
 def test_first_rows(spark):
     df = spark.createDataFrame([(3, "c"), (1, "b"), (1, "a")], "n int, t string")
-    assert [tuple(r) for r in profile.first_rows(df, 2, ["n", "t"]).collect()] == [(1, "a"), (1, "b")]
+    assert [tuple(r) for r in profile.first_rows(df, ["n", "t"], 2).collect()] == [(1, "a"), (1, "b")]
 
 
 def test_union_by_name(spark):

@@ -110,6 +110,21 @@ def test_parquet_by_month(spark, root, tmp_path, plan):
     assert dict(everything.dtypes)["fecha_ts"] == "timestamp_ntz"
 
 
+def test_month_with_most_rows_is_written_by_several_tasks(spark, tmp_path):
+    """Nine tenths of the readings lie in one month."""
+    minutes = F.expr("make_dt_interval(0, 0, cast(id % 40000 as int), 0)")
+    fecha = F.when(F.col("id") % 10 > 0, F.lit("2020-03-01")).otherwise(F.lit("2020-07-01")).cast("timestamp_ntz") + minutes
+    df = clean(spark.range(0, 200_000, 1, 8).select(fecha.alias("fecha"), F.sha2(F.col("id").cast("string"), 256).alias("t")))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        lake.write_readings(df, str(tmp_path / "lago"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {m: len(list((tmp_path / "lago" / "año=2020" / f"mes={m}").glob("part-*"))) for m in (3, 7)}
+    assert files[3] > 3 and files[7] <= 4
+    assert spark.read.parquet(str(tmp_path / "lago")).count() == 200_000
+
+
 def test_partition_pruning_reads_only_the_months(spark, root, tmp_path):
     path = str(tmp_path / "lago")
     lake.write_readings(clean(readings.read_all(spark, root)), path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,8 @@ def month_files(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, st
     Listing only: no job, and any file system Spark can read.
     """
     try:
-        leaves = spark.read.text(paths).inputFiles()
+        # Listed as encoded URIs, while the reader takes plain paths.
+        leaves = [unquote(leaf) for leaf in spark.read.text(paths).inputFiles()]
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return {}

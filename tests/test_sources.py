@@ -36,6 +36,22 @@ def test_all_folders(spark, root):
     assert rows[2].vmed == -1 and rows[2].ocupacion != rows[2].ocupacion
 
 
+def test_root_with_spaces_and_accents(spark, tmp_path):
+    month = tmp_path / "datos de año 100%" / P1.carpeta / "02-2019.csv"
+    month.parent.mkdir(parents=True)
+    month.write_text("id;fecha\n7;2019-02-01 00:00:00\n")
+    assert ids(readings.read_all(spark, str(tmp_path / "datos de año 100%"))) == [7]
+    assert ids(readings.read_periods(spark, str(tmp_path / "datos de año 100%"), [P1])) == [7]
+
+
+def test_quoted_cells_and_byte_order_mark(spark, tmp_path):
+    month = tmp_path / P1.carpeta / "02-2019.csv"
+    month.parent.mkdir(parents=True)
+    month.write_text('"id";"fecha";"tipo_elem";"carga"\r\n8;"2019-02-01 00:00:00";"URB";"12"\r\n', encoding="utf-8-sig")
+    row = readings.read_all(spark, str(tmp_path)).first()
+    assert (row.id, row.fecha, row.tipo_elem, row.carga) == ("8", "2019-02-01 00:00:00", "URB", 12)
+
+
 def test_lost_cells_are_counted(spark, root):
     raw = readings.read_text_cells(spark, f"{root}/{readings.ALL_MONTHS}")
     lost = {r.columna: r.perdidos for r in profile.cast_losses(raw, readings.READING_TYPES).collect()}

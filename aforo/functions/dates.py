@@ -44,11 +44,14 @@ DATE_PARSERS = {"iso": parse_iso, "dayfirst": parse_dayfirst, "either": parse_ei
 
 
 def is_weekend(ts: Column, rule: str = "sat_sun") -> Column:
-    """``sat_sun`` is the plain meaning; ``fri_sat`` reproduces a Sunday-first count read as Monday-first."""
+    """``sat_sun`` is the plain meaning; ``fri_sat`` reproduces a Sunday-first count read as Monday-first.
+
+    A reading without a date is on no weekend.
+    """
     if rule == "sat_sun":
-        return F.weekday(ts).isin(5, 6)
+        return F.coalesce(F.weekday(ts).isin(5, 6), F.lit(False))
     if rule == "fri_sat":
-        return F.dayofweek(ts).isin(6, 7)
+        return F.coalesce(F.dayofweek(ts).isin(6, 7), F.lit(False))
     raise ValueError(f"unknown weekend rule {rule!r}")
 
 

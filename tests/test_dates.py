@@ -99,6 +99,7 @@ def test_clean_keeps_every_row_and_column(spark):
     assert df.count() == 3
     assert df.columns[:3] == ["fecha", "carga", "otro"]
     assert [r.fecha_ts is None for r in df.orderBy("carga").collect()] == [True, True, False]
+    assert [r.es_fin_semana for r in df.collect()] == [False, False, False]
 
 
 def test_cleaning_twice_is_cleaning_once(spark):

@@ -268,8 +268,8 @@ ORACLE["csv_selected_periods"] = (
     f"WITH {FILES}, F AS (SELECT *, {FOLDER} FROM E) SELECT {READING}, periodo_num, periodo FROM F WHERE periodo_num IN (1, 2, 4)"
 )
 ORACLE["csv_one_file"] = f"WITH {FILES}, F AS (SELECT *, {FOLDER} FROM E) SELECT {READING} FROM F WHERE periodo_num = 2"
-ORACLE["csv_inferred"] = f"""WITH {FILES}, F AS (SELECT *, {FOLDER} FROM E)
-SELECT {READING.replace("event_id, id", "CAST(event_id AS INTEGER) AS event_id, CAST(id AS INTEGER) AS id")} FROM F WHERE periodo_num = 1"""
+_inferred = READING.replace("event_id, id", "CAST(event_id AS INTEGER) AS event_id, CAST(id AS INTEGER) AS id")
+ORACLE["csv_inferred"] = f"WITH {FILES} SELECT {_inferred} FROM E"
 ORACLE["csv_relabelled_by_date"] = f"""{_with(FILES, keep=True)}
 SELECT event_id, CAST({_folder('num')} AS INTEGER) AS periodo_carpeta, CAST(periodo_num AS DOUBLE) AS periodo_num, periodo FROM P"""
 ORACLE["csv_cast_losses"] = f"""WITH {FILES}

@@ -442,8 +442,7 @@ def csv_one_file(spark, sf_dir):
 
 @query
 def csv_inferred(spark, sf_dir):
-    path = f"{month_tree(spark, sf_dir)}/{EVENT_PERIODS[0].carpeta}/*.csv"
-    return clean(readings.read_files(spark, path, infer=True)).select(*READING)
+    return clean(readings.read_all(spark, month_tree(spark, sf_dir), infer=True)).select(*READING)
 
 
 @query

@@ -76,16 +76,20 @@ def empty_text(spark: SparkSession, columns: Sequence[str] = tuple(READING_TYPES
     return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
-def _scan(spark: SparkSession, paths: str | Sequence[str], sep: str) -> DataFrame | None:
-    """Text cells of all month files, one scan per distinct header; None when there are no files."""
+def _scan(spark: SparkSession, paths: str | Sequence[str], sep: str, infer: bool = False) -> DataFrame | None:
+    """All month files, one scan per distinct header, as text or inferred; None when there are no files."""
     months = month_files(spark, paths)
     if not months:
         log.warning("no month files under %s", paths)
         return None
     scans = []
     for header, files in months_by_header(spark, months, sep).items():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        scans.append(_reader(spark, sep).schema(schema).option("enforceSchema", False).csv(files))
+        reader = _reader(spark, sep).option("enforceSchema", False)
+        if infer:
+            reader = reader.option("inferSchema", True)
+        else:
+            reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
+        scans.append(reader.csv(files))
     return union_by_name(scans)
 
 
@@ -121,11 +125,10 @@ def read_files(
 ) -> DataFrame:
     """Readings from the given files or globs.
 
-    ``infer=True`` lets Spark guess the types instead: one more pass over the text, and files
-    must agree in column order.
+    ``infer=True`` lets Spark guess the types instead, which takes one more pass over the text.
     """
-    if infer:
-        return _reader(spark, sep).option("inferSchema", True).option("enforceSchema", False).csv(paths)
+    if infer and (found := _scan(spark, paths, sep, infer=True)) is not None:
+        return found
     return typed(read_text_cells(spark, paths, sep), types)
 
 

@@ -1,0 +1,72 @@
+"""What every catalogue query's plan must and must not hold."""
+
+import re
+
+import pytest
+
+from aforo.catalog.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+ROW_QUERIES = {
+    *("calendar_columns", "weekend_sat_sun", "weekend_fri_sat", "classify_instant", "classify_day", "map_lookup"),
+    *("classify_range_join", "classify_range_join_day", "parse_iso", "parse_dayfirst", "union_periods", "head_rows"),
+    *("csv_all_folders", "csv_folder_label", "csv_selected_periods", "csv_relabelled_by_date", "csv_one_file", "csv_inferred"),
+    "csv_sink_roundtrip",
+}
+
+
+def operators(text):
+    """(depth, line) of each operator, top down."""
+    lines = [line for line in text.splitlines() if line.strip() and not line.startswith("==")]
+    return [(len(re.match(r"[\s:+\-]*", line).group()), line.strip(" :+-")) for line in lines]
+
+
+@pytest.fixture(scope="module")
+def plans(spark):
+    from conftest import plan_of
+
+    return {name: operators(plan_of(build(spark, SF), "simple")) for name, build in QUERIES.items()}
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_no_python_no_products(plans, name):
+    text = "\n".join(line for _, line in plans[name])
+    for word in ("EvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups", "CartesianProduct", "NestedLoopJoin"):
+        assert word not in text
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ROW_QUERIES))
+def test_readings_are_folded_before_any_shuffle(plans, name):
+    """Between a scan of readings and the first exchange above it lies a partial aggregate."""
+    plan = plans[name]
+    for i, (depth, line) in enumerate(plan):
+        if "FileScan" not in line or "aforo-median" in line:
+            continue
+        above, level = [], depth
+        for d, parent in reversed(plan[:i]):
+            if d < level:
+                level = d
+                above.append(parent)
+        first = next(k for k, parent in enumerate(above) if parent.startswith("Exchange"))
+        # Below the exchange an aggregate is a partial one (a distinct has no functions to name).
+        assert any("Aggregate" in parent for parent in above[:first])
+
+
+@pytest.mark.parametrize("name", sorted(ROW_QUERIES - {"csv_sink_roundtrip"}))
+def test_row_queries_do_not_shuffle_readings(plans, name):
+    """Only the lookup side of a join is exchanged, and it is broadcast."""
+    plan = plans[name]
+    for i, (depth, line) in enumerate(plan):
+        if "FileScan" in line:
+            level = depth
+            for d, parent in reversed(plan[:i]):
+                if d < level:
+                    level = d
+                    assert not parent.startswith("Exchange")
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith(("period_stats", "load_by_hour", "road_type_split"))])
+def test_bounds_are_pushed(plans, name):
+    scan = next(line for _, line in plans[name] if "FileScan" in line)
+    assert "PushedFilters: [Or(" in scan or "PushedFilters: [In" in scan
+    assert "user_id" not in scan and "l_orderkey" not in scan

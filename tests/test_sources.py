@@ -96,6 +96,8 @@ def test_inferred_types(spark, root):
     df = readings.read_files(spark, f"{root}/{P1.carpeta}/02-2019.csv", infer=True)
     assert dict(df.dtypes)["ocupacion"] == "double" and dict(df.dtypes)["intensidad"] == "int"
     assert [r.hora for r in clean(df).orderBy("id").collect()] == [0, 0]
+    both = readings.read_files(spark, f"{root}/{P1.carpeta}/*.csv", infer=True)
+    assert [(r.id, r.intensidad, r.vmed) for r in both.orderBy("id").collect()] == [(1, 100, 40), (2, 200, -1), (3, 300, None)]
 
 
 def test_part_file_with_another_order_is_refused(spark, tmp_path):

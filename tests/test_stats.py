@@ -102,6 +102,60 @@ def test_exact_median_of_many_distinct_values(spark):
     assert got == built_in
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins shuffle both sides, and AQE splits skewed partitions early."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+def test_median_of_many_groups_with_one_hot(spark, no_broadcast):
+    df = spark.range(0, 200_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000))).alias("k"),
+        F.sin(F.col("id").cast("double")).alias("v"),
+        (F.col("id") % 101).cast("int").alias("w"),
+    )
+    stats = spec_stats({"v": ["median", "count"], "w": ["median", "max"]})
+    got = {r.k: tuple(r)[1:] for r in group_stats(df, ["k"], stats).collect()}
+    built_in = df.groupBy("k").agg(F.median("v"), F.count("v"), F.median("w"), F.max("w"))
+    assert got == {r.k: tuple(r)[1:] for r in built_in.collect()}
+
+
+def test_table_lookup_without_broadcast(spark, no_broadcast, plan):
+    import datetime as dt
+
+    from aforo.operators.classify import classify, classify_by_table
+    from aforo.periods import PERIODS, Period, period_table
+
+    hour = F.expr("make_dt_interval(0, cast(id % 20000 as int), 0, 0)")
+    fecha = F.when(F.col("id") % 3 == 0, F.lit("2020-03-20").cast("timestamp_ntz")).otherwise(
+        F.lit("2018-12-01").cast("timestamp_ntz") + hour
+    )
+    df = clean(spark.range(0, 100_000, 1, 8).select("id", fecha.alias("fecha")))
+    by_table = classify_by_table(df, period_table(spark), broadcast=False)
+    assert "BroadcastExchange" not in plan(by_table)
+    expected = classify(df, keep_unclassified=True)
+    columns = ("id", "periodo_num", "periodo")
+    assert by_table.select(*columns).exceptAll(expected.select(*columns)).count() == 0
+    assert by_table.count() == 100_000
+
+    ancient = [*PERIODS, Period(9, "antes", dt.date(1800, 1, 1), dt.date(1800, 1, 2))]
+    assert classify_by_table(df, period_table(spark, ancient), broadcast=False).count() == 100_000
+    with pytest.raises(Exception, match="broadcast=False"):
+        # The label must be asked for: without it Spark drops the join, which keeps every reading as it is.
+        classify_by_table(df, period_table(spark, ancient)).agg(F.count("periodo_num")).collect()
+
+
 def test_median_passes_over_nan(spark):
     df = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", 3.0), ("b", float("nan"))], "k string, v double")
     got = {r.k: r.v_median for r in group_stats(df, ["k"], spec_stats({"v": ["median"]})).collect()}

@@ -343,12 +343,12 @@ def union_periods(spark, sf_dir):
 
 @query
 def pivot_day_type(spark, sf_dir):
-    return charts.day_type_bars(classified(spark, sf_dir))
+    return charts.day_type_bars(analyses.day_type_split(classified(spark, sf_dir)))
 
 
 @query
 def pivot_road_type(spark, sf_dir):
-    return charts.road_type_bars(classified(spark, sf_dir))
+    return charts.road_type_bars(analyses.road_type_split(classified(spark, sf_dir)))
 
 
 @query
@@ -358,7 +358,7 @@ def pivot_from_rows(spark, sf_dir):
 
 @query
 def pivot_hour_period(spark, sf_dir):
-    return charts.load_curves_wide(classified(spark, sf_dir), EVENT_PERIODS)
+    return charts.load_curves_wide(analyses.load_by_hour(classified(spark, sf_dir)), EVENT_PERIODS)
 
 
 # Tables behind the charts.
@@ -366,22 +366,22 @@ def pivot_hour_period(spark, sf_dir):
 
 @query
 def chart_period_means(spark, sf_dir):
-    return charts.period_means(classified(spark, sf_dir))
+    return charts.period_means(analyses.period_stats(classified(spark, sf_dir)), EVENT_PERIODS)
 
 
 @query
 def chart_load_curves(spark, sf_dir):
-    return charts.load_curves(classified(spark, sf_dir))
+    return charts.load_curves(analyses.load_by_hour(classified(spark, sf_dir)))
 
 
 @query
 def chart_hour_error_bars(spark, sf_dir):
-    return charts.hour_error_bars(cleaned(spark, sf_dir))
+    return charts.hour_error_bars(analyses.intensity_by_hour(cleaned(spark, sf_dir)))
 
 
 @query
 def chart_correlation(spark, sf_dir):
-    return charts.correlation_cells(lineitem_readings(spark, sf_dir))
+    return profile.correlation(lineitem_readings(spark, sf_dir))
 
 
 # Files. The view is written once per session and scale as a tree of month files.

@@ -3,7 +3,8 @@
     spark-submit --py-files aforo.zip aforo/job.py DATA_ROOT OUTPUT [--periods 1 2 4] [--period-end day] ...
 
 Reads the month files (or a Parquet copy written by ``--ingest``), cleans, classifies, and writes
-the four analyses and the rows per period as CSV, from one scan of the readings.
+the four analyses, the rows per period and the tables behind their charts as CSV, all from one
+scan of the readings. ``--explore`` adds the exploration, which scans them once per table.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from aforo.operators import profile
 from aforo.operators.classify import classify
 from aforo.operators.clean import TS, clean
 from aforo.periods import PERIODS, Period, pick
-from aforo.plans import summary
+from aforo.plans import analyses, charts, summary
 from aforo.sources import lake, readings, sinks
 
 # Names of the result tables and their sort keys.
@@ -28,6 +30,24 @@ RESULTS = {
     "analisis_03_laborables_vs_finde": (summary.day_type_split, ["periodo", "tipo_día"]),
     "analisis_04_tipo_via": (summary.road_type_split, ["periodo", "tipo_elem"]),
 }
+CHARTS = {
+    "grafico_01_intensidad_ocupacion_carga": (lambda s: charts.period_means(summary.period_stats(s)), ["periodo_num"]),
+    "grafico_02_carga_por_hora": (lambda s: charts.load_curves_wide(summary.load_by_hour(s)), ["hora"]),
+    "grafico_03_laborables_vs_finde": (lambda s: charts.day_type_bars(summary.day_type_split(s)), ["periodo"]),
+    "grafico_04_tipo_via": (lambda s: charts.road_type_bars(summary.road_type_split(s)), ["periodo"]),
+}
+EXPLORATION = {
+    "tamano": (profile.table_profile, []),
+    "tipos": (profile.dtype_profile, ["columna"]),
+    "faltantes": (profile.null_profile, ["columna"]),
+    "lecturas_invalidas": (profile.invalid_readings, ["regla"]),
+    "fechas_no_leidas": (profile.unparsed_dates, []),
+    "correlacion": (profile.correlation, ["columna_a", "columna_b"]),
+    "intensidad_por_anio": (analyses.intensity_by_year, ["año"]),
+    "intensidad_por_hora": (analyses.intensity_by_hour, ["hora"]),
+    "intensidad_por_anio_y_finde": (analyses.intensity_year_weekend, ["año", "es_fin_semana"]),
+    "grafico_intensidad_por_hora": (lambda df: charts.hour_error_bars(analyses.intensity_by_hour(df)), ["hora"]),
+}
 UNROUNDED = ("analisis_02_carga_por_hora",)
 
 
@@ -56,11 +76,17 @@ def analyse(df: DataFrame, output: str, options: Options, periods: Sequence[Peri
     by_date = classify(df, periods, options.period_end)
     sinks.write_parquet(summary.summarize(by_date), f"{output}/resumen")
     stored = spark.read.parquet(f"{output}/resumen")
-    for name, (build, keys) in RESULTS.items():
+    for name, (build, keys) in {**RESULTS, **CHARTS}.items():
         decimals = None if name in UNROUNDED else options.decimals
         sinks.write_csv(build(stored), f"{output}/{name}", keys=keys, decimals=decimals)
 
 
+def explore(df: DataFrame, output: str, options: Options) -> None:
+    """Write the profiles of the cleaned readings and the intensity by year and hour, whatever their period."""
+    for name, (build, keys) in EXPLORATION.items():
+        sinks.write_csv(build(df), f"{output}/exploracion_{name}", keys=keys, decimals=options.decimals)
+
+
 def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description="Period analyses of sensor readings")
     parser.add_argument("root", help="folder of the period folders, or of a Parquet copy with --parquet")
@@ -73,6 +99,7 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--weekend", choices=("sat_sun", "fri_sat"), default="sat_sun")
     parser.add_argument("--nan", choices=("skip", "propagate"), default="skip")
     parser.add_argument("--decimals", type=int)
+    parser.add_argument("--explore", action="store_true", help="also write profiles, correlation, years and hours")
     return parser.parse_args(argv)
 
 
@@ -88,6 +115,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         df = load(spark, args.root, args.periods, options)
     analyse(df, args.output, options)
+    if args.explore:
+        explore(df, args.output, options)
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -18,8 +18,8 @@ from aforo.functions.values import is_floating, missing, nan_to_null, number_fro
 # The readings the study counts as invalid.
 INVALID_RULES: dict[str, str] = {"vmed_negativa": "vmed < 0"}
 
-# Aggregation state of one correlation, in fields.
-CORR_BUFFERS = 6
+# Aggregation state of one correlation, in fields: a covariance and two deviations.
+PEARSON_FIELDS = 10
 
 
 def _long(totals: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
@@ -86,6 +86,15 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    """Correlation of two columns over the rows that have both; NULL where one of them is constant.
+
+    ``corr`` itself divides by the deviations unguarded, which in ANSI mode fails the query.
+    """
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every ordered pair of numeric columns.
 
@@ -97,22 +106,26 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
     def value(name: str) -> Column:
         column = F.col(f"`{name}`")
-        return nan_to_null(column) if is_floating(df.schema[name].dataType) else column.cast("double")
+        present = nan_to_null(column) if is_floating(df.schema[name].dataType) else column
+        return present.cast("double").alias(f"_{names.index(name)}")
 
-    pairs = list(combinations_with_replacement(names, 2))
+    values = df.select(*(value(n) for n in names))
     titles = ("columna_a", "columna_b", "correlacion")
-    if len(pairs) * CORR_BUFFERS <= int(df.sparkSession.conf.get("spark.sql.codegen.maxFields")):
-        totals = df.agg(*(F.corr(value(a), value(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
-        cells = [(a, b, F.col(f"_{i}")) for i, (a, b) in enumerate(pairs)]
-        cells += [(b, a, c) for a, b, c in cells if a != b]
-        return _long(totals, [(F.lit(a), F.lit(b), c) for a, b, c in cells], titles)
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    if len(pairs) * PEARSON_FIELDS <= int(df.sparkSession.conf.get("spark.sql.codegen.maxFields")):
+        totals = values.agg(*(_pearson(F.col(f"_{a}"), F.col(f"_{b}")).alias(f"_r{a}_{b}") for a, b in pairs))
+        cells = [
+            (F.lit(names[a]), F.lit(names[b]), F.col(f"_r{min(a, b)}_{max(a, b)}"))
+            for a in range(len(names))
+            for b in range(len(names))
+        ]
+        return _long(totals, cells, titles)
 
-    values = df.select(*(value(n).alias(f"_{i}") for i, n in enumerate(names)))
     sides = F.array(*(F.struct(F.lit(n).alias("columna_a"), F.col(f"_{i}").alias("_x")) for i, n in enumerate(names)))
     totals = (
         values.select("*", F.inline(sides))
         .groupBy("columna_a")
-        .agg(*(F.corr("_x", f"_{i}").alias(f"_r{i}") for i in range(len(names))))
+        .agg(*(_pearson(F.col("_x"), F.col(f"_{i}")).alias(f"_r{i}") for i in range(len(names))))
     )
     return _long(totals, [(F.col("columna_a"), F.lit(n), F.col(f"_r{i}")) for i, n in enumerate(names)], titles)
 

@@ -31,8 +31,11 @@ def wide(
 
 
 def spread(df: DataFrame, index: str, columns: str, values: Mapping[str, str], measures: Sequence[str]) -> DataFrame:
-    """Reshape a table that already has one row per index and category."""
-    return wide(df, index, columns, values, [(m, F.first(m)) for m in measures])
+    """Reshape a table that already has one row per index and category.
+
+    Any aggregate takes that row's value; ``max`` lets Catalyst drop a sort of the input.
+    """
+    return wide(df, index, columns, values, [(m, F.max(m)) for m in measures])
 
 
 def mean_matrix(df: DataFrame, index: str, columns: str, values: Mapping[str, str], measures: Sequence[str]) -> DataFrame:

@@ -1,4 +1,7 @@
-"""The table behind each chart; drawing is left to the caller."""
+"""The table behind each chart, from the result of its analysis; drawing is left to the caller.
+
+The results may come from ``plans.analyses`` or, without another scan, from ``plans.summary``.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aforo.functions.dates import WEEKEND_LABEL, WORKDAY_LABEL
-from aforo.operators.profile import correlation
-from aforo.operators.reshape import mean_matrix, spread
-from aforo.operators.stats import Stat, group_stats, spec_stats
+from aforo.functions.values import lookup
+from aforo.operators.reshape import spread
 from aforo.periods import PERIODS, Period
-from aforo.plans import analyses
 
 # The categories of the charts, with the names of their columns.
 DAY_TYPES: dict[str, str] = {WEEKEND_LABEL: "fin_de_semana", WORKDAY_LABEL: "laborable"}
@@ -20,49 +21,39 @@ ROAD_TYPES: dict[str, str] = {"M30": "m30", "URB": "urb"}
 CHART_MEASURES = ("carga", "intensidad")
 
 
-def period_columns(periods: Sequence[Period] = PERIODS) -> dict[str, str]:
-    return {p.nombre: f"periodo_{p.num}" for p in periods}
-
-
-def period_means(df: DataFrame) -> DataFrame:
-    """The three means per period, with the period number for chronological order."""
-    means = spec_stats({"intensidad": ["mean"], "ocupacion": ["mean"], "carga": ["mean"]})
-    return group_stats(df, ["periodo_num", "periodo"], means)
+def period_means(stats: DataFrame, periods: Sequence[Period] = PERIODS) -> DataFrame:
+    """The three means per period, in chronological order."""
+    number = lookup(F.col("periodo"), {p.nombre: p.num for p in periods}).alias("periodo_num")
+    return stats.select(number, "periodo", "intensidad_mean", "ocupacion_mean", "carga_mean").orderBy("periodo_num")
 
 
-def load_curves(df: DataFrame) -> DataFrame:
+def load_curves(by_hour: DataFrame) -> DataFrame:
     """Mean load by hour, one line per period (long form)."""
-    return analyses.load_by_hour(df).select("periodo", "hora", "mean")
+    return by_hour.select("periodo", "hora", "mean")
 
 
-def load_curves_wide(df: DataFrame, periods: Sequence[Period] = PERIODS) -> DataFrame:
+def load_curves_wide(by_hour: DataFrame, periods: Sequence[Period] = PERIODS) -> DataFrame:
     """Mean load by hour, one column per period."""
-    return mean_matrix(df, "hora", "periodo", period_columns(periods), ["carga"])
+    names = {p.nombre: f"periodo_{p.num}" for p in periods}
+    return spread(by_hour.withColumnRenamed("mean", "carga"), "hora", "periodo", names, ["carga"])
 
 
-def _bars(df: DataFrame, column: str, values: Mapping[str, str]) -> DataFrame:
-    means = [Stat(m, m, "mean") for m in CHART_MEASURES]
-    return spread(group_stats(df, ["periodo", column], means, sort=False), "periodo", column, values, CHART_MEASURES)
+def _bars(split: DataFrame, column: str, values: Mapping[str, str]) -> DataFrame:
+    means = split.select("periodo", column, *(F.col(f"{m}_mean").alias(m) for m in CHART_MEASURES))
+    return spread(means, "periodo", column, values, CHART_MEASURES)
 
 
-def day_type_bars(df: DataFrame) -> DataFrame:
+def day_type_bars(split: DataFrame) -> DataFrame:
     """Mean load and intensity, period against day type."""
-    return _bars(analyses.with_day_type(df), "tipo_día", DAY_TYPES)
+    return _bars(split, "tipo_día", DAY_TYPES)
 
 
-def road_type_bars(df: DataFrame, values: Mapping[str, str] = ROAD_TYPES) -> DataFrame:
+def road_type_bars(split: DataFrame, values: Mapping[str, str] = ROAD_TYPES) -> DataFrame:
     """Mean load and intensity, period against road type."""
-    return _bars(df, "tipo_elem", values)
+    return _bars(split, "tipo_elem", values)
 
 
-def hour_error_bars(df: DataFrame) -> DataFrame:
+def hour_error_bars(by_hour: DataFrame) -> DataFrame:
     """Mean intensity by hour with one standard deviation either side."""
     media, desv = F.col("media"), F.col("desv_est")
-    return analyses.intensity_by_hour(df).select(
-        "hora", "media", "desv_est", (media - desv).alias("inferior"), (media + desv).alias("superior")
-    )
-
-
-def correlation_cells(df: DataFrame) -> DataFrame:
-    """The cells of the correlation heat map."""
-    return correlation(df)
+    return by_hour.select("hora", "media", "desv_est", (media - desv).alias("inferior"), (media + desv).alias("superior"))

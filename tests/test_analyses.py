@@ -88,14 +88,14 @@ def test_approximate_year_median_is_close(spark):
 
 
 def test_pivots(df):
-    days = charts.day_type_bars(df)
+    days = charts.day_type_bars(analyses.day_type_split(df))
     assert days.columns == ["periodo", "carga_fin_de_semana", "carga_laborable", "intensidad_fin_de_semana", "intensidad_laborable"]
     split = {(r.periodo, r["tipo_día"]): r for r in analyses.day_type_split(df).collect()}
     for r in days.collect():
         weekend = split.get((r.periodo, "Fin de semana"))
         assert r.carga_fin_de_semana == (pytest.approx(weekend.carga_mean) if weekend else None)
         assert r.intensidad_laborable == pytest.approx(split[r.periodo, "Laborable"].intensidad_mean)
-    assert charts.road_type_bars(df).columns[1:] == ["carga_m30", "carga_urb", "intensidad_m30", "intensidad_urb"]
+    assert charts.road_type_bars(analyses.road_type_split(df)).columns[1:] == ["carga_m30", "carga_urb", "intensidad_m30", "intensidad_urb"]
 
 
 def test_pivot_from_rows_equals_pivot_of_the_split(spark):
@@ -103,11 +103,24 @@ def test_pivot_from_rows_equals_pivot_of_the_split(spark):
     values = reshape.categories(df, "tipo_elem")
     assert values == {"A": "a", "N": "n", "R": "r"}
     direct = reshape.mean_matrix(df, "periodo", "tipo_elem", values, ["carga"]).collect()
-    via_split = charts.road_type_bars(df, values).select("periodo", "carga_a", "carga_n", "carga_r").collect()
+    via_split = charts.road_type_bars(analyses.road_type_split(df), values).select("periodo", "carga_a", "carga_n", "carga_r").collect()
     for a, b in zip(direct, via_split, strict=True):
         assert tuple(a) == pytest.approx(tuple(b))
 
 
+def test_charts_from_the_summary(df):
+    s = summary.summarize(df)
+    for direct, merged in (
+        (charts.period_means(analyses.period_stats(df)), charts.period_means(summary.period_stats(s))),
+        (charts.load_curves_wide(analyses.load_by_hour(df)), charts.load_curves_wide(summary.load_by_hour(s))),
+        (charts.day_type_bars(analyses.day_type_split(df)), charts.day_type_bars(summary.day_type_split(s))),
+    ):
+        assert direct.columns == merged.columns
+        for a, b in zip(direct.collect(), merged.collect(), strict=True):
+            assert [x if not isinstance(x, float) else pytest.approx(x, rel=1e-10) for x in a] == list(b)
+    assert [r.periodo_num for r in charts.period_means(analyses.period_stats(df)).collect()] == [1, 2, 3, 4]
+
+
 def test_too_many_categories_are_refused(spark):
     spark.conf.set("spark.sql.pivotMaxValues", "3")
     try:
@@ -118,23 +131,38 @@ def test_too_many_categories_are_refused(spark):
         spark.conf.unset("spark.sql.pivotMaxValues")
 
 
+@pytest.mark.parametrize("fields", ["50", "300"])
+def test_constant_column_has_no_correlation(spark, fields):
+    spark.conf.set("spark.sql.codegen.maxFields", fields)
+    try:
+        rows = [(1.0, 7, 2, None), (2.0, 7, 1, 5.0), (4.0, 7, 9, None)]
+        df = spark.createDataFrame(rows, "a double, constante int, c int, solo double")
+        got = {(r.columna_a, r.columna_b): r.correlacion for r in profile.correlation(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.maxFields")
+    expected = df.toPandas().corr()
+    assert len(got) == 16
+    for (a, b), value in got.items():
+        assert value == (None if "constante" in (a, b) or "solo" in (a, b) else pytest.approx(expected.loc[a, b]))
+
+
 def test_both_shapes_of_the_correlation_agree(spark):
     df = lines(spark, SF).select("id", "intensidad", "ocupacion", "carga", "vmed")
 
     def cells():
         return {(r.columna_a, r.columna_b): r.correlacion for r in profile.correlation(df).collect()}
 
-    side_by_side = cells()
-    spark.conf.set("spark.sql.codegen.maxFields", "50")
+    by_column = cells()
+    spark.conf.set("spark.sql.codegen.maxFields", "300")
     try:
-        by_column = cells()
+        side_by_side = cells()
     finally:
         spark.conf.unset("spark.sql.codegen.maxFields")
     assert by_column == {k: pytest.approx(v, abs=1e-12) for k, v in side_by_side.items()}
 
 
 def test_error_bars(spark):
-    for r in charts.hour_error_bars(cleaned(spark, SF)).collect():
+    for r in charts.hour_error_bars(analyses.intensity_by_hour(cleaned(spark, SF))).collect():
         assert r.superior - r.media == pytest.approx(r.desv_est)
         assert r.media - r.inferior == pytest.approx(r.desv_est)
 

@@ -98,3 +98,19 @@ def test_ingested_copy_gives_the_same(spark, root, tmp_path):
     run(spark, lake, tmp_path / "v", "--parquet", "--nan", "propagate", "--periods", 3)
     split = table(tmp_path / "v" / "analisis_04_tipo_via")
     assert [(r["tipo_elem"], r["ocupacion_mean"] == "") for r in split] == [("M30", True), ("URB", False)]
+
+
+def test_charts_and_exploration(spark, root, tmp_path):
+    out = tmp_path / "e"
+    run(spark, root, out, "--explore", "--decimals", 2)
+    assert [r["periodo_num"] for r in table(out / "grafico_01_intensidad_ocupacion_carga")] == ["2", "3", "4"]
+    assert list(table(out / "grafico_04_tipo_via")[0]) == ["periodo", "carga_m30", "carga_urb", "intensidad_m30", "intensidad_urb"]
+    assert [r["hora"] for r in table(out / "grafico_02_carga_por_hora")] == ["0", "6", "12", "18"]
+    assert table(out / "exploracion_tamano")[0]["filas"] == "72"
+    missing = {r["columna"]: r["faltantes"] for r in table(out / "exploracion_faltantes")}
+    assert missing["ocupacion"] == "36" and missing["vmed"] == "0"
+    assert table(out / "exploracion_lecturas_invalidas") == [{"regla": "vmed_negativa", "filas": "8"}]
+    year = table(out / "exploracion_intensidad_por_anio")
+    assert [(r["año"], r["contador"], r["mínimo"]) for r in year] == [("2020", "72", "0")]
+    assert len(table(out / "exploracion_intensidad_por_hora")) == 4
+    assert len(table(out / "exploracion_correlacion")) > 9

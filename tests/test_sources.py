@@ -88,6 +88,19 @@ def test_empty_folders(spark, tmp_path):
     assert analyses.period_stats(classify(clean(everything))).count() == 0
 
 
+def test_empty_and_header_only_files(spark, root):
+    from pathlib import Path
+
+    folder = Path(root) / P4.carpeta
+    folder.mkdir()
+    (folder / "06-2020.csv").write_text("")
+    (folder / "07-2020.csv").write_text("id;fecha;tipo_elem;intensidad;ocupacion;carga;vmed\n")
+    assert ids(readings.read_all(spark, root)) == [1, 2, 3, 4, 5]
+    assert readings.read_periods(spark, root, [P4]).count() == 0
+    (folder / "07-2020.csv").unlink()
+    assert readings.read_periods(spark, root, [P4]).count() == 0
+
+
 def test_one_file(spark, root):
     assert ids(readings.read_files(spark, f"{root}/{P1.carpeta}/03-2019.csv")) == [3]
 

@@ -59,6 +59,8 @@ def test_valid_range_turns_sentinels_to_null(spark):
         ("NaN", "int", None),
         ("x", "double", None),
         ("1e3", "double", 1000.0),
+        ("1e300", "int", None),
+        ("Infinity", "bigint", None),
         ("", "int", None),
         (None, "int", None),
     ],

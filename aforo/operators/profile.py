@@ -103,6 +103,8 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     each row once per column, grouped by that column, against all columns.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
+    if not names:
+        raise ValueError("no numeric columns to correlate")
 
     def value(name: str) -> Column:
         column = F.col(f"`{name}`")

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import mixing, sharding, urlfilter
+from aforo.llm import bpe, mixing, sharding, tokencount, urlfilter
 from aforo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 SHARDS = 8
+BPE_FILE = "byte_bpe_50k.json"
+COUNT_FILE = "word_bpe_49k.json"
+TOKEN_LIMIT = 2048
 # The rules of the url query.
 URL_RULES = [
     ("net", "/", "block"),
@@ -85,6 +89,12 @@ FROM placed
 """
 
 
+@query
+def op5_bpe_round_trip(spark, sf_dir):
+    vocabulary = bpe.Vocabulary.load(public_tokenizers.path(BPE_FILE))
+    return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+
+
 @query
 def op7_url_rules(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -110,3 +120,9 @@ WITH rules(rhost, rpath, verdict) AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parsed p LEFT JOIN fits f ON f.n = p.n AND f.k = 1
 """
+
+
+@query
+def op8_token_counts(spark, sf_dir):
+    tokenizer = tokencount.load_tokenizer(public_tokenizers.path(COUNT_FILE))
+    return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, limit=TOKEN_LIMIT)

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import regex
 from pyspark.sql import DataFrame
 
-from aforo.llm.common import map_batches
+from aforo.llm.common import fields, map_batches
 
 # Fixed value: how byte-level BPE cuts text into words.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -264,9 +264,7 @@ def digest(df: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: Seq
     The same as ``encode`` and then ``decode``, without the ids leaving the worker. NULL counts as empty.
     """
     given = df.select(*(f"`{c}`" for c in carry), df[f"`{text}`"].alias("_text"))
-    kept = [f for f in given.schema.fields if f.name != "_text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    names = [f.name for f in kept]
+    schema = fields(given, ["_text"], n_tokens="long", ids_sha256="string", decoded_sha256="string")
 
     def run(batch):
         codec = _codec(vocabulary)
@@ -276,10 +274,10 @@ def digest(df: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: Seq
             counts.append(ids.count(",") + 1 if ids else 0)
             id_digests.append(hashlib.sha256(ids.encode()).hexdigest())
             text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
-        out = {c: batch.column(c) for c in names}
+        out = {c: batch.column(c) for c in carry}
         return out | {"n_tokens": counts, "ids_sha256": id_digests, "decoded_sha256": text_digests}
 
-    return map_batches(given, run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(given, run, schema)
 
 
 def _encode_column(codec: Codec, texts: list) -> list:
@@ -292,12 +290,11 @@ def _decode_column(codec: Codec, rows: list) -> list:
 
 
 def _mapped(df: DataFrame, vocabulary: Vocabulary, column: str, name: str, kind: str, function) -> DataFrame:
-    kept = [f for f in df.schema.fields if f.name != name]
-    given = df.select(*(f"`{f.name}`" for f in kept), df[f"`{column}`"].alias("_input"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    kept = [c for c in df.columns if c != name]
+    given = df.select(*(f"`{c}`" for c in kept), df[f"`{column}`"].alias("_input"))
 
     def run(batch):
-        out = {f.name: batch.column(f.name) for f in kept}
+        out = {c: batch.column(c) for c in kept}
         return out | {name: function(_codec(vocabulary), batch.column("_input").to_pylist())}
 
-    return map_batches(given, run, f"{schema}, `{name}` {kind}")
+    return map_batches(given, run, fields(given, ["_input"], **{name: kind}))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Fixed value: a word, for counting and shingling.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -61,12 +65,21 @@ def running_sum(
     )
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply ``function`` to Arrow batches; it returns the output columns as lists by name."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    Enough where the path holds on the executors too, as in local mode; else ship it with ``--py-files``.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: T.StructType) -> DataFrame:
+    """Apply ``function`` to Arrow batches; it returns the output columns by name, as Arrow arrays or lists."""
+    importable(df.sparkSession)
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,3 +87,9 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schem
                 yield pa.RecordBatch.from_pydict(function(batch), schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def fields(df: DataFrame, without: Sequence[str] = (), **added: str) -> T.StructType:
+    """The columns of ``df`` but some, and added ones by name and type."""
+    kept = [T.StructField(f.name, f.dataType) for f in df.schema.fields if f.name not in without]
+    return T.StructType([*kept, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in added.items())])

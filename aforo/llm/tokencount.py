@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from aforo.llm.common import map_batches
+from aforo.llm.common import fields, map_batches
 
 #: Characters of a chunk, and by how many neighbours overlap at first.
 CHUNK = 16_384
@@ -136,16 +136,15 @@ def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
     NULL counts as empty, which has no tokens. Equal rows count each, an empty table gives an empty
     result; columns of these names are replaced, others but the text are carried along. No row moves.
     """
-    names = ("n_bytes", "n_tokens", "over_limit")
-    kept = [f for f in df.schema.fields if f.name not in names and f.name != text]
-    given = df.select(*(f"`{f.name}`" for f in kept), df[f"`{text}`"].alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    names = {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"}
+    kept = [c for c in df.columns if c not in names and c != text]
+    given = df.select(*(f"`{c}`" for c in kept), df[f"`{text}`"].alias("_text"))
 
     def run(batch):
         texts = [t or "" for t in batch.column("_text").to_pylist()]
         counts = _counter(tokenizer).counts(texts)
-        out = {f.name: batch.column(f.name) for f in kept}
         sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+        out = {c: batch.column(c) for c in kept}
         return out | {"n_bytes": sizes, "n_tokens": counts, "over_limit": [n > limit for n in counts]}
 
-    return map_batches(given, run, f"{schema}n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(given, run, fields(given, ["_text"], **names))

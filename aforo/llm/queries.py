@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import bpe, mixing, sharding, tokencount, urlfilter
+from aforo.llm import bpe, langid, mixing, sharding, tokencount, urlfilter
 from aforo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,10 @@ FROM parsed p LEFT JOIN fits f ON f.n = p.n AND f.k = 1
 def op8_token_counts(spark, sf_dir):
     tokenizer = tokencount.load_tokenizer(public_tokenizers.path(COUNT_FILE))
     return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer, limit=TOKEN_LIMIT)
+
+
+@query
+def op9_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

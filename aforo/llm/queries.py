@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import bpe, langid, mixing, sharding, tokencount, urlfilter
+from aforo.llm import bpe, langid, mixing, neardup, sharding, tokencount, urlfilter
 from aforo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,44 @@ def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_near_duplicates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, words=2)
+
+
+ORACLE["op10_near_duplicates"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM words
+), distinct_sets AS (
+  SELECT min(doc_id) AS id, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)
+), shingles AS (
+  SELECT id, len(s) AS n, unnest(s) AS x FROM distinct_sets
+), rare AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY f, x) AS k
+  FROM (SELECT *, count(*) OVER (PARTITION BY x) AS f FROM shingles)
+), candidates AS (
+  SELECT DISTINCT a.id AS a, b.id AS b
+  FROM (SELECT * FROM rare WHERE k <= n - (n * 4 + 4) // 5 + 1) a JOIN (SELECT * FROM rare WHERE k <= n - (n * 4 + 4) // 5 + 1) b
+    ON a.x = b.x AND a.id < b.id AND least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4
+), links AS (
+  SELECT c.a, c.b FROM candidates c JOIN distinct_sets p ON p.id = c.a JOIN distinct_sets q ON q.id = c.b
+  WHERE 100 * len(list_intersect(p.s, q.s)) >= 80 * (len(p.s) + len(q.s) - len(list_intersect(p.s, q.s)))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT id AS a, id AS b FROM distinct_sets UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b
+), roots AS (
+  SELECT a AS id, min(b) AS root FROM reach GROUP BY a
+)
+SELECT t.doc_id, len(t.s)::BIGINT AS n_shingles, coalesce(r.root, t.doc_id) AS component_id,
+       t.doc_id IS NOT DISTINCT FROM coalesce(r.root, t.doc_id) AS kept
+FROM sets t LEFT JOIN distinct_sets d ON list_sort(t.s) = d.s LEFT JOIN roots r ON r.id = d.id
+"""

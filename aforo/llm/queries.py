@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import bpe, langid, mixing, neardup, sharding, tokencount, urlfilter
+from aforo.llm import bpe, langid, mixing, neardup, orderminhash, sharding, tokencount, urlfilter
 from aforo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ FROM placed
 """
 
 
+@query
+def op4_order_minhash(spark, sf_dir):
+    return orderminhash.compared_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op5_bpe_round_trip(spark, sf_dir):
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path(BPE_FILE))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import bpe, langid, mixing, neardup, orderminhash, sharding, tokencount, urlfilter
+from aforo.llm import ann, bpe, langid, mixing, neardup, orderminhash, sharding, tokencount, urlfilter
 from aforo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_projected_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 @query
 def op2_histogram_shards(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

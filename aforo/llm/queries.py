@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import ann, bpe, langid, mixing, neardup, orderminhash, sharding, tokencount, urlfilter
+from aforo.llm import ann, bpe, langid, licenses, mixing, neardup, orderminhash, sharding, tokencount, urlfilter
 from aforo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,15 @@ def op5_bpe_round_trip(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
 
 
+@query
+def op6_license_scan(spark, sf_dir):
+    scanned = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.get(F.sort_array(F.transform("matches", lambda m: F.struct(m["dice"], m["license"], m["first_line"], m["last_line"])), False), F.lit(0))
+    found = scanned.select("doc_id", "n_lines", F.size("matches").alias("n_matches"), best.alias("best"), "matches")
+    names = F.array_join(F.array_sort(F.array_distinct("matches.license")), ",")
+    return found.select("doc_id", "n_lines", "n_matches", F.expr("best.license"), F.expr("best.dice"), names.alias("licenses"))
+
+
 @query
 def op7_url_rules(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")

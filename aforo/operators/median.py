@@ -2,27 +2,27 @@
 
 The built-in ``median`` keeps all distinct values of a group in one task's memory. Here a first
 pass computes, next to the other statistics, a quantile sketch whose guaranteed error brackets
-the median of each group. In a second pass the values outside their group's bracket are put
-down as minus or plus infinity: that leaves the median where it is, and nearly all rows fall
-on these two, where counting by value folds them before the shuffle. What is left to order is
-about one distinct value in a thousand.
+the median of each group. A second pass cuts each bracket into cells and counts: rows below and
+above the bracket by group, rows inside it by value. The counts of the cells, a bounded list per group,
+tell which cell holds the middle ranks, and only the values of that cell are put in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aforo.functions.values import is_floating, nan_to_null
 from aforo.operators.stats import Stat
-from aforo.sources.scratch import scratch_path
+from aforo.sources.scratch import stored
 
 SKETCH_ACCURACY = 10_000
 # The sketch errs by at most 1/accuracy of the ranks; five times that keeps the median inside.
 BRACKET = 5 / SKETCH_ACCURACY
-INFINITY = float("inf")
+# Cells of a bracket. About one value in a million is left to be ordered, in a cell of its own.
+CELLS = 1024
 
 
 def _number(df: DataFrame, measure: str) -> Column:
@@ -40,20 +40,22 @@ def _first_pass(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat], measu
     for i, measure in enumerate(measures):
         ends = F.percentile_approx(_number(df, measure), [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY)
         columns += [ends[0].alias(f"_low{i}"), ends[1].alias(f"_high{i}")]
-    path = scratch_path(df.sparkSession, "median")
     groups = df.groupBy(*keys).agg(*columns)
-    groups.select("*", F.monotonically_increasing_id().alias("_group")).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return stored(groups.select("*", F.monotonically_increasing_id().alias("_group")), "median")
 
 
-def _bracketed(i: int) -> Column:
-    value = F.col(f"_v{i}")
-    below, above = value < F.col(f"_low{i}"), value > F.col(f"_high{i}")
-    return F.when(below, -INFINITY).when(above, INFINITY).otherwise(value)
+def _cell(i: int) -> Column:
+    """Where a value lies: -1 below its bracket, ``CELLS`` above it, else a cell that keeps the order."""
+    value, low, high = F.col(f"_v{i}"), F.col(f"_low{i}"), F.col(f"_high{i}")
+    # An infinite or empty bracket is one cell.
+    share = F.try_divide(value - low, high - low) * CELLS
+    inside = F.when(share >= 0, F.least(F.floor(share), F.lit(CELLS - 1))).otherwise(F.lit(0))
+    inside = F.when(F.isnan(share) | share.isNull(), F.lit(0)).otherwise(inside)
+    return F.when(value < low, F.lit(-1)).when(value > high, F.lit(CELLS)).otherwise(inside).cast("int")
 
 
-def _medians(df: DataFrame, groups: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """``_group`` and one column per measure, ``_median<i>``."""
+def _counts(df: DataFrame, groups: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Rows by group, measure, cell and, inside the bracket, value. Stored: it is read twice and small."""
     values = df.select(
         *(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)),
         *(_number(df, m).alias(f"_v{i}") for i, m in enumerate(measures)),
@@ -65,51 +67,71 @@ def _medians(df: DataFrame, groups: DataFrame, keys: Sequence[str], measures: Se
     )
     same_group = [F.col(f"_k{i}").eqNullSafe(F.col(f"_g{i}")) for i in range(len(keys))]
     joined = values.join(brackets, same_group)
-    if len(measures) == 1:
-        long = joined.select("_group", F.lit(0).alias("_measure"), _bracketed(0).alias("_value"))
-    else:
-        entries = (
-            F.struct(F.lit(i).alias("_measure"), _bracketed(i).alias("_value")) for i in range(len(measures))
+    entries = F.array(
+        *(F.struct(F.lit(i).alias("_measure"), _cell(i).alias("_cell"), F.col(f"_v{i}").alias("_value")) for i in range(len(measures)))
+    )
+    long = joined.select("_group", F.inline(entries)).filter(F.col("_value").isNotNull())
+    inside = F.when(F.col("_cell").between(0, CELLS - 1), F.col("_value"))
+    counted = long.groupBy("_group", "_measure", "_cell", inside.alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    return stored(counted, "median")
+
+
+def _at_rank(entries: Column, rank: Column, value: str) -> Column:
+    """``value`` of the first of the sorted (value, rows) that reaches the rank, and the rank left within it."""
+    nothing = F.struct(F.lit(0).cast("long").alias("passed"), F.lit(None).cast("double").alias("found"), F.lit(None).cast("long").alias("left"))
+
+    def step(state: Column, entry: Column) -> Column:
+        upto = state["passed"] + entry["_rows"]
+        reached = state["found"].isNull() & (upto >= rank)
+        return F.struct(
+            upto.alias("passed"),
+            F.when(reached, entry[value].cast("double")).otherwise(state["found"]).alias("found"),
+            F.when(reached, rank - state["passed"]).otherwise(state["left"]).alias("left"),
         )
-        long = joined.select("_group", F.inline(F.array(*entries)))
-    counts = long.filter(F.col("_value").isNotNull()).groupBy("_group", "_measure", "_value").agg(F.count(F.lit(1)).alias("_rows"))
-
-    series = Window.partitionBy("_group", "_measure")
-    upto = series.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.select("*", F.sum("_rows").over(upto).alias("_upto"), F.sum("_rows").over(series).alias("_n"))
-    # The two middle values; one and the same when the count is odd.
-    first, second = (
-        F.min(F.when(F.col("_upto") >= F.floor((F.col("_n") + k) / 2), F.col("_value"))) for k in (1, 2)
+
+    return F.aggregate(entries, nothing, step)
+
+
+def _medians(df: DataFrame, groups: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """``_group`` and one column per measure, ``_median<i>``."""
+    counts = _counts(df, groups, keys, measures)
+    cells = counts.groupBy("_group", "_measure", "_cell").agg(F.sum("_rows").alias("_rows"))
+    by_group = cells.groupBy("_group", "_measure").agg(
+        F.sum("_rows").alias("_n"), F.sort_array(F.collect_list(F.struct("_cell", "_rows"))).alias("_cells")
+    )
+    # The two middle ranks; one and the same when the count is odd.
+    ranks = F.array(*(F.floor((F.col("_n") + k) / 2).cast("long") for k in (1, 2)))
+    wanted = by_group.select("_group", "_measure", "_cells", F.posexplode(ranks).alias("_which", "_rank"))
+    wanted = wanted.withColumn("_at", _at_rank(F.col("_cells"), F.col("_rank"), "_cell"))
+    cell = F.col("_at.found").cast("int")
+    outside = F.raise_error("median outside its bracket").cast("int")
+    wanted = wanted.select(
+        "_group", "_measure", "_which", F.when(cell.between(0, CELLS - 1), cell).otherwise(outside).alias("_cell"), F.col("_at.left").alias("_rank")
+    )
+    entries = F.sort_array(F.collect_list(F.struct("_value", "_rows")))
+    found = (
+        counts.join(wanted, ["_group", "_measure", "_cell"])
+        .groupBy("_group", "_measure", "_which", "_rank")
+        .agg(entries.alias("_entries"))
+        .withColumn("_value", _at_rank(F.col("_entries"), F.col("_rank"), "_value")["found"])
     )
-    middle = ranked.groupBy("_group", "_measure").agg(((first + second) / 2).alias("_median"))
-    by_measure = (F.max(F.when(F.col("_measure") == i, F.col("_median"))).alias(f"_median{i}") for i in range(len(measures)))
-    return middle.groupBy("_group").agg(*by_measure)
-
-
-def _checked(i: int) -> Column:
-    """The median, or an error if it fell outside its bracket. Infinities in the data itself are none."""
-    median = F.col(f"_median{i}")
-    cut_below, cut_above = F.col(f"_low{i}") > -INFINITY, F.col(f"_high{i}") < INFINITY
-    outside = (
-        ((median == -INFINITY) & cut_below)
-        | ((median == INFINITY) & cut_above)
-        | (F.isnan(median) & (cut_below | cut_above))
+    by_measure = (
+        (F.sum(F.when(F.col("_measure") == i, F.col("_value"))) / 2).alias(f"_median{i}") for i in range(len(measures))
     )
-    return F.when(outside, F.raise_error("median outside its bracket")).otherwise(median)
+    return found.groupBy("_group").agg(*by_measure)
 
 
 def group_stats_with_median(df: DataFrame, keys: Sequence[str], stats: Sequence[Stat]) -> DataFrame:
     """Like ``group_stats``, with exact medians among the statistics; missing and NaN are passed over.
 
-    Two scans whatever the number of medians, the first of which runs at once.
+    Two scans whatever the number of medians, which run at once. A median outside its bracket would be an
+    error, never a wrong value.
     """
     measures = list(dict.fromkeys(s.measure for s in stats if s.stat == "median"))
     groups = _first_pass(df, keys, [s for s in stats if s.stat != "median"], measures)
     found = groups.join(_medians(df, groups, keys, measures), "_group", "left")
 
     def column(s: Stat) -> Column:
-        if s.stat == "median":
-            return _checked(measures.index(s.measure)).alias(s.name)
-        return F.col(f"`{s.name}`")
+        return F.col(f"_median{measures.index(s.measure)}" if s.stat == "median" else f"`{s.name}`").alias(s.name)
 
     return found.select(*(F.col(f"`{k}`") for k in keys), *(column(s) for s in stats))

@@ -1,0 +1,74 @@
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from aforo.llm.urlfilter import judge, rule_table
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def brute_force(url, rules, default="allow"):
+    if url is None or "://" not in url:
+        return "", "", None, default
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[2:] if fits else (None, default)))
+
+
+def judged(spark, urls, rules, **options):
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    return {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(df, rule_table(spark, rules), **options).collect()}
+
+
+URLS = [
+    "http://a.example.net/en/x?q=1#f", "https://Example.NET/en", "http://example.net/en/", "http://xexample.net/en/", "http://net/", "http://net",
+    "http://example.com/de/1", "http://b.example.com/de", "http://example.com.org/fr/", "http://org/fr/a/b", "http://a.b.c.org/FR/", "http://.org/fr/",
+    "http://example.net./en/", "no scheme", "", None, "://", "http://", "a://b://c/d", "HTTP://EXAMPLE.ORG?x", "http://ÄÖ.net/ß", "http://a..net//",
+]
+
+
+@pytest.mark.parametrize("per_sweep", [1, 50_000])
+def test_fixed_rules(spark, per_sweep):
+    got = judged(spark, URLS, RULES, pages_per_sweep=per_sweep)
+    assert got == {i: brute_force(u, RULES) for i, u in enumerate(URLS)}
+
+
+labels = st.sampled_from(["a", "b", "net", ""])
+hosts = st.lists(labels, min_size=1, max_size=3).map(".".join)
+paths = st.lists(st.sampled_from(["/", "x", "/x", "y/", ""]), max_size=4).map("".join)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(hosts.filter(bool), paths), max_size=8, unique=True),
+    st.lists(st.tuples(hosts, paths), min_size=1, max_size=25),
+)
+def test_nested_rules(spark, rules, pages):
+    rules = [(h, p, ("allow", "block")[i % 2]) for i, (h, p) in enumerate(rules)]
+    # Equal length and equal host leave one rule, so that the outcome is defined.
+    urls = [f"http://{h}/{p}" for h, p in pages]
+    assert judged(spark, urls, rules, pages_per_sweep=3) == {i: brute_force(u, rules) for i, u in enumerate(urls)}
+
+
+def test_rules_that_repeat_or_disagree(spark):
+    rules = [("a.b", "/", "allow"), ("A.B", "/", "block"), ("a.b", "/", "allow"), ("", "/", "block")]
+    assert judged(spark, ["http://a.b/x", "http:///x"], rules) == {0: ("a.b", "/x", "a.b/", "block"), 1: ("", "/x", None, "allow")}
+
+
+def test_empty_tables_default_and_clashing_columns(spark):
+    assert judged(spark, [], RULES) == {}
+    assert judged(spark, ["http://net/"], [], default="block") == {0: ("net", "/", None, "block")}
+    df = spark.createDataFrame([(1, "http://net/", "h", 5), (1, "http://net/", "h", 5)], "page_id long, url string, host string, `x.y` int")
+    got = judge(df, rule_table(spark, RULES))
+    assert got.columns == ["page_id", "url", "x.y", "host", "path", "rule", "verdict"] and got.count() == 2
+
+
+def test_hot_and_very_long_url(spark):
+    urls = ["http://www.example.net/en/same"] * 500 + ["http://example.com/de/" + "x" * 100_000]
+    got = judged(spark, urls, RULES, pages_per_sweep=10)
+    assert {v for i, v in got.items() if i < 500} == {brute_force(urls[0], RULES)} and got[500][2:] == ("example.com/de/", "block")

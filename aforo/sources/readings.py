@@ -1,17 +1,16 @@
 """Readings from delimited text: folders of month files, bound to columns by name.
 
-Nothing is inferred from the data. Cells are read as text and cast without raising, so that a
-malformed cell is a NULL that ``operators.profile.cast_losses`` can count.
+Nothing is inferred from the data unless asked for. Cells are read as text and cast without raising, so
+that a malformed cell is a NULL that ``operators.profile.cast_losses`` can count.
 """
 
 from __future__ import annotations
 
+import csv
 import logging
+import re
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,36 +25,61 @@ log = logging.getLogger(__name__)
 SEPARATOR = ";"
 ALL_MONTHS = "periodo_*/*.csv"
 FOLDER_MONTHS = "*.csv"
+# Measures are doubles: whole files hold integers, single cells may not.
 READING_TYPES: dict[str, str] = {
     "fecha": "string",
     "tipo_elem": "string",
-    "intensidad": "int",
+    "intensidad": "double",
     "ocupacion": "double",
-    "carga": "int",
-    "vmed": "int",
+    "carga": "double",
+    "vmed": "double",
 }
 
-PROBE_THREADS = 16
 
+def literal_path(path: str) -> str:
+    """The path with characters that file patterns give a meaning to taken as themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
-def month_files(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
-    """Month files under a glob, each with one file to take its header from; empty when there are none.
 
-    A month is a plain file or, when Spark wrote it, a folder called ``*.csv`` of part files.
-    Listing only: no job, and any file system Spark can read.
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path, files = _file_system(spark, path)
+    return files.exists(hadoop_path)
+
+
+def month_files(spark: SparkSession, pattern: str) -> dict[str, str]:
+    """Month files under a file pattern, each with one file to take its header from; empty when there are none.
+
+    A month is a plain file or, when Spark wrote it, a folder called ``*.csv`` of part files. Empty files
+    hold no header and are passed over. The driver lists folders, on any file system Spark can read; no job runs.
     """
-    try:
-        # Listed as encoded URIs, while the reader takes plain paths.
-        leaves = [unquote(leaf) for leaf in spark.read.text(paths).inputFiles()]
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return {}
-        raise
+    glob, files = _file_system(spark, pattern)
     months: dict[str, str] = {}
-    for leaf in sorted(leaves):
-        parent = leaf.rsplit("/", 1)[0]
-        months.setdefault(parent if parent.endswith(".csv") else leaf, leaf)
-    return months
+    for status in files.globStatus(glob) or []:
+        month = status.getPath().toString()
+        leaves = [status]
+        if status.isDirectory():
+            leaves = [f for f in files.listStatus(status.getPath()) if f.isFile() and f.getPath().getName()[0] not in "_."]
+        leaves = sorted(f.getPath().toString() for f in leaves if f.getLen() > 0)
+        if leaves:
+            months[month] = leaves[0]
+    return dict(sorted(months.items()))
+
+
+def header_of(spark: SparkSession, leaf: str, sep: str = SEPARATOR) -> tuple[str, ...]:
+    """The column names in a file's first line, read by the driver without a job."""
+    path, files = _file_system(spark, leaf)
+    java = spark.sparkContext._jvm.java.io
+    reader = java.BufferedReader(java.InputStreamReader(files.open(path), "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return tuple(next(csv.reader([(line or "").removeprefix("\ufeff")], delimiter=sep)))
 
 
 def _reader(spark: SparkSession, sep: str):
@@ -64,11 +88,9 @@ def _reader(spark: SparkSession, sep: str):
 
 def months_by_header(spark: SparkSession, months: Mapping[str, str], sep: str = SEPARATOR) -> dict[tuple[str, ...], list[str]]:
     """Month files grouped by header line. Reads one line per month, not per part file."""
-    with ThreadPoolExecutor(PROBE_THREADS) as pool:
-        headers = pool.map(lambda leaf: tuple(_reader(spark, sep).csv(leaf).columns), months.values())
     grouped: dict[tuple[str, ...], list[str]] = {}
-    for month, header in zip(months, headers):
-        grouped.setdefault(header, []).append(month)
+    for month, leaf in months.items():
+        grouped.setdefault(header_of(spark, leaf, sep), []).append(month)
     return grouped
 
 
@@ -76,30 +98,48 @@ def empty_text(spark: SparkSession, columns: Sequence[str] = tuple(READING_TYPES
     return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
-def _scan(spark: SparkSession, paths: str | Sequence[str], sep: str, infer: bool = False) -> DataFrame | None:
+def _text_schema(header: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in header])
+
+
+def _settled(schemas: Sequence[T.StructType]) -> dict[str, T.DataType]:
+    """One type per column: the common one, the wider of two numeric ones, else text. Times stay text,
+    because Spark would read them in the session's zone."""
+    settled: dict[str, T.DataType] = {}
+    for field in (f for schema in schemas for f in schema.fields):
+        kind = field.dataType
+        if not isinstance(kind, (T.NumericType, T.BooleanType, T.DateType)):
+            kind = T.StringType()
+        known = settled.setdefault(field.name, kind)
+        if known != kind:
+            numeric = isinstance(known, T.NumericType) and isinstance(kind, T.NumericType)
+            whole = all(isinstance(t, (T.IntegerType, T.LongType)) for t in (known, kind))
+            settled[field.name] = (T.LongType() if whole else T.DoubleType()) if numeric else T.StringType()
+    return settled
+
+
+def _scan(spark: SparkSession, pattern: str, sep: str, infer: bool = False) -> DataFrame | None:
     """All month files, one scan per distinct header, as text or inferred; None when there are no files."""
-    months = month_files(spark, paths)
+    months = month_files(spark, pattern)
     if not months:
-        log.warning("no month files under %s", paths)
+        log.warning("no month files under %s", pattern)
         return None
-    scans = []
-    for header, files in months_by_header(spark, months, sep).items():
-        reader = _reader(spark, sep).option("enforceSchema", False)
-        if infer:
-            reader = reader.option("inferSchema", True)
-        else:
-            reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
-        scans.append(reader.csv(files))
-    return union_by_name(scans)
-
-
-def read_text_cells(spark: SparkSession, paths: str | Sequence[str], sep: str = SEPARATOR) -> DataFrame:
+    grouped = {h: [literal_path(f) for f in files] for h, files in months_by_header(spark, months, sep).items()}
+    schemas = {header: _text_schema(header) for header in grouped}
+    if infer:
+        guessed = {h: _reader(spark, sep).option("inferSchema", True).csv(files).schema for h, files in grouped.items()}
+        types = _settled(list(guessed.values()))
+        schemas = {h: T.StructType([T.StructField(c, types[c]) for c in h]) for h in grouped}
+    return union_by_name([_reader(spark, sep).option("enforceSchema", False).schema(schemas[h]).csv(files) for h, files in grouped.items()])
+
+
+def read_text_cells(spark: SparkSession, pattern: str, sep: str = SEPARATOR) -> DataFrame:
     """All month files as text columns, bound by name; columns a file lacks are NULL.
 
     ``enforceSchema`` is off, so every part file's own header is checked as it is read, and a
     file that deviates from its month fails instead of being mixed.
     """
-    found = _scan(spark, paths, sep)
+    found = _scan(spark, pattern, sep)
     return empty_text(spark) if found is None else found
 
 
@@ -118,23 +158,36 @@ def typed(raw: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
 
 def read_files(
     spark: SparkSession,
-    paths: str | Sequence[str],
+    pattern: str,
     types: Mapping[str, str] | None = None,
     infer: bool = False,
     sep: str = SEPARATOR,
 ) -> DataFrame:
-    """Readings from the given files or globs.
+    """Readings from the files of a pattern; none is no error.
 
-    ``infer=True`` lets Spark guess the types instead, which takes one more pass over the text.
+    ``infer=True`` lets Spark guess the types instead, which takes one more pass over the text. Columns
+    whose files disagree get a common type, and times stay text for ``clean`` to parse.
     """
-    if infer and (found := _scan(spark, paths, sep, infer=True)) is not None:
+    if infer and (found := _scan(spark, pattern, sep, infer=True)) is not None:
         return found
-    return typed(read_text_cells(spark, paths, sep), types)
+    return typed(read_text_cells(spark, pattern, sep), types)
+
+
+def _require(spark: SparkSession, root: str, patterns: Sequence[str]) -> None:
+    """An error where nothing can be read: better than results that are empty for a mistyped name."""
+    if not exists(spark, root):
+        raise FileNotFoundError(f"{root} does not exist")
+    for pattern in patterns:
+        glob, files = _file_system(spark, f"{literal_path(root)}/{pattern}")
+        if files.globStatus(glob):
+            return
+    raise FileNotFoundError(f"no month files under {root} for {', '.join(patterns)}")
 
 
 def read_all(spark: SparkSession, root: str, **options) -> DataFrame:
-    """Every month file in every period folder."""
-    return read_files(spark, f"{root}/{ALL_MONTHS}", **options)
+    """Every month file in every period folder. A root that does not exist or holds none is an error."""
+    _require(spark, root, [ALL_MONTHS])
+    return read_files(spark, f"{literal_path(root)}/{ALL_MONTHS}", **options)
 
 
 def read_folder(
@@ -151,7 +204,7 @@ def read_folder(
     """
     if period.carpeta is None:
         return None
-    found = _scan(spark, f"{root}/{period.carpeta}/{FOLDER_MONTHS}", sep)
+    found = _scan(spark, f"{literal_path(root)}/{literal_path(period.carpeta)}/{FOLDER_MONTHS}", sep)
     if found is None:
         return None
     label = (F.lit(period.num).alias("periodo_num"), F.lit(period.nombre).alias("periodo"))
@@ -159,7 +212,11 @@ def read_folder(
 
 
 def read_periods(spark: SparkSession, root: str, periods: Sequence[Period] = PERIODS, **options) -> DataFrame:
-    """The folders of the chosen periods, labelled; only these folders are listed and read."""
+    """The folders of the chosen periods, labelled; only these folders are listed and read.
+
+    Some may be empty. That none of them holds a month file is an error.
+    """
+    _require(spark, root, [f"{literal_path(p.carpeta)}/{FOLDER_MONTHS}" for p in periods if p.carpeta])
     parts = [part for p in periods if (part := read_folder(spark, root, p, **options)) is not None]
     if not parts:
         empty = typed(empty_text(spark), options.get("types"))

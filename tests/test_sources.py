@@ -79,13 +79,74 @@ def test_selected_periods(spark, root, plan):
     assert {int(r.id): r.periodo_num for r in by_date.collect()} == {1: 1, 2: 1, 3: 1, 4: 3, 5: None}
 
 
-def test_empty_folders(spark, tmp_path):
+def test_nothing_to_read_is_an_error(spark, tmp_path):
+    """A mistyped root, or one without month files, must not pass as an empty table."""
     (tmp_path / P1.carpeta).mkdir()
-    everything = readings.read_all(spark, str(tmp_path))
-    assert everything.count() == 0 and dict(everything.dtypes) == readings.READING_TYPES
-    chosen = readings.read_periods(spark, str(tmp_path))
-    assert chosen.count() == 0 and chosen.columns[-2:] == ["periodo_num", "periodo"]
-    assert analyses.period_stats(classify(clean(everything))).count() == 0
+    for root in (tmp_path, tmp_path / "no"):
+        with pytest.raises(FileNotFoundError):
+            readings.read_all(spark, str(root))
+        with pytest.raises(FileNotFoundError):
+            readings.read_periods(spark, str(root), PERIODS)
+
+
+def test_one_empty_folder_among_others(spark, root):
+    from pathlib import Path
+
+    (Path(root) / P4.carpeta).mkdir()
+    assert ids(readings.read_all(spark, root)) == [1, 2, 3, 4, 5]
+    assert ids(readings.read_periods(spark, root)) == [1, 2, 3, 4, 5]
+
+
+def test_root_with_pattern_characters(spark, tmp_path):
+    month = tmp_path / "a[1]{b}*?" / P1.carpeta / "02-2019[x].csv"
+    month.parent.mkdir(parents=True)
+    month.write_text("id;fecha\n7;2019-02-01 00:00:00\n")
+    other = tmp_path / "a1b" / P1.carpeta / "02-2019.csv"
+    other.parent.mkdir(parents=True)
+    other.write_text("id;fecha\n8;2019-02-01 00:00:00\n")
+    root = str(tmp_path / "a[1]{b}*?")
+    assert ids(readings.read_all(spark, root)) == [7]
+    assert ids(readings.read_periods(spark, root, [P1])) == [7]
+
+
+def test_many_months_take_few_jobs(spark, tmp_path):
+    folder = tmp_path / P1.carpeta
+    folder.mkdir()
+    for i in range(200):
+        (folder / f"{i:03}.csv").write_text(f"id;fecha\n{i};2019-02-01 00:00:00\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("many-months", "")
+    df = readings.read_all(spark, str(tmp_path))
+    assert len(tracker.getJobIdsForGroup("many-months")) < 5
+    spark.sparkContext._jsc.clearJobGroup()
+    assert df.count() == 200
+
+
+def test_inference_ignores_the_session_zone(spark, tree):
+    """02:15 does not exist that day in Madrid; it is still hour 2."""
+    root = tree(P1.carpeta, "03-2019", ["1;2019-03-31 02:15:00;URB;100;5;10;40"])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Madrid")
+    try:
+        row = clean(readings.read_all(spark, root, infer=True)).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert (row.hora, row.intensidad) == (2, 100)
+
+
+def test_inference_over_unlike_files(spark, tree):
+    tree(P1.carpeta, "02-2019", ["1;2019-02-01 00:00:00;URB;100;5;10;40"])
+    root = tree(P1.carpeta, "03-2019", ["abc;2;2019-03-01 00:00:00;2.5"], "intensidad;id;fecha;carga")
+    df = readings.read_all(spark, root, infer=True)
+    types = dict(df.dtypes)
+    assert types["intensidad"] == "string" and types["carga"] == "double" and types["id"] == "int"
+    assert [(r.id, r.intensidad, r.carga) for r in df.orderBy("id").collect()] == [(1, "100", 10.0), (2, "abc", 2.5)]
+
+
+def test_fractional_and_large_cells_are_kept(spark, tree):
+    root = tree(P1.carpeta, "02-2019", ["1;2019-02-01 00:00:00;URB;12.7;5;21.5;99999999999"])
+    row = readings.read_all(spark, root).first()
+    assert (row.intensidad, row.carga, row.vmed) == (12.7, 21.5, 99999999999.0)
 
 
 def test_empty_and_header_only_files(spark, root):
@@ -98,7 +159,9 @@ def test_empty_and_header_only_files(spark, root):
     assert ids(readings.read_all(spark, root)) == [1, 2, 3, 4, 5]
     assert readings.read_periods(spark, root, [P4]).count() == 0
     (folder / "07-2020.csv").unlink()
-    assert readings.read_periods(spark, root, [P4]).count() == 0
+    only_empty = readings.read_periods(spark, root, [P4])
+    assert only_empty.count() == 0 and only_empty.columns[-2:] == ["periodo_num", "periodo"]
+    assert analyses.period_stats(classify(clean(only_empty))).count() == 0
 
 
 def test_one_file(spark, root):
@@ -191,21 +254,33 @@ def test_large_table_is_written_by_many_tasks(spark, tmp_path):
     assert len(list((tmp_path / "g").glob("part-*.csv"))) > 1
 
 
-def test_scratch_is_the_folder_the_session_names(spark, monkeypatch):
+def test_scratch_is_the_folder_the_session_names(spark, tmp_path):
     root = spark.conf.get("spark.checkpoint.dir")
     a, b = scratch.scratch_path(spark, "x"), scratch.scratch_path(spark, "x")
     assert a.startswith(root) and a != b
+    assert scratch.scratch_path(spark, "x", str(tmp_path)).startswith(str(tmp_path))
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster():
-    class Conf(dict):
-        def set(self, key, value):
-            self[key] = value
-
+def test_scratch_reads_settings_and_writes_none():
     class Session:
-        conf = Conf({"spark.master": "yarn"})
+        class sparkContext:
+            applicationId = "none"
+
+        class conf:
+            settings = {"spark.sql.warehouse.dir": "hdfs://shared/warehouse/"}
+
+            @classmethod
+            def get(cls, key, default=None):
+                return cls.settings.get(key, default)
+
+    assert scratch.scratch_path(Session, "x").startswith("hdfs://shared/warehouse/_scratch/aforo-x-")
+    Session.conf.settings = {}
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_path(Session, "x")
+
 
-    with pytest.raises(RuntimeError):
-        scratch.scratch_path(Session(), "x")
-    Session.conf["spark.master"] = "local[2]"
-    assert scratch.scratch_path(Session(), "x").startswith(Session.conf["spark.checkpoint.dir"])
+def test_scratch_is_cleaned(spark, tmp_path):
+    table = scratch.stored(spark.range(3), "x", str(tmp_path))
+    assert table.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    assert scratch.release(spark) >= 1
+    assert list(tmp_path.iterdir()) == []

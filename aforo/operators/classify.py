@@ -15,8 +15,6 @@ from aforo.operators.clean import TS
 from aforo.periods import PERIODS, Period
 
 PERIOD_ENDS = ("instant", "day")
-CALENDAR_FIRST = dt.date(1900, 1, 1)
-CALENDAR_LAST = dt.date(2199, 12, 31)
 
 
 def _check(period_end: str) -> None:
@@ -87,52 +85,40 @@ def classify(
     return rows.withColumns({"periodo_num": number, "periodo": name})
 
 
-def _covered_days(inicio: Column, fin: Column) -> Column:
-    """The days of a period; an error outside the calendar that bounds the broadcast."""
-    inside = (inicio >= F.lit(CALENDAR_FIRST)) & (fin <= F.lit(CALENDAR_LAST))
-    refuse = F.raise_error(f"period outside {CALENDAR_FIRST}..{CALENDAR_LAST}: use broadcast=False")
-    return F.when(inside, F.sequence(inicio, fin)).otherwise(refuse)
+def _month(column: Column) -> Column:
+    return F.year(column) * 12 + F.month(column)
 
 
 def classify_by_table(
     df: DataFrame,
     table: DataFrame,
     period_end: str = "instant",
-    broadcast: bool = True,
+    broadcast: bool = False,
     ts: str = TS,
 ) -> DataFrame:
     """Left lookup of each reading in a period table given as data (``num, nombre, inicio, fin``).
 
-    Period bounds are dates, so the range test is an equality on the calendar day: the table is
-    unfolded to one row per covered day (and, for ``instant``, whether the reading falls exactly
-    on midnight, the only part of a last day that still counts). The lowest number wins where
-    periods overlap, so a reading never multiplies, and no nested-loop range join is planned.
-
-    With ``broadcast`` the readings are not shuffled. The lookup side then has a fixed bound,
-    two rows per calendar day of 1900 to 2199, about 220 thousand, however many periods there are;
-    a period outside those years is an error. ``broadcast=False`` takes any dates and leaves the
-    join to Spark.
+    The table is unfolded to months, each with the list of the periods that touch it by number, so the join is
+    an equality and a reading meets one row. The first period of the list that holds the reading wins:
+    the lowest number where periods overlap. A period that ends before it begins, or lacks a bound, holds nothing.
+    Dates of any year may occur. Spark picks the join by the size of the unfolded table, which is small
+    for any ordinary one; ``broadcast`` asks for a broadcast.
     """
     _check(period_end)
     for name in ("inicio", "fin"):
         if not isinstance(table.schema[name].dataType, T.DateType):
             raise TypeError(f"period column {name} must be a date")
-    days_of = _covered_days if broadcast else F.sequence
-    days = table.select("num", "nombre", "fin", F.explode(days_of(F.col("inicio"), F.col("fin"))).alias("_day"))
-    keys = ["_day"]
-    probe = [F.col(ts).cast("date").alias("_day")]
-    if period_end == "instant":
-        whole_day = F.array(F.lit(True), F.lit(False))
-        midnight_only = F.array(F.lit(True))
-        parts = F.when(F.col("_day") < F.col("fin"), whole_day).otherwise(midnight_only)
-        days = days.select("num", "nombre", "_day", F.explode(parts).alias("_midnight"))
-        keys.append("_midnight")
-        midnight = F.col(ts).cast("date").cast("timestamp_ntz")
-        probe.append((F.col(ts) == midnight).alias("_midnight"))
-    winner = days.groupBy(*keys).agg(F.min(F.struct("num", "nombre")).alias("_p"))
+    sound = table.filter(F.col("inicio") <= F.col("fin"))
+    months = sound.select("num", "nombre", "inicio", "fin", F.explode(F.sequence(_month(F.col("inicio")), _month(F.col("fin")))).alias("_month"))
+    lists = months.groupBy("_month").agg(F.sort_array(F.collect_list(F.struct("num", "nombre", "inicio", "fin"))).alias("_periods"))
+
+    def holds(period: Column) -> Column:
+        begin = period["inicio"].cast("timestamp_ntz")
+        if period_end == "instant":
+            return F.col(ts).between(begin, period["fin"].cast("timestamp_ntz"))
+        return (F.col(ts) >= begin) & (F.col(ts).cast("date") <= period["fin"])
+
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("periodo_num", "periodo")]
-    return (
-        df.select(*kept, *probe)
-        .join(F.broadcast(winner) if broadcast else winner, keys, "left")
-        .select(*kept, F.col("_p.num").alias("periodo_num"), F.col("_p.nombre").alias("periodo"))
-    )
+    found = F.get(F.filter("_periods", holds), F.lit(0))
+    joined = df.select(*kept, _month(F.col(ts)).alias("_month")).join(F.broadcast(lists) if broadcast else lists, "_month", "left")
+    return joined.select(*kept, found["num"].alias("periodo_num"), found["nombre"].alias("periodo"))

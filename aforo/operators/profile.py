@@ -7,7 +7,6 @@ form: one row per column, rule or pair.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +17,10 @@ from aforo.functions.values import is_floating, missing, nan_to_null, number_fro
 # The readings the study counts as invalid.
 INVALID_RULES: dict[str, str] = {"vmed_negativa": "vmed < 0"}
 
-# Aggregation state of one correlation, in fields: a covariance and two deviations.
-PEARSON_FIELDS = 10
-
 
 def _long(totals: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
     """Unfold a one-row table into one row per entry."""
-    entries = [F.struct(*(c.alias(n) for c, n in zip(row, names))) for row in rows]
+    entries = [F.struct(*(c.alias(n) for c, n in zip(row, names, strict=True))) for row in rows]
     return totals.select(F.inline(F.array(*entries)))
 
 
@@ -96,11 +92,10 @@ def _pearson(x: Column, y: Column) -> Column:
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every ordered pair of numeric columns.
+    """Pearson correlation of every ordered pair of numeric columns; 1 of a column with itself.
 
-    A row counts for a pair when both values are present. One pass in either of two shapes: all
-    pairs side by side in one aggregate while that is small enough for generated code, else
-    each row once per column, grouped by that column, against all columns.
+    A row counts for a pair when both values are present. One pass: each row goes once per column, grouped
+    by that column, against all columns, so that the aggregate grows with the columns and not with their pairs.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
     if not names:
@@ -112,24 +107,32 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         return present.cast("double").alias(f"_{names.index(name)}")
 
     values = df.select(*(value(n) for n in names))
-    titles = ("columna_a", "columna_b", "correlacion")
-    pairs = list(combinations_with_replacement(range(len(names)), 2))
-    if len(pairs) * PEARSON_FIELDS <= int(df.sparkSession.conf.get("spark.sql.codegen.maxFields")):
-        totals = values.agg(*(_pearson(F.col(f"_{a}"), F.col(f"_{b}")).alias(f"_r{a}_{b}") for a, b in pairs))
-        cells = [
-            (F.lit(names[a]), F.lit(names[b]), F.col(f"_r{min(a, b)}_{max(a, b)}"))
-            for a in range(len(names))
-            for b in range(len(names))
-        ]
-        return _long(totals, cells, titles)
-
     sides = F.array(*(F.struct(F.lit(n).alias("columna_a"), F.col(f"_{i}").alias("_x")) for i, n in enumerate(names)))
     totals = (
         values.select("*", F.inline(sides))
         .groupBy("columna_a")
         .agg(*(_pearson(F.col("_x"), F.col(f"_{i}")).alias(f"_r{i}") for i in range(len(names))))
     )
-    return _long(totals, [(F.col("columna_a"), F.lit(n), F.col(f"_r{i}")) for i, n in enumerate(names)], titles)
+
+    def cell(i: int, name: str) -> Column:
+        found = F.col(f"_r{i}")
+        return F.when(found.isNotNull() & (F.col("columna_a") == name), F.lit(1.0)).otherwise(found)
+
+    return _long(totals, [(F.col("columna_a"), F.lit(n), cell(i, n)) for i, n in enumerate(names)], ("columna_a", "columna_b", "correlacion"))
+
+
+def column_profile(df: DataFrame, rules: Mapping[str, str] = INVALID_RULES) -> DataFrame:
+    """All of the above in one pass: size, and per column its type, present and missing values, per rule the rows."""
+    totals = df.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *(F.count_if(missing(df, c)).alias(f"_{i}") for i, c in enumerate(df.columns)),
+        *(F.count_if(F.expr(rule)).alias(f"_r{i}") for i, rule in enumerate(rules.values())),
+    )
+    nothing = F.lit(None).cast("string")
+    rows = [(F.lit("tabla"), nothing, nothing, F.col("_rows"), F.lit(len(df.columns)).cast("long"))]
+    rows += [(F.lit("columna"), F.lit(c), F.lit(t), F.col("_rows") - F.col(f"_{i}"), F.col(f"_{i}")) for i, (c, t) in enumerate(df.dtypes)]
+    rows += [(F.lit("regla"), F.lit(r), nothing, F.col(f"_r{i}"), F.lit(None).cast("long")) for i, r in enumerate(rules)]
+    return _long(totals, rows, ("clase", "nombre", "tipo", "filas", "otras"))
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:

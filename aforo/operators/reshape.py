@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aforo.functions.values import lookup
+
+#: Alias of the NULL category.
+NULL_ALIAS = "nulo"
+
 
 def wide(
     df: DataFrame,
@@ -17,13 +23,18 @@ def wide(
 ) -> DataFrame:
     """Pivot ``columns`` against ``index``; cell columns are called ``<cell>_<alias>``.
 
-    ``values`` maps each category to its alias. They are given, not looked up: that saves a job,
-    and the result has the same columns whatever the data holds. A category absent from ``values``
-    gets no column, so list them all (``categories`` finds them).
+    ``values`` maps each category, among them None for NULL, to its alias. They are given, not looked up: that
+    saves a job, and the result has the same columns whatever the data holds. A category absent from
+    ``values`` gets no column, so list them all (``categories`` finds them).
     """
-    pivoted = df.groupBy(index).pivot(columns, list(values)).agg(*(c.alias(name) for name, c in cells))
+    place = {value: f"c{i}" for i, value in enumerate(values)}
+    number = lookup(F.col(f"`{columns}`"), {v: p for v, p in place.items() if v is not None})
+    if None in place:
+        number = F.when(F.col(f"`{columns}`").isNull(), F.lit(place[None])).otherwise(number)
+    placed = df.withColumn("_category", number)
+    pivoted = placed.groupBy(index).pivot("_category", list(place.values())).agg(*(c.alias(name) for name, c in cells))
     # A single aggregate is named after the category alone, several get a suffix.
-    source = (lambda value, cell: value) if len(cells) == 1 else (lambda value, cell: f"{value}_{cell}")
+    source = (lambda value, cell: place[value]) if len(cells) == 1 else (lambda value, cell: f"{place[value]}_{cell}")
     return pivoted.select(
         index,
         *(F.col(f"`{source(value, cell)}`").alias(f"{cell}_{alias}") for cell, _ in cells for value, alias in values.items()),
@@ -43,14 +54,22 @@ def mean_matrix(df: DataFrame, index: str, columns: str, values: Mapping[str, st
     return wide(df, index, columns, values, [(m, F.avg(m)) for m in measures])
 
 
-def categories(df: DataFrame, column: str) -> dict[str, str]:
-    """The categories present in the data, as a ``values`` mapping. Runs a job on the distinct values.
+def categories(df: DataFrame, column: str) -> dict[str | None, str]:
+    """The categories present, NULL among them, as a ``values`` mapping with distinct aliases.
 
+    Runs a job on the distinct values, so it is meant for aggregated tables, not for readings.
     Spark's own limit on pivot columns holds here too: more categories are an error.
     """
     most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    distinct = df.select(column).distinct().filter(F.col(column).isNotNull())
-    found = distinct.orderBy(column).limit(most + 1).collect()
+    found = df.select(column).distinct().orderBy(F.col(column).asc_nulls_last()).limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"{column} has more than {most} categories")
-    return {r[0]: str(r[0]).strip().lower().replace(" ", "_") for r in found}
+    aliases: dict[str | None, str] = {}
+    for (value,) in found:
+        alias = name = NULL_ALIAS if value is None else re.sub(r"\s+", "_", str(value).strip().lower())
+        n = 1
+        while alias in aliases.values():
+            n += 1
+            alias = f"{name}_{n}"
+        aliases[value] = alias
+    return aliases

@@ -51,3 +51,12 @@ def pick(periods: Iterable[Period], nums: Iterable[int]) -> tuple[Period, ...]:
     """The periods with the given numbers, in the order asked for."""
     by_num = {p.num: p for p in periods}
     return tuple(by_num[n] for n in nums)
+
+
+def read_period_file(spark: SparkSession, path: str) -> tuple[Period, ...]:
+    """Periods from a small CSV with the columns ``num``, ``nombre``, ``inicio``, ``fin`` and optionally ``carpeta``."""
+    rows = spark.read.option("header", True).csv(path).collect()
+    return tuple(
+        Period(int(r["num"]), r["nombre"], dt.date.fromisoformat(r["inicio"]), dt.date.fromisoformat(r["fin"]), r.asDict().get("carpeta"))
+        for r in rows
+    )

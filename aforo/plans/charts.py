@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from aforo.functions.dates import WEEKEND_LABEL, WORKDAY_LABEL
 from aforo.functions.values import lookup
-from aforo.operators.reshape import spread
+from aforo.operators.reshape import categories, spread
 from aforo.periods import PERIODS, Period
 
 # The categories of the charts, with the names of their columns.
 DAY_TYPES: dict[str, str] = {WEEKEND_LABEL: "fin_de_semana", WORKDAY_LABEL: "laborable"}
-ROAD_TYPES: dict[str, str] = {"M30": "m30", "URB": "urb"}
 CHART_MEASURES = ("carga", "intensidad")
 
 
@@ -48,9 +47,12 @@ def day_type_bars(split: DataFrame) -> DataFrame:
     return _bars(split, "tipo_día", DAY_TYPES)
 
 
-def road_type_bars(split: DataFrame, values: Mapping[str, str] = ROAD_TYPES) -> DataFrame:
-    """Mean load and intensity, period against road type."""
-    return _bars(split, "tipo_elem", values)
+def road_type_bars(split: DataFrame, values: Mapping[str, str] | None = None) -> DataFrame:
+    """Mean load and intensity, period against road type: all that the table has, or the given ones.
+
+    ``split`` is a result of a few rows; without ``values`` a job lists its road types.
+    """
+    return _bars(split, "tipo_elem", categories(split, "tipo_elem") if values is None else values)
 
 
 def hour_error_bars(by_hour: DataFrame) -> DataFrame:

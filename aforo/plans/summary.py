@@ -15,25 +15,30 @@ from pyspark.sql import functions as F
 
 from aforo.functions.values import round_half_even
 from aforo.operators.stats import Stat, named_stats, spec_stats
-from aforo.plans.analyses import HOUR_STATS, PERIOD_STATS, SPLIT_STATS, with_day_type
+from aforo.plans.analyses import CLOCK_STATS, HOUR_STATS, PERIOD_STATS, SPLIT_STATS, YEAR_WEEKEND_STATS, with_day_type
 
 MEASURES = ("intensidad", "ocupacion", "carga")
 GRAIN = ("periodo_num", "periodo", "hora", "tipo_día", "tipo_elem")
 
 
-def summarize(df: DataFrame, measures: Sequence[str] = MEASURES, grain: Sequence[str] = GRAIN) -> DataFrame:
-    """Mergeable moments of each measure at the finest grain the analyses need."""
-    moments: list[Column] = [F.count(F.lit(1)).alias("filas")]
+def moments(df: DataFrame, measures: Sequence[str], grain: Sequence[str]) -> DataFrame:
+    """Rows, and count, sum, squared deviations, minimum and maximum of each measure, at the given grain."""
+    columns: list[Column] = [F.count(F.lit(1)).alias("filas")]
     for m in measures:
         c = F.col(m)
-        moments += [
+        columns += [
             F.count(c).alias(f"{m}_n"),
             F.sum(c.cast("double")).alias(f"{m}_sum"),
             (F.var_pop(c) * F.count(c)).alias(f"{m}_m2"),
             F.min(c).alias(f"{m}_min"),
             F.max(c).alias(f"{m}_max"),
         ]
-    return with_day_type(df).groupBy(*grain).agg(*moments)
+    return df.groupBy(*grain).agg(*columns)
+
+
+def summarize(df: DataFrame, measures: Sequence[str] = MEASURES, grain: Sequence[str] = GRAIN) -> DataFrame:
+    """Mergeable moments of each measure at the finest grain the analyses need."""
+    return moments(with_day_type(df), measures, grain)
 
 
 def rollup(
@@ -90,3 +95,13 @@ def road_type_split(summary: DataFrame, decimals: int | None = None) -> DataFram
 
 def rows_per_period(summary: DataFrame) -> DataFrame:
     return summary.groupBy("periodo").agg(F.sum("filas").alias("count")).orderBy("periodo")
+
+
+def intensity_by_hour(summary: DataFrame, decimals: int | None = None) -> DataFrame:
+    """From moments of the intensity by year, hour and weekend; rows without a date have no hour."""
+    return rollup(summary.filter("hora IS NOT NULL"), ["hora"], named_stats("intensidad", CLOCK_STATS), decimals)
+
+
+def intensity_year_weekend(summary: DataFrame, decimals: int | None = None) -> DataFrame:
+    dated = summary.filter("`año` IS NOT NULL")
+    return rollup(dated, ["año", "es_fin_semana"], named_stats("intensidad", YEAR_WEEKEND_STATS), decimals)

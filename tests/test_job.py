@@ -111,6 +111,51 @@ def test_charts_and_exploration(spark, root, tmp_path):
     assert missing["ocupacion"] == "36" and missing["vmed"] == "0"
     assert table(out / "exploracion_lecturas_invalidas") == [{"regla": "vmed_negativa", "filas": "8"}]
     year = table(out / "exploracion_intensidad_por_anio")
-    assert [(r["año"], r["contador"], r["mínimo"]) for r in year] == [("2020", "72", "0")]
+    assert [(r["año"], r["contador"], r["mínimo"]) for r in year] == [("2020", "72", "0.0")]
     assert len(table(out / "exploracion_intensidad_por_hora")) == 4
     assert len(table(out / "exploracion_correlacion")) > 9
+
+
+def test_exploration_is_the_same_from_text_and_copies(spark, tree, tmp_path):
+    """With rows outside all periods, without a readable date, and cells that are no numbers."""
+    rows = ["1;2020-03-14 06:00:00;URB;12.7;5;21.5;40", "2;2021-06-01 06:00:00;OTRO;20;x;10;-4", "3;basura;;30;7;9;5"]
+    root = tree(PERIODS[1].carpeta, "03-2020", rows, HEADER)
+    lake = tmp_path / "lago"
+    run(spark, root, tmp_path / "t", "--explore", "--decimals", 6)
+    run(spark, root, tmp_path / "i", "--explore", "--decimals", 6, "--ingest", lake)
+    run(spark, lake, tmp_path / "p", "--explore", "--decimals", 6, "--parquet")
+    names = sorted(p.name for p in (tmp_path / "t").iterdir() if p.name.startswith(("exploracion_", "perdidas", "sin_periodo")))
+    assert len(names) == 13
+    for name in names:
+        assert table(tmp_path / "t" / name) == table(tmp_path / "i" / name) == table(tmp_path / "p" / name), name
+    assert table(tmp_path / "t" / "exploracion_tamano") == [{"filas": "3", "columnas": "7"}]
+    assert {r["año"] for r in table(tmp_path / "t" / "exploracion_intensidad_por_anio")} == {"2020", "2021"}
+    assert table(tmp_path / "t" / "exploracion_fechas_no_leidas") == [{"filas": "3", "no_leidas": "1"}]
+    assert table(tmp_path / "t" / "sin_periodo") == [{"filas": "3", "sin_periodo": "2"}]
+    lost = {r["columna"]: r["perdidos"] for r in table(tmp_path / "t" / "perdidas")}
+    assert lost["ocupacion"] == "1" and lost["intensidad"] == "0"
+    assert "id" in {r["columna_a"] for r in table(tmp_path / "t" / "exploracion_correlacion")}
+    assert table(tmp_path / "t" / "analisis_01_intensidad_ocupacion_carga")[0]["intensidad_mean"] == "12.7"
+
+
+def test_all_road_types_have_a_column(spark, tree, tmp_path):
+    kinds = ["URB", "M30", "A b", "a_b", ""]
+    root = tree(PERIODS[1].carpeta, "03-2020", [f"{i};2020-03-1{i} 06:00:00;{k};{i};1;1;1" for i, k in enumerate(kinds)], HEADER)
+    run(spark, root, tmp_path / "o")
+    assert list(table(tmp_path / "o" / "grafico_04_tipo_via")[0])[1:6] == ["carga_a_b", "carga_m30", "carga_urb", "carga_a_b_2", "carga_nulo"]
+
+
+def test_own_periods_reach_the_charts(spark, root, tmp_path):
+    (tmp_path / "p.csv").write_text("num,nombre,inicio,fin\n9,Marzo,2020-03-01,2020-03-31\n")
+    run(spark, root, tmp_path / "q", "--period-file", tmp_path / "p.csv", "--ranges", "intensidad:0:400")
+    assert table(tmp_path / "q" / "grafico_01_intensidad_ocupacion_carga")[0]["periodo_num"] == "9"
+    assert all(r["carga_periodo_9"] for r in table(tmp_path / "q" / "grafico_02_carga_por_hora"))
+    assert float(table(tmp_path / "q" / "analisis_01_intensidad_ocupacion_carga")[0]["intensidad_max"]) <= 400
+
+
+def test_wrong_root_leaves_old_results_alone(spark, root, tmp_path):
+    run(spark, root, tmp_path / "k")
+    before = table(tmp_path / "k" / "instancias_por_periodo")
+    with pytest.raises(FileNotFoundError):
+        run(spark, root + "x", tmp_path / "k")
+    assert table(tmp_path / "k" / "instancias_por_periodo") == before

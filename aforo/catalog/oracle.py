@@ -6,7 +6,7 @@ NULL are compared as doubles.
 
 from __future__ import annotations
 
-from aforo.catalog.queries import OFF_TIE, PLACES, RANGES
+from aforo.catalog.queries import DIRTY_PERIODS, OFF_TIE, PLACES, RANGES
 from aforo.periods import Period
 from aforo.sources.views import EVENT_PERIODS, LINEITEM_PERIODS
 
@@ -188,6 +188,21 @@ FROM E LEFT JOIN T ON fecha >= inicio AND {upper}"""
 
 ORACLE["classify_range_join"] = _range_join("instant")
 ORACLE["classify_range_join_day"] = _range_join("day")
+ORACLE["classify_range_join_broadcast"] = ORACLE["classify_range_join"]
+
+
+def _dirty() -> str:
+    def day(text: str | None) -> str:
+        return "NULL::TIMESTAMP" if text is None else f"TIMESTAMP '{text}'"
+
+    rows = ", ".join(f"({n}, '{name}', {day(a)}, {day(b)})" for n, name, a, b in DIRTY_PERIODS)
+    return f"""WITH {E}, T(num, nombre, inicio, fin) AS (VALUES {rows}),
+  R AS (SELECT event_id, num, nombre, row_number() OVER (PARTITION BY event_id ORDER BY num) AS k
+    FROM E LEFT JOIN T ON fecha >= inicio AND fecha <= fin)
+SELECT event_id, CAST(num AS DOUBLE) AS periodo_num, nombre AS periodo FROM R WHERE k = 1"""
+
+
+ORACLE["classify_range_join_dirty"] = _dirty()
 _folders = " ".join(f"WHEN '{p.nombre}' THEN '{p.carpeta}'" for p in EVENT_PERIODS)
 ORACLE["map_lookup"] = f"{BASE} SELECT event_id, CASE periodo {_folders} END AS carpeta FROM P"
 
@@ -199,7 +214,9 @@ SELECT event_id, fecha, try_strptime(fecha, '{layout}') AS fecha_ts FROM X"""
 
 ORACLE["parse_iso"] = _text("%Y-%m-%d %H:%M:%S")
 ORACLE["parse_dayfirst"] = _text("%d/%m/%Y %H:%M:%S")
-ORACLE["unparsed_dates"] = f"""WITH {E}, X AS (SELECT strftime(fecha, '%d/%m/%Y %H:%M:%S') AS fecha FROM E)
+MIXED = """CASE WHEN event_id % 3 = 0 THEN strftime(fecha, '%d/%m/%Y %H:%M:%S') ELSE strftime(fecha, '%Y-%m-%d %H:%M:%S') END"""
+ORACLE["parse_either"] = f"WITH {_e(seconds=True)} SELECT event_id, {MIXED} AS fecha, fecha AS fecha_ts FROM E"
+ORACLE["unparsed_dates"] = f"""WITH {E}, X AS (SELECT {MIXED} AS fecha FROM E)
 SELECT count(fecha) AS con_fecha, count(*) FILTER (WHERE try_strptime(fecha, '%Y-%m-%d %H:%M:%S') IS NULL) AS no_leidas FROM X"""
 
 VIEW_COLUMNS = ("event_id", "id", "fecha", "tipo_elem", "intensidad", "ocupacion", "carga", "vmed")
@@ -227,6 +244,14 @@ ORACLE["unclassified_rows"] = f"""{_with(E, keep=True)}
 SELECT count(*) AS filas, count(periodo_num) AS clasificadas, count(*) - count(periodo_num) AS sin_periodo FROM P"""
 
 
+ORACLE["profile_in_one_pass"] = (
+    f"WITH {E} SELECT 'tabla' AS clase, NULL::VARCHAR AS nombre, NULL::VARCHAR AS tipo, count(*) AS filas, "
+    f"CAST({len(VIEW_COLUMNS)} AS BIGINT) AS otras FROM E"
+    + "".join(f" UNION ALL SELECT 'columna', '{c}', {_types.format(c=c).removesuffix(' AS tipo')}, count({c}), count(*) - count({c}) FROM E" for c in VIEW_COLUMNS)
+    + "".join(f" UNION ALL SELECT 'regla', '{name}', NULL, count(*) FILTER (WHERE {rule}), NULL FROM E" for name, rule in RULES.items())
+)
+
+
 def _correlation(view: str, columns: tuple[str, ...]) -> str:
     return f"WITH {view} " + " UNION ALL ".join(
         f"SELECT '{a}' AS columna_a, '{b}' AS columna_b, {_r(f'corr({a}, {b})')} AS correlacion FROM E"
@@ -238,6 +263,12 @@ def _correlation(view: str, columns: tuple[str, ...]) -> str:
 ORACLE["corr_matrix"] = _correlation(E, ("event_id", "id", "intensidad", "ocupacion", "carga", "vmed"))
 ORACLE["chart_correlation"] = _correlation(L, ("id", "intensidad", "ocupacion", "carga", "vmed"))
 
+_wide = ", ".join(f"carga * {i} + intensidad % {i + 2} AS x{i}" for i in range(1, 6))
+ORACLE["corr_matrix_wide"] = _correlation(
+    E.replace("E AS (", "B AS (", 1) + f", E AS (SELECT *, {_wide}, 1 AS fijo FROM B)",
+    ("event_id", "id", "intensidad", "ocupacion", "carga", "vmed", *(f"x{i}" for i in range(1, 6)), "fijo"),
+)
+
 READING = f"event_id, id, fecha AS fecha_ts, tipo_elem, intensidad, {_r('ocupacion')} AS ocupacion, {_r('carga')} AS carga, vmed"
 ORACLE["head_rows"] = f"WITH {E} SELECT {READING} FROM E ORDER BY fecha, event_id LIMIT 70"
 ORACLE["union_periods"] = f"""WITH {E}
@@ -256,6 +287,12 @@ BARS = ("carga", "intensidad")
 DAYS = {"Fin de semana": "fin_de_semana", "Laborable": "laborable"}
 ORACLE["pivot_day_type"] = f"{BASE} SELECT periodo, {_cells(chr(34) + 'tipo_día' + chr(34), DAYS, BARS)} FROM P GROUP BY periodo"
 ORACLE["pivot_road_type"] = f"{BASE} SELECT periodo, {_cells('tipo_elem', {'M30': 'm30', 'URB': 'urb'}, BARS)} FROM P GROUP BY periodo"
+_kinds = {k.upper(): k for k in ("click", "error", "purchase", "signup")}
+ORACLE["pivot_road_type_all"] = f"""{BASE}, K AS (
+  SELECT P.* EXCLUDE tipo_elem, CASE WHEN event_type <> 'view' THEN upper(event_type) END AS tipo_elem FROM P JOIN events USING (event_id))
+SELECT periodo, {_cells('tipo_elem', _kinds, BARS)},
+  {", ".join(f"{_r(f'avg({m}) FILTER (WHERE tipo_elem IS NULL)')} AS {m}_nulo" for m in BARS)}
+FROM K GROUP BY periodo"""
 ORACLE["pivot_from_rows"] = f"{LINES} SELECT periodo, {_cells('tipo_elem', {'A': 'a', 'N': 'n', 'R': 'r'}, BARS)} FROM P GROUP BY periodo"
 _names = {p.nombre: f"periodo_{p.num}" for p in EVENT_PERIODS}
 ORACLE["pivot_hour_period"] = f"{BASE} SELECT hora, {_cells('periodo', _names, ('carga',))} FROM P GROUP BY hora"
@@ -274,6 +311,10 @@ ORACLE["csv_relabelled_by_date"] = f"""{_with(FILES, keep=True)}
 SELECT event_id, CAST({_folder('num')} AS INTEGER) AS periodo_carpeta, CAST(periodo_num AS DOUBLE) AS periodo_num, periodo FROM P"""
 ORACLE["csv_cast_losses"] = f"""WITH {FILES}
 SELECT 'intensidad' AS columna, count(*) FILTER (WHERE intensidad <> floor(intensidad)) AS perdidos FROM E
-UNION ALL SELECT 'ocupacion', count(*) FILTER (WHERE false) FROM E
+UNION ALL SELECT 'ocupacion', count(*) FILTER (WHERE ocupacion <> floor(ocupacion)) FROM E
 UNION ALL SELECT 'carga', count(*) FILTER (WHERE carga <> floor(carga)) FROM E
-UNION ALL SELECT 'vmed', count(*) FILTER (WHERE vmed <> floor(vmed)) FROM E"""
+UNION ALL SELECT 'vmed', count(*) FILTER (WHERE false) FROM E"""
+_means = ", ".join(_agg(m, "mean") for m in ("intensidad", "ocupacion", "carga", "vmed"))
+ORACLE["csv_fractional_measures"] = f"{_with(FILES)} SELECT periodo, {_means} FROM P GROUP BY periodo"
+ORACLE["parquet_by_month_unbalanced"] = ORACLE["parquet_by_month"]
+ORACLE["median_approx_by_year"] = f'{LINES} SELECT "año", true AS cerca FROM C GROUP BY "año"'

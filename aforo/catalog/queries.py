@@ -24,7 +24,7 @@ from aforo.periods import period_table, pick
 from aforo.plans import analyses, charts, summary
 from aforo.sources import lake, readings, sinks
 from aforo.sources.scratch import scratch_path
-from aforo.sources.views import EVENT_PERIODS, LINEITEM_PERIODS, events_readings, lineitem_readings
+from aforo.sources.views import EVENT_PERIODS, EVENTS_SCHEMA, LINEITEM_PERIODS, events_readings, lineitem_readings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,8 +34,8 @@ DAYFIRST = "dd/MM/yyyy HH:mm:ss"
 RETURN_FLAGS = {"A": "a", "N": "n", "R": "r"}
 READING = ("event_id", "id", "fecha_ts", "tipo_elem", "intensidad", "ocupacion", "carga", "vmed")
 LABELS = ("periodo_num", "periodo")
-# The view holds fractional loads, and two columns that the month files do not name.
-VIEW_TYPES = {"event_id": "bigint", "id": "bigint", "carga": "double"}
+# The view's integers, and two columns that the month files do not name.
+VIEW_TYPES = {"event_id": "bigint", "id": "bigint", "intensidad": "int", "vmed": "int"}
 RANGES = {"intensidad": (0, 900), "vmed": (0, 300)}
 VALUE_RULES = {
     **profile.INVALID_RULES,
@@ -208,6 +208,17 @@ def intensity_by_year(spark, sf_dir):
     return analyses.intensity_by_year(lines(spark, sf_dir))
 
 
+@query
+def median_approx_by_year(spark, sf_dir):
+    """Whether the approximate median's rank lies within the sketch's error of the middle, by year."""
+    df = lines(spark, sf_dir)
+    found = analyses.intensity_by_year(df, approx=True).select(F.col("año").alias("_year"), F.col("mediana").alias("_median"))
+    below = F.count_if(F.col("intensidad") < F.col("_median")) / F.count("intensidad")
+    upto = F.count_if(F.col("intensidad") <= F.col("_median")) / F.count("intensidad")
+    near = (below <= 0.501) & (upto >= 0.499)
+    return df.join(found, F.col("año") == F.col("_year")).groupBy("año").agg(near.alias("cerca"))
+
+
 @query
 def intensity_by_hour(spark, sf_dir):
     return analyses.intensity_by_hour(cleaned(spark, sf_dir))
@@ -260,6 +271,31 @@ def classify_range_join_day(spark, sf_dir):
     return as_double(df.select("event_id", *LABELS), "periodo_num")
 
 
+@query
+def classify_range_join_broadcast(spark, sf_dir):
+    df = classify_by_table(cleaned(spark, sf_dir), period_table(spark, EVENT_PERIODS), broadcast=True)
+    return as_double(df.select("event_id", *LABELS), "periodo_num")
+
+
+# Overlapping, inverted, half-open and far-off periods.
+DIRTY_PERIODS = [
+    (7, "solapado", "2024-01-05", "2024-01-12"),
+    (3, "base", "2024-01-08", "2024-01-20"),
+    (1, "invertido", "2024-01-25", "2024-01-02"),
+    (2, "sin fin", "2024-01-01", None),
+    (4, "sin inicio", None, "2024-01-31"),
+    (5, "antiguo", "1800-01-01", "1801-12-31"),
+    (6, "lejano", "9998-01-01", "9999-12-31"),
+]
+
+
+@query
+def classify_range_join_dirty(spark, sf_dir):
+    table = spark.createDataFrame(DIRTY_PERIODS, "num int, nombre string, inicio string, fin string")
+    dated = table.withColumns({c: F.col(c).cast("date") for c in ("inicio", "fin")})
+    return as_double(classify_by_table(cleaned(spark, sf_dir), dated).select("event_id", *LABELS), "periodo_num")
+
+
 @query
 def map_lookup(spark, sf_dir):
     folders = {p.nombre: p.carpeta for p in EVENT_PERIODS}
@@ -278,11 +314,20 @@ def parse_dayfirst(spark, sf_dir):
     return clean(text, date_format="dayfirst").select("event_id", "fecha", "fecha_ts")
 
 
+def mixed_dates(df: DataFrame) -> DataFrame:
+    """Every third date as day-first text, the others as ISO."""
+    return df.withColumn("fecha", F.when(F.col("event_id") % 3 == 0, F.date_format("fecha", DAYFIRST)).otherwise(F.date_format("fecha", ISO)))
+
+
+@query
+def parse_either(spark, sf_dir):
+    return clean(mixed_dates(events_readings(spark, sf_dir)), date_format="either").select("event_id", "fecha", "fecha_ts")
+
+
 @query
 def unparsed_dates(spark, sf_dir):
-    """Day-first text read as ISO: every date is lost, and every loss is counted."""
-    text = events_readings(spark, sf_dir).withColumn("fecha", F.date_format("fecha", DAYFIRST))
-    return profile.unparsed_dates(clean(text))
+    """A third of the dates is day-first text read as ISO: those are lost, and counted."""
+    return profile.unparsed_dates(clean(mixed_dates(events_readings(spark, sf_dir))))
 
 
 # Profiles.
@@ -324,6 +369,19 @@ def corr_matrix(spark, sf_dir):
     return profile.correlation(events_readings(spark, sf_dir))
 
 
+@query
+def corr_matrix_wide(spark, sf_dir):
+    """Twelve columns, one of them constant."""
+    df = events_readings(spark, sf_dir)
+    extra = {f"x{i}": F.col("carga") * i + F.col("intensidad") % (i + 2) for i in range(1, 6)}
+    return profile.correlation(df.withColumns(extra).withColumn("fijo", F.lit(1)))
+
+
+@query
+def profile_in_one_pass(spark, sf_dir):
+    return profile.column_profile(events_readings(spark, sf_dir), VALUE_RULES)
+
+
 @query
 def head_rows(spark, sf_dir):
     return profile.first_rows(cleaned(spark, sf_dir), ["fecha_ts", "event_id"], 70).select(*READING)
@@ -351,6 +409,15 @@ def pivot_road_type(spark, sf_dir):
     return charts.road_type_bars(analyses.road_type_split(classified(spark, sf_dir)))
 
 
+@query
+def pivot_road_type_all(spark, sf_dir):
+    """All event types as road types, one of them missing: a column for each."""
+    events = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") != "view", F.upper("event_type"))
+    typed = cleaned(spark, sf_dir).drop("tipo_elem").join(events.select("event_id", kind.alias("tipo_elem")), "event_id")
+    return charts.road_type_bars(analyses.road_type_split(classify(typed, EVENT_PERIODS)))
+
+
 @query
 def pivot_from_rows(spark, sf_dir):
     return reshape.mean_matrix(lines_classified(spark, sf_dir), "periodo", "tipo_elem", RETURN_FLAGS, charts.CHART_MEASURES)
@@ -447,9 +514,17 @@ def csv_inferred(spark, sf_dir):
 
 @query
 def csv_cast_losses(spark, sf_dir):
-    """Fractional loads read with the integer type of the month files."""
+    """Fractional occupancies and loads read as integers."""
     raw = readings.read_text_cells(spark, f"{month_tree(spark, sf_dir)}/{readings.ALL_MONTHS}")
-    return profile.cast_losses(raw, {"intensidad": "int", "ocupacion": "double", "carga": "int", "vmed": "int"})
+    return profile.cast_losses(raw, {"intensidad": "int", "ocupacion": "int", "carga": "int", "vmed": "double"})
+
+
+@query
+def csv_fractional_measures(spark, sf_dir):
+    """Means by period over files with fractional cells, by the types of the month files: none is lost."""
+    df = readings.read_all(spark, month_tree(spark, sf_dir))
+    means = [F.avg(m).alias(f"{m}_mean") for m in ("intensidad", "ocupacion", "carga", "vmed")]
+    return classify(clean(df), EVENT_PERIODS).groupBy("periodo").agg(*means)
 
 
 @query
@@ -474,3 +549,12 @@ def parquet_by_month(spark, sf_dir):
     lake.write_readings(lines(spark, sf_dir), path)
     chosen = pick(LINEITEM_PERIODS, [2, 3])
     return analyses.road_type_split(classify(lake.read_readings(spark, path, chosen), chosen))
+
+
+@query
+def parquet_by_month_unbalanced(spark, sf_dir):
+    """The same without the rebalancing shuffle."""
+    path = scratch_path(spark, "lago")
+    lake.write_readings(lines(spark, sf_dir), path, rebalance=False)
+    chosen = pick(LINEITEM_PERIODS, [2, 3])
+    return analyses.road_type_split(classify(lake.read_readings(spark, path, chosen), chosen))

@@ -5,9 +5,10 @@ hash, and an empty bin takes the value of the first filled one in a random order
 of bins make buckets. Documents with the same set are one class, for which only one set enters the buckets.
 
 In a bucket, candidates are not all pairs but a star around one class, and every candidate is
-confirmed on the full sets. A star finds no link between two classes of which neither is its centre,
-so buckets that still hold classes of different components get further centres, until each pair of a
-bucket has been tested or is connected anyhow. No bucket is capped.
+confirmed on the full sets. A star finds no link between two classes of which neither is its centre. So
+where confirmed links leave several components in a bucket, its classes are matched exactly: in an
+order that puts rare shingles first, two similar sets have one of their first few in common, and pairs that do, in
+different components, are confirmed too. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -16,21 +17,25 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aforo.llm.common import fields, map_batches
 from aforo.llm.components import components
 from aforo.sources.scratch import stored
 
-#: Bins (a power of two), and bins in a band. At a similarity of 0.8 all 42 bands miss once in 10**13.
-BINS = 128
-BAND = 3
+#: Bins (a power of two), and bins in a band. At a similarity of 0.8 all 51 bands miss once in 10**8.
+BINS = 256
+BAND = 5
 SHINGLE_WORDS = 5
 #: Links have at least so many shingles in common, in percent of their union.
 PERCENT = 80
-#: Centres that an open bucket has had after each round, as a factor of the round before.
-CENTRES_FACTOR = 8
+#: Slots of the filter that spares texts without candidates the join.
+FILTER_SLOTS = 1 << 20
+#: Counters for how common shingles are: 2 to this power, whatever the number of documents.
+COUNTER_BITS = 20
 
 #: Bytes of text that are hashed together.
 SLICE = 1 << 20
@@ -132,7 +137,7 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
         source = detours[np.arange(len(empty)), filled[i][detours].argmax(axis=1)]
         signature[i, empty] = signature[i, source]
     usable = BINS // BAND * BAND
-    grouped = signature[:, :usable].reshape(len(sets), -1, BAND)
+    grouped = signature[:, :usable].reshape(len(sets), BINS // BAND, BAND)
     keys = np.arange(grouped.shape[1], dtype=np.uint64)[None, :] + np.uint64(1)
     for j in range(BAND):
         keys = _mixed(keys * np.uint64(_BASE) + grouped[:, :, j])
@@ -179,38 +184,73 @@ def signatures(df: DataFrame, words: int, text: str, key: str) -> DataFrame:
 
 
 def _candidate_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """``id`` and ``set`` (its hashes as bytes) of the wanted classes, from one document of each."""
-    given = df.select(F.col(f"`{key}`").alias("label"), F.col(f"`{text}`").alias("_text"))
+    """``id``, ``set`` (its hashes as bytes) and ``counts`` (hashes by their leading byte) of the wanted classes.
+
+    Texts do not move: a table of ``FILTER_SLOTS`` bits, whatever the number of classes, tells the scan which
+    rows may be wanted, and only their sets go into the join.
+    """
     chosen = classes.join(wanted, "id", "left_semi").select("id", "node", "label")
-    rows = given.join(chosen, given["label"].eqNullSafe(chosen["label"])).select("id", "node", "_text")
+    slot = F.pmod(F.xxhash64("label"), F.lit(FILTER_SLOTS))
+    used = np.zeros(FILTER_SLOTS, dtype=bool)
+    used[chosen.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
+    given = df.select(F.col(f"`{key}`").alias("label"), F.col(f"`{text}`").alias("_text")).withColumn("_slot", slot)
 
     def run(batch):
-        sets = list(_shingler(words).sets(batch.column("_text").to_pylist()))
-        # An id that stands for several texts brings them all; the digest tells which is meant.
-        right = [i for i, (s, n) in enumerate(zip(sets, batch.column("node").to_pylist())) if len(s) and _digest(s) == n]
-        ids = batch.column("id").to_pylist()
-        return {"id": [ids[i] for i in right], "set": [sets[i].tobytes() for i in right]}
+        maybe = batch.filter(pa.array(used[batch.column("_slot").to_numpy(zero_copy_only=False)]))
+        sets = list(_shingler(words).sets(maybe.column("_text").to_pylist()))
+        full = [i for i, s in enumerate(sets) if len(s)]
+        out = {"label": maybe.column("label").take(pa.array(full, pa.int64()))}
+        out |= {"node": [_digest(sets[i]) for i in full], "set": [sets[i].tobytes() for i in full]}
+        return out | {"counts": [_counts(sets[i]) for i in full]}
+
+    found = map_batches(given, run, fields(given, ["_text", "_slot"], node="binary", set="binary", counts="binary"))
+    same = found["label"].eqNullSafe(chosen["label"]) & (found["node"] == chosen["node"])
+    # An id that stands for several texts brings them all; the digest tells which is meant.
+    return found.join(chosen, same).select("id", "set", "counts").dropDuplicates(["id"])
+
 
-    return map_batches(rows, run, fields(rows, ["node", "_text"], set="binary")).dropDuplicates(["id"])
+def _counts(found: np.ndarray) -> bytes:
+    """Hashes by leading byte; empty, which bounds nothing, if they do not fit into 16 bits."""
+    counts = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else b""
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets are similar enough."""
-    one = sets.select(F.col("id").alias("a"), F.col("set").alias("_a"))
-    other = sets.select(F.col("id").alias("b"), F.col("set").alias("_b"))
+    """The pairs (``a``, ``b``) whose sets are similar enough.
 
-    def run(batch):
-        links = []
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "_a", "_b"))):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate([x, y]))
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= percent * (len(both) - common):
-                links.append((a, b))
-        return {"a": [p[0] for p in links], "b": [p[1] for p in links]}
+    Counts by leading byte bound what two sets can share; the sets themselves join only pairs that pass.
+    """
+    ends = T.StructType([T.StructField(c, pairs.schema[c].dataType) for c in ("a", "b")])
+
+    def passing(enough):
+        def run(batch):
+            links = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "_a", "_b"))):
+                if enough(x, y):
+                    links.append((a, b))
+            return {"a": [p[0] for p in links], "b": [p[1] for p in links]}
+
+        return run
 
-    rows = pairs.select("a", "b").join(other, "b").join(one, "a")
-    return map_batches(rows, run, fields(rows, ["_a", "_b"]))
+    def with_both(rows: DataFrame, column: str) -> DataFrame:
+        one = sets.select(F.col("id").alias("a"), F.col(column).alias("_a"))
+        other = sets.select(F.col("id").alias("b"), F.col(column).alias("_b"))
+        return rows.select("a", "b").join(other, "b").join(one, "a").select("a", "b", "_a", "_b")
+
+    def may_be(x: bytes, y: bytes) -> bool:
+        if not x or not y:
+            return True
+        p, q = np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64)
+        common = int(np.minimum(p, q).sum())
+        return 100 * common >= percent * (int(p.sum()) + int(q.sum()) - common)
+
+    def are(x: bytes, y: bytes) -> bool:
+        both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= percent * (len(both) - common)
+
+    likely = map_batches(with_both(pairs, "counts"), passing(may_be), ends)
+    return map_batches(with_both(likely, "set"), passing(are), ends)
 
 
 def near_duplicates(
@@ -239,43 +279,28 @@ def near_duplicates(
         .withColumn("id", F.monotonically_increasing_id())
     )
     classes = stored(classes, "neardup-classes", scratch)
-    buckets = classes.select("id", "n", F.xxhash64("id").alias("order"), F.explode("bands").alias("bucket"))
-    stars = (
-        buckets.groupBy("bucket")
-        .agg(F.min(F.struct("order", "id")).alias("centre"), F.count(F.lit(1)).alias("members"))
-        .filter("members > 1")
-        .select("bucket", "centre", "members")
-    )
-    shared = stored(buckets.join(stars, "bucket"), "neardup-buckets", scratch)
-    members = shared.select("bucket", "id", "n", "order")
+    buckets = classes.select("id", F.explode("bands").alias("bucket"))
+    stars = buckets.groupBy("bucket").agg(F.min("id").alias("centre"))
+    edges = stored(buckets.join(stars, "bucket").filter("id != centre"), "neardup-edges", scratch)
 
+    sizes = classes.select("id", "n")
+    centres = classes.select(F.col("id").alias("centre"), F.col("n").alias("_n"))
     similar = F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent
-    sizes = classes.select(F.col("id").alias("centre"), F.col("n").alias("_n"))
-    star = shared.select(F.col("centre.id").alias("centre"), "id", "n").filter("centre != id")
-    star = star.groupBy("centre", "id", "n").agg(F.count(F.lit(1)).alias("buckets")).join(sizes, "centre").filter(similar)
-    pairs = stored(star.select(F.col("centre").alias("a"), F.col("id").alias("b"), "buckets"), "neardup-pairs", scratch)
+    pairs = edges.groupBy("centre", "id").agg(F.count(F.lit(1)).alias("buckets")).join(sizes, "id").join(centres, "centre").filter(similar)
+    pairs = stored(pairs.select(F.col("centre").alias("a"), F.col("id").alias("b"), "buckets"), "neardup-pairs", scratch)
+    ends = edges.select("id").union(edges.select("centre")).distinct()
+    sets = stored(_candidate_sets(df, classes, ends, words, text, key), "neardup-sets", scratch)
 
-    sets = stored(_candidate_sets(df, classes, members.select("id").distinct(), words, text, key), "neardup-sets", scratch)
     # The strongest candidate of each class first: it connects most, and spares the others their test.
     best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("buckets"), "a")) == 1
     first = pairs.withColumn("_best", best).filter("_best").select("a", "b")
     tree = components(_confirmed(first, sets, percent), scratch)
-    rest = _across(pairs.join(first, ["a", "b"], "left_anti"), tree)
-    tested = pairs.select("a", "b")
-    tree = components(tree.unionByName(_links(_confirmed(rest, sets, percent))), scratch)
-
-    largest = shared.agg(F.max("members")).first()[0] or 0
-    centres = 1
-    while centres < largest:
-        after, centres = centres, centres * CENTRES_FACTOR
-        more = stored(_next_pairs(members, tree, tested, after, centres, percent), "neardup-pairs", scratch)
-        tested = tested.unionByName(more)
-        if more.isEmpty():
-            # Buckets may be open still, but with pairs tested elsewhere; go on only where members are left.
-            if _open_members(members, tree).groupBy("bucket").count().filter(F.col("count") > centres).isEmpty():
-                break
-            continue
-        tree = components(tree.unionByName(_links(_confirmed(more, sets, percent))), scratch)
+    tree = _joined(tree, _confirmed(_across(pairs.join(first, ["a", "b"], "left_anti"), tree), sets, percent), scratch)
+
+    still = stored(_open_classes(edges, tree), "neardup-open", scratch)
+    if not still.isEmpty():
+        more = _prefix_pairs(still.join(sets, "id"), percent, scratch).join(pairs, ["a", "b"], "left_anti")
+        tree = _joined(tree, _confirmed(stored(more, "neardup-pairs", scratch), sets, percent), scratch)
 
     belongs = classes.select("id", "node", "label").join(tree.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
     belongs = stored(belongs.select("node", "label", F.coalesce("root", "id").alias("root")), "neardup-tree", scratch)
@@ -290,8 +315,10 @@ def near_duplicates(
     )
 
 
-def _links(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+def _joined(tree: DataFrame, links: DataFrame, scratch: str | None) -> DataFrame:
+    """The components after further links."""
+    found = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "neardup-links", scratch)
+    return tree if found.isEmpty() else components(tree.unionByName(found), scratch)
 
 
 def _root(rows: DataFrame, tree: DataFrame, node: str, name: str) -> DataFrame:
@@ -305,20 +332,55 @@ def _across(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     return _root(_root(pairs, tree, "a", "_ra"), tree, "b", "_rb").filter("_ra != _rb").select("a", "b")
 
 
-def _open_members(members: DataFrame, tree: DataFrame) -> DataFrame:
-    """Members, with their root, of the buckets that hold more than one component."""
-    rooted = _root(members, tree, "id", "root")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high")
-    return rooted.join(mixed.select("bucket"), "bucket", "left_semi")
+def _open_classes(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """``id`` and ``root`` of the classes in buckets that hold more than one component."""
+    rooted = _root(_root(edges, tree, "id", "root"), tree, "centre", "centre_root")
+    mixed = rooted.filter("root != centre_root").select("bucket").distinct()
+    inside = rooted.join(mixed, "bucket", "left_semi")
+    return inside.select("id", "root").union(inside.select("centre", "centre_root")).distinct()
 
 
-def _next_pairs(members: DataFrame, tree: DataFrame, tested: DataFrame, after: int, upto: int, percent: int) -> DataFrame:
-    """Untested pairs across components of the members number ``after`` to ``upto`` of each open bucket with later ones."""
-    still = _open_members(members, tree)
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("order", "id"))
-    centre = still.withColumn("_rank", rank).filter(F.col("_rank") <= upto).filter(F.col("_rank") > after)
-    centre = centre.select("bucket", F.col("id").alias("a"), F.col("n").alias("_n"), F.struct("order", "id").alias("_place"), F.col("root").alias("_root"))
-    later = (F.struct("order", "id") > F.col("_place")) & (F.col("root") != F.col("_root"))
-    similar = F.least("n", "_n") * 100 >= F.greatest("n", "_n") * percent
-    found = still.join(centre, "bucket").filter(later & similar).select("a", F.col("id").alias("b")).distinct()
-    return found.join(tested, ["a", "b"], "left_anti")
+def _prefix_pairs(rows: DataFrame, percent: int, scratch: str | None) -> DataFrame:
+    """All pairs (``a``, ``b``) of different components that can be similar enough, from ``id``, ``root``, ``set``.
+
+    Similar sets share so much that, in any common order of shingles, they have one in common among the first
+    ``n - ceil(percent * n / 100) + 1`` of each, and from the first such one on enough is left of both. The
+    order is by how common a shingle is, as counted in a fixed number of counters: ties and shared counters
+    make it coarser, never wrong.
+    """
+    shift = np.uint64(64 - COUNTER_BITS)
+
+    def count(batch):
+        found = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        for blob in batch.column("set").to_pylist():
+            np.add.at(found, (_mixed(np.frombuffer(blob, np.uint64)) >> shift).astype(np.int64), 1)
+        used = np.flatnonzero(found)
+        return {"counter": used, "n": found[used]}
+
+    counted = map_batches(rows.select("set"), count, T.StructType([T.StructField(c, T.LongType()) for c in ("counter", "n")]))
+    common = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    # So many numbers at most come to the driver and go to the workers.
+    totals = counted.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    common[totals["counter"].to_numpy()] = totals["n"].to_numpy()
+
+    def prefix(batch):
+        out = {"shingle": [], "id": [], "root": [], "n": [], "place": []}
+        for id_, root, blob in zip(*(batch.column(c).to_pylist() for c in ("id", "root", "set"))):
+            found = np.frombuffer(blob, np.uint64)
+            order = np.lexsort((found, common[(_mixed(found) >> shift).astype(np.int64)]))
+            n = len(found)
+            first = found[order[: n - -(-percent * n // 100) + 1]].view(np.int64)
+            out["shingle"] += first.tolist()
+            out["id"] += [id_] * len(first)
+            out["root"] += [root] * len(first)
+            out["n"] += [n] * len(first)
+            out["place"] += range(len(first))
+        return out
+
+    kinds = T.StructType([T.StructField(c, T.LongType()) for c in ("shingle", "id", "root", "n", "place")])
+    firsts = stored(map_batches(rows.select("id", "root", "set"), prefix, kinds), "neardup-prefix", scratch)
+    one, other = (firsts.select(*(F.col(c).alias(f"{c}{i}") for c in firsts.columns)) for i in (1, 2))
+    left = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))
+    enough = left * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
+    met = one.join(other, F.col("shingle1") == F.col("shingle2")).filter((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & enough)
+    return met.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()

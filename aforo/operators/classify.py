@@ -15,6 +15,8 @@ from aforo.operators.clean import TS
 from aforo.periods import PERIODS, Period
 
 PERIOD_ENDS = ("instant", "day")
+#: Entries (a period in a month) up to which the lookup side is broadcast.
+BROADCAST_ENTRIES = 100_000
 
 
 def _check(period_end: str) -> None:
@@ -93,7 +95,7 @@ def classify_by_table(
     df: DataFrame,
     table: DataFrame,
     period_end: str = "instant",
-    broadcast: bool = False,
+    broadcast: bool | None = None,
     ts: str = TS,
 ) -> DataFrame:
     """Left lookup of each reading in a period table given as data (``num, nombre, inicio, fin``).
@@ -101,8 +103,8 @@ def classify_by_table(
     The table is unfolded to months, each with the list of the periods that touch it by number, so the join is
     an equality and a reading meets one row. The first period of the list that holds the reading wins:
     the lowest number where periods overlap. A period that ends before it begins, or lacks a bound, holds nothing.
-    Dates of any year may occur. Spark picks the join by the size of the unfolded table, which is small
-    for any ordinary one; ``broadcast`` asks for a broadcast.
+    Dates of any year may occur. Unless ``broadcast`` says, the unfolded table is counted, and broadcast when it
+    has at most ``BROADCAST_ENTRIES`` entries, so that readings are not shuffled; beyond that Spark decides.
     """
     _check(period_end)
     for name in ("inicio", "fin"):
@@ -110,6 +112,8 @@ def classify_by_table(
             raise TypeError(f"period column {name} must be a date")
     sound = table.filter(F.col("inicio") <= F.col("fin"))
     months = sound.select("num", "nombre", "inicio", "fin", F.explode(F.sequence(_month(F.col("inicio")), _month(F.col("fin")))).alias("_month"))
+    if broadcast is None:
+        broadcast = months.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
     lists = months.groupBy("_month").agg(F.sort_array(F.collect_list(F.struct("num", "nombre", "inicio", "fin"))).alias("_periods"))
 
     def holds(period: Column) -> Column:

@@ -168,7 +168,8 @@ def compared_with_next(
     lent = df.sparkSession.createDataFrame(
         [(f.key, firsts[i - 1].range) for i, f in enumerate(firsts)], fields(given, ["text"], to="int")
     )
-    rows = ranged.join(lent, ranged["key"].eqNullSafe(lent["key"]), "left").select(ranged["key"], "text", "range", "to")
+    # At most MOST_RANGES rows.
+    rows = ranged.join(F.broadcast(lent), ranged["key"].eqNullSafe(lent["key"]), "left").select(ranged["key"], "text", "range", "to")
     own = F.struct(F.col("range"), F.lit(False).alias("lent"))
     loan = F.struct(F.col("to").alias("range"), F.lit(True).alias("lent"))
     placed = rows.select("key", "text", F.inline(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, loan))))

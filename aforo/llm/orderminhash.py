@@ -62,14 +62,12 @@ class OrderMinHash:
         # Few enough survive this bound to be sorted, and nearly always enough.
         bound = np.uint32(min(0xFFFFFFFF, (1 << 32) // len(keys) * 8 * count))
         for s, factor in enumerate(factors):
+            # The keys are spread evenly, and so are their products with an odd number.
             ranks = keys * factor
-            ranks ^= ranks >> np.uint32(15)
-            ranks *= np.uint32(0x2C1B3C6D)
             near = (ranks <= bound).nonzero()[0]
             if len(near) < count:
                 near = np.arange(len(ranks))
-            # Ties go by the k-mer itself, so that they do not depend on where it stands.
-            least = near[np.lexsort((kmers[near], ranks[near]))[:count]]
+            least = near[ranks[near].argsort(kind="stable")[:count]]
             least.sort()
             chosen[s] = least
         out = np.arange(1, self.sketches + 1, dtype=np.uint64)

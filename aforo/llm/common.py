@@ -17,6 +17,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one window or one group of a task is meant to hold.
 ROWS_PER_BUCKET = 50_000
+#: Rows of an Arrow batch that a worker holds as Python objects.
+ROWS_AT_ONCE = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,8 +85,8 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(function(batch), schema=arrow)
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield pa.RecordBatch.from_pydict(function(batch.slice(i, ROWS_AT_ONCE)), schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -13,6 +13,7 @@ piece that it has met before from memory.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Sequence
 
@@ -26,6 +27,9 @@ CHUNK = 16_384
 OVERLAP = 512
 #: Entries of the table of pieces that a worker keeps; a full one starts anew.
 PIECES_KEPT = 600_000
+#: Texts that are looked at together, and pieces that are encoded together.
+TEXTS_AT_ONCE = 64
+PIECES_AT_ONCE = 2048
 
 # Fixed value: characters that every part of the tokenizer takes for white space.
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -59,17 +63,21 @@ class Counter:
 
     def counts(self, texts: Sequence[str]) -> list[int]:
         """Tokens of each text."""
-        short = [t if len(t) <= self._chunk else "" for t in texts]
-        pieces = [t.encode("utf-8", "surrogatepass").split() for t in short]
+        found: list[int] = []
+        for i in range(0, len(texts), TEXTS_AT_ONCE):
+            found += self._counts(texts[i : i + TEXTS_AT_ONCE])
+        return found
+
+    def _counts(self, texts: Sequence[str]) -> list[int]:
+        pieces = [t.encode("utf-8", "surrogatepass").split() if len(t) <= self._chunk else [] for t in texts]
+        if len(self._known) > PIECES_KEPT:
+            self._known.clear()
         known = self._known
-        # dict.fromkeys keeps an order, which sets do not.
-        missing = [p for p in dict.fromkeys(p for ps in pieces for p in ps) if p not in known]
-        if missing:
-            if len(known) + len(missing) > PIECES_KEPT:
-                known.clear()
-                missing = list(dict.fromkeys(p for ps in pieces for p in ps))
-            encoded = self._tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in missing], add_special_tokens=False)
-            known.update(zip(missing, map(len, encoded), strict=True))
+        missing = list({p for ps in pieces for p in ps if p not in known})
+        for i in range(0, len(missing), PIECES_AT_ONCE):
+            some = missing[i : i + PIECES_AT_ONCE]
+            encoded = self._tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
+            known.update(zip(some, map(len, encoded), strict=True))
         return [sum([known[p] for p in ps]) if len(t) <= self._chunk else self.spliced(t) for t, ps in zip(texts, pieces, strict=True)]
 
     def spliced(self, text: str) -> int:
@@ -125,6 +133,8 @@ _counters: dict[int, Counter] = {}
 def _counter(tokenizer: str) -> Counter:
     key = hash(tokenizer)
     if key not in _counters:
+        # Spark runs a worker per core; threads of their own would only add memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _counters.clear()
         _counters[key] = Counter(tokenizer)
     return _counters[key]

@@ -8,7 +8,6 @@ from labelled rows, the tables that reach the workers have a documented bound.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -30,8 +29,8 @@ LANGUAGES_KEPT = 200
 LONGEST_GRAM = 5
 #: What a step down to shorter n-grams costs, as a factor of the difference between languages.
 DISCOUNT = 0.7
-#: Entries of the table of words that a worker keeps; a full one starts anew.
-WORDS_REMEMBERED = 300_000
+#: Entries of the table of pieces of text that a worker keeps; a full one starts anew.
+PIECES_KEPT = 400_000
 
 UNKNOWN = "und"
 
@@ -41,15 +40,13 @@ WORD = r"\p{L}[\p{L}\p{M}]*"
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in order; by word and by n-gram the log-frequencies where it occurs, as (language, value).
-
-    ``absent`` has, by length of the n-gram (0: words), each language's value for what it lacks.
-    """
+    """Languages in order; words and n-grams with one row of log-frequencies each, one column per language."""
 
     languages: tuple[str, ...]
-    words: dict[str, tuple[tuple[int, float], ...]] = field(repr=False)
-    grams: dict[str, tuple[tuple[int, float], ...]] = field(repr=False)
-    absent: dict[int, tuple[float, ...]] = field(repr=False)
+    words: list[str] = field(repr=False)
+    word_logs: np.ndarray = field(repr=False)
+    grams: list[str] = field(repr=False)
+    gram_logs: np.ndarray = field(repr=False)
 
 
 def held_out(key: Column) -> Column:
@@ -101,8 +98,7 @@ def train(
     share = max(1, len(languages))
     known = _most_frequent(words.select("lang", F.col("w").alias("x"), "n", F.lit(0).alias("size")), WORDS_KEPT // share)
     known_grams = _most_frequent(grams.select("lang", F.col("g").alias("x"), "n", F.length("g").alias("size")), GRAMS_KEPT // share)
-    absent: dict[int, tuple[float, ...]] = {}
-    return Model(languages, _log_frequencies(known, languages, absent), _log_frequencies(known_grams, languages, absent), absent)
+    return Model(languages, *_log_frequencies(known, languages), *_log_frequencies(known_grams, languages))
 
 
 def _most_frequent(counts: DataFrame, keep: int) -> list:
@@ -113,93 +109,91 @@ def _most_frequent(counts: DataFrame, keep: int) -> list:
     return counts.join(kept, "x", "left_semi").collect()
 
 
-def _log_frequencies(rows: list, languages: tuple[str, ...], absent: dict) -> dict[str, tuple[tuple[int, float], ...]]:
-    """Logs of smoothed relative frequencies, relative to entries of the same length. Fills in ``absent``."""
+def _log_frequencies(rows: list, languages: tuple[str, ...]) -> tuple[list[str], np.ndarray]:
+    """Entries, and the logs of their smoothed frequencies relative to entries of the same length."""
     place = {language: i for i, language in enumerate(languages)}
-    totals: dict[int, list[float]] = {}
-    entries: dict[int, set[str]] = {}
+    names = sorted({r.x for r in rows})
+    number = {x: i for i, x in enumerate(names)}
+    counts = np.zeros((len(names), len(languages)))
+    sizes = np.zeros(len(names), dtype=np.int64)
     for r in rows:
-        totals.setdefault(r.size, [0.0] * len(languages))[place[r.lang]] += r.n
-        entries.setdefault(r.size, set()).add(r.x)
-    spread = {size: [t + 0.5 * len(entries[size]) for t in of] for size, of in totals.items()}
-    absent.update({size: tuple(math.log(0.5 / t) for t in of) for size, of in spread.items()})
-    found: dict[str, list[tuple[int, float]]] = {}
-    for r in rows:
-        i = place[r.lang]
-        found.setdefault(r.x, []).append((i, math.log((r.n + 0.5) / spread[r.size][i])))
-    return {x: tuple(sorted(values)) for x, values in found.items()}
+        counts[number[r.x], place[r.lang]] += r.n
+        sizes[number[r.x]] = r.size
+    logs = np.zeros_like(counts, dtype=np.float32)
+    for size in np.unique(sizes):
+        of = counts[sizes == size] + 0.5
+        logs[sizes == size] = np.log(of / of.sum(axis=0))
+    return names, logs
 
 
-class _Scores(dict):
-    """Row numbers of words met so far in a table of their scores."""
+class _Pieces(dict):
+    """Row numbers of the pieces met so far, text between white space, in the table of their scores."""
 
     def __init__(self, scorer: Scorer):
         self._scorer = scorer
 
-    def __missing__(self, word: str) -> int:
-        return self._scorer.add(word)
+    def __missing__(self, piece: str) -> int:
+        return self._scorer.add(piece)
 
 
 class Scorer:
     """Scores texts with one model; one per worker."""
 
     _WORD = regex.compile(WORD)
+    #: Row of the pieces that hold no letter.
+    _NOTHING = 0
 
     def __init__(self, model: Model):
         self._model = model
-        self._absent = {size: np.array(values) for size, values in model.absent.items()}
-        self._rows = _Scores(self)
-        self._table = np.zeros((1024, len(model.languages)))
-        # Pieces of a text between white space, and the numbers of the words in them.
-        self._pieces: dict[str, list[int]] = {}
-
-    def add(self, word: str) -> int:
-        """Give a new word its row."""
-        at = len(self._rows)
+        self._words = {w: i for i, w in enumerate(model.words)}
+        self._grams = {g: i for i, g in enumerate(model.grams)}
+        self._table = np.zeros((4096, len(model.languages)))
+        self._pieces = _Pieces(self)
+        self._rows = 1
+
+    def add(self, piece: str) -> int:
+        """The row of a new piece: the sum of its words' scores."""
+        if piece.isascii() and piece.isalpha():
+            words = [piece.lower()]
+        else:
+            words = self._WORD.findall(piece.lower())
+        if not words:
+            self._pieces[piece] = self._NOTHING
+            return self._NOTHING
+        at = self._pieces[piece] = self._rows
+        self._rows += 1
         if at == len(self._table):
             self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-        self._table[at] = self.word_scores(word)
-        self._rows[word] = at
+        self._table[at] = self.word_scores(words[0])
+        for word in words[1:]:
+            self._table[at] += self.word_scores(word)
         return at
 
     def word_scores(self, word: str) -> np.ndarray:
         """One number per language: by the word if it is known, else by the longest n-grams that are."""
-        known = self._model.words.get(word)
+        known = self._words.get(word)
         if known is not None:
-            return self._full(0, known)
-        grams, marked = self._model.grams, f"^{word}$"
+            return self._model.word_logs[known]
+        grams, marked = self._grams, f"^{word}$"
         for size in range(LONGEST_GRAM, 0, -1):
             found = [g for i in range(len(marked) - size + 1) if (g := grams.get(marked[i : i + size])) is not None]
             if found:
-                scores = np.mean([self._full(size, g) for g in found], axis=0)
+                scores = self._model.gram_logs[found].mean(axis=0)
                 return (scores - scores.mean()) * DISCOUNT ** (LONGEST_GRAM - size + 1)
         return np.zeros(len(self._model.languages))
 
-    def _full(self, size: int, known: tuple[tuple[int, float], ...]) -> np.ndarray:
-        scores = self._absent[size].copy()
-        for i, value in known:
-            scores[i] = value
-        return scores
-
-    def _numbers(self, piece: str) -> list[int]:
-        found = self._pieces.get(piece)
-        if found is None:
-            rows = self._rows
-            found = self._pieces[piece] = [rows[w] for w in self._WORD.findall(piece.lower())]
-        return found
-
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the probability over all learned languages."""
         if not text or not self._model.languages:
             return UNKNOWN, 0.0
-        if len(self._rows) > WORDS_REMEMBERED or len(self._pieces) > 2 * WORDS_REMEMBERED:
-            self._rows.clear()
+        if len(self._pieces) > PIECES_KEPT:
             self._pieces.clear()
-        numbers = self._numbers
-        words = [n for piece in text.split() for n in numbers(piece)]
-        if not words:
+            self._rows = 1
+        pieces = self._pieces
+        rows = [pieces[p] for p in text.split()]
+        if not any(rows):
             return UNKNOWN, 0.0
-        sums = self._table[np.array(words)].sum(axis=0)
+        sums = self._table[rows].sum(axis=0)
         best = int(np.argmax(sums))
         return self._model.languages[best], float(1.0 / np.exp(np.minimum(sums - sums[best], 0.0)).sum())
 
@@ -208,7 +202,7 @@ _scorers: dict[int, Scorer] = {}
 
 
 def _scorer(model: Model) -> Scorer:
-    key = hash((model.languages, len(model.words), len(model.grams), tuple(sorted(model.words)[:50])))
+    key = hash((model.languages, len(model.words), len(model.grams), model.word_logs.tobytes()))
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(model)

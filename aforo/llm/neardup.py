@@ -364,18 +364,16 @@ def _prefix_pairs(rows: DataFrame, percent: int, scratch: str | None) -> DataFra
     common[totals["counter"].to_numpy()] = totals["n"].to_numpy()
 
     def prefix(batch):
-        out = {"shingle": [], "id": [], "root": [], "n": [], "place": []}
-        for id_, root, blob in zip(*(batch.column(c).to_pylist() for c in ("id", "root", "set"))):
+        firsts, sizes = [], []
+        for blob in batch.column("set").to_pylist():
             found = np.frombuffer(blob, np.uint64)
             order = np.lexsort((found, common[(_mixed(found) >> shift).astype(np.int64)]))
-            n = len(found)
-            first = found[order[: n - -(-percent * n // 100) + 1]].view(np.int64)
-            out["shingle"] += first.tolist()
-            out["id"] += [id_] * len(first)
-            out["root"] += [root] * len(first)
-            out["n"] += [n] * len(first)
-            out["place"] += range(len(first))
-        return out
+            sizes.append(len(found))
+            firsts.append(found[order[: len(found) - -(-percent * len(found) // 100) + 1]].view(np.int64))
+        lengths = [len(f) for f in firsts]
+        repeated = {c: np.repeat(batch.column(c).to_numpy(), lengths) for c in ("id", "root")}
+        place = np.concatenate([np.arange(n) for n in lengths])
+        return {"shingle": np.concatenate(firsts), **repeated, "n": np.repeat(sizes, lengths), "place": place}
 
     kinds = T.StructType([T.StructField(c, T.LongType()) for c in ("shingle", "id", "root", "n", "place")])
     firsts = stored(map_batches(rows.select("id", "root", "set"), prefix, kinds), "neardup-prefix", scratch)

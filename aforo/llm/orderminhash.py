@@ -93,7 +93,10 @@ class OrderMinHash:
 
     @staticmethod
     def _numbered(kmers: np.ndarray) -> np.ndarray:
-        """Hashes of the k-mers together with how often each has occurred before."""
+        """Hashes of the k-mers together with how often each has occurred before.
+
+        A first occurrence has the hash of its k-mer alone, whether or not others of the text are repeated.
+        """
         n = len(kmers)
         spread = _mixed(kmers)
         if n < 1 << _POSITION_BITS:
@@ -109,9 +112,9 @@ class OrderMinHash:
             return spread
         begins = np.concatenate([[True], ~same])
         number = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-        occurrence = np.empty(n, dtype=np.uint64)
-        occurrence[place] = number.astype(np.uint64)
-        return _mixed(spread + occurrence * np.uint64(_BASE))
+        again = place[~begins]
+        spread[again] = _mixed(spread[again] + number[~begins].astype(np.uint64) * np.uint64(_BASE))
+        return spread
 
     def fingerprint(self, signature: np.ndarray) -> str:
         return signature.astype(">u4").tobytes().hex()

@@ -33,6 +33,15 @@ def test_numbering_and_order_by_hand():
     assert set(numbered.tolist()) <= set(again.tolist())
 
 
+def test_first_occurrences_are_alike_with_and_without_repeats():
+    """A text without a repeated k-mer against the same text plus one repeated phrase."""
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 2000)))
+    longer = text + text[:20]
+    once, more = (METHOD._numbered(METHOD._kmers(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64))) for t in (text, longer))
+    assert set(once.tolist()) < set(more.tolist()) and len(set(more.tolist())) == len(more)
+    assert likeness(text, longer) > 0.8
+
+
 def test_likeness_follows_edit_distance():
     rnd = random.Random(1)
     text = prose(rnd, 400)

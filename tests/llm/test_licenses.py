@@ -67,3 +67,51 @@ def test_frame(frame):
     found = {r.doc_id: (r.n_lines, [m.license for m in r.matches]) for r in got.collect()}
     assert found == {1: (0, []), 2: (1, []), 3: (1, ["MIT"]), None: (1, [])}
     assert got.count() == 5 and scan(df.limit(0)).count() == 0
+
+
+def best_run(text, sets):
+    """The best Dice coefficient of any run of words with any template, without pruning."""
+    words, best = words_of(text), 0.0
+    for first in range(len(words)):
+        for last in range(first + 1, len(words)):
+            grams = bigrams(words[first : last + 1])
+            best = max([best, *(d for t in sets if (d := dice(grams, t)) >= 0.9)])
+    return best
+
+
+def test_pruning_of_word_runs_loses_nothing():
+    """Edited notices amid prose, cut by few or no line breaks, against all runs of words."""
+    rnd = random.Random(6)
+    texts = [t for t in templates() if t[0] not in TEXTS or len(t[1].split()) < 30][::5] + [("MPL-2.0", TEXTS["MPL-2.0"])]
+    scanner, sets = Scanner(texts), [bigrams(words_of(t)) for _, t in texts]
+    for _ in range(60):
+        words = [w if rnd.random() > 0.04 else rnd.choice(["foo", "license"]) for w in rnd.choice(texts)[1].split()]
+        words.insert(rnd.randrange(len(words) + 1), rnd.choice(["", "\n"]))
+        document = " ".join(["lorem the license under", *words, "under the sit amet"])
+        found = scanner.word_matches(document)
+        assert max((m.dice for m in found), default=0.0) == pytest.approx(best_run(document, sets))
+
+
+def test_notices_and_texts_amid_other_words(scanner, frame):
+    mit = TEXTS["MIT"].replace("\n", " ")
+    texts = [
+        "The river was high. Licensed under CC BY 4.0. The house was old.",
+        "Copyright 2020 X. Released under the MIT License.",
+        "Copyright 2020 Some Body Released under the MIT License.",
+        f"The river was high. MIT License Copyright (c) 2020 Jane Doe {mit} The house was old.",
+        "x\nBefore it. Released under\nthe MIT License. Licensed under CC BY-NC 4.0. After it.",
+        TEXTS["MIT"].replace("Software.\n", "Software.\nCopyright (c) 2022 Some Body. All rights reserved.\n"),
+        "Prose. " + TEXTS["Apache-2.0"].replace("either express", "whether express").replace("\n", " "),
+    ]
+    found = {r.i: [(m.license, m.first_line, m.last_line) for m in r.matches] for r in scan(frame("i int, text string", list(enumerate(texts)))).collect()}
+    assert found[0] == [("CC-BY-4.0", 0, 0)] and found[1] == found[2] == found[3] == [("MIT", 0, 0)]
+    assert found[4] == [("MIT", 1, 2), ("CC-BY-NC-4.0", 2, 2)] and [m[0] for m in found[5]] == ["MIT"]
+    assert found[6] == [("Apache-2.0", 0, 0)]
+    assert [m.dice for m in scanner.word_matches(texts[5])] == [1.0]
+
+
+def test_word_runs_of_unlike_and_repeated_texts(scanner):
+    assert scanner.word_matches(None) == [] and scanner.word_matches("license " * 5000 + "under the " * 5000) == []
+    assert len(scanner.word_matches("Released under the MIT License. " * 3000)) == 3000
+    for name, text in templates():
+        assert [(m.license, m.dice) for m in scanner.word_matches(f"Some prose before. {text} And after it.")] == [(name, 1.0)]

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 # Names by identifier, as notices write them.
 NAMES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": ("the GNU Affero General Public License, version 3", "the GNU AGPL version 3"),
     "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0", "Apache 2.0"),
     "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-Clause BSD License"),
     "BSD-3-Clause": ("the BSD 3-Clause License", "the 3-Clause BSD License"),
     "CC-BY-4.0": ("CC BY 4.0", "the Creative Commons Attribution 4.0 International License"),
     "CC-BY-NC-4.0": ("CC BY-NC 4.0", "the Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-NC-ND-4.0": (
+        "CC BY-NC-ND 4.0",
+        "the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    ),
+    "CC-BY-NC-SA-4.0": (
+        "CC BY-NC-SA 4.0",
+        "the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    ),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "the Creative Commons Attribution-NoDerivatives 4.0 International License"),
     "CC-BY-SA-4.0": ("CC BY-SA 4.0", "the Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC0-1.0": ("CC0 1.0", "the CC0 1.0 Universal Public Domain Dedication"),
     "GPL-2.0": ("the GNU General Public License, version 2", "the GNU GPL version 2"),
     "GPL-3.0": ("the GNU General Public License, version 3", "the GNU GPL version 3"),
     "ISC": ("the ISC License",),
+    "LGPL-2.1": ("the GNU Lesser General Public License, version 2.1",),
     "LGPL-3.0": ("the GNU Lesser General Public License, version 3",),
     "MIT": ("the MIT License",),
     "MPL-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0"),
@@ -59,6 +70,21 @@ DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
 SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
 LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
 CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
 SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at
@@ -66,19 +92,82 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your
+option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program; if not, write to the Free
+Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
     "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
 General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
 option) any later version.
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
 warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
 You should have received a copy of the GNU General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at
+your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more
+details.
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the
+Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA""",
+    "LGPL-3.0": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU
+Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more
+details.
+You should have received a copy of the GNU Lesser General Public License along with this library. If not, see
+<https://www.gnu.org/licenses/>.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more
+details.
+You should have received a copy of the GNU Affero General Public License along with this program. If not, see
 <https://www.gnu.org/licenses/>.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
 MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "CC0-1.0": """To the extent possible under law, the person who associated CC0 with this work has waived all copyright
+and related or neighboring rights to this work.""",
 }
 
+# The header of the GNU licences as now worded, and what it holds for each.
+_GNU = """This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as
+published by the Free Software Foundation, either version {version} of the License, or (at your option) any later
+version.
+This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+You should have received a copy of the GNU {name} along with this {work}. If not, see
+<https://www.gnu.org/licenses/>."""
+_GNU_HEADERS = (
+    ("GPL-2.0", "program", "General Public License", "2"),
+    ("LGPL-2.1", "program", "Lesser General Public License", "2.1"),
+    ("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "program", "Lesser General Public License", "3"),
+)
+# Fixed value: the notice of the Creative Commons licences.
+_CREATIVE_COMMONS = """This work is licensed under {name}. To view a copy of this license, visit
+http://creativecommons.org/licenses/{code}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA
+94042, USA."""
+
+
+def _wordings() -> list[tuple[str, str]]:
+    """Pairs of identifier and text of the headers that are built from a pattern."""
+    gnu = [(i, _GNU.format(work=work, name=name, version=version)) for i, work, name, version in _GNU_HEADERS]
+    commons = [
+        (i, _CREATIVE_COMMONS.format(name=names[1], code=i[len("CC-") : -len("-4.0")].lower()))
+        for i, names in NAMES.items()
+        if i.startswith("CC-")
+    ]
+    return gnu + commons
+
 
 def templates() -> list[tuple[str, str]]:
     """Pairs of identifier and text."""
     notices = [(i, pattern.format(name)) for i, names in NAMES.items() for name in names for pattern in NOTICES]
-    return [*TEXTS.items(), *notices]
+    return [*TEXTS.items(), *_wordings(), *notices]

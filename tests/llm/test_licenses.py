@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from aforo.llm.license_texts import TEXTS, templates
+from aforo.llm.license_texts import NAMES, TEXTS, templates
 from aforo.llm.licenses import _COPYRIGHT, Scanner, bigrams, dice, scan, words_of
 
 
@@ -115,3 +115,20 @@ def test_word_runs_of_unlike_and_repeated_texts(scanner):
     assert len(scanner.word_matches("Released under the MIT License. " * 3000)) == 3000
     for name, text in templates():
         assert [(m.license, m.dice) for m in scanner.word_matches(f"Some prose before. {text} And after it.")] == [(name, 1.0)]
+
+
+def test_every_licence_is_found_by_its_own_text(scanner):
+    """Full texts and headers in their usual wordings, none of which the nearest other licence may claim."""
+    assert {name for name, text in templates() if len(bigrams(words_of(text))) > 20} == set(NAMES)
+    gnu = TEXTS["GPL-3.0"].replace("GNU\nGeneral", "GNU General")
+    texts = [
+        *TEXTS.items(),
+        ("GPL-2.0", gnu.replace("version 3", "version 2")),
+        ("LGPL-2.1", gnu.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")),
+        ("LGPL-3.0", gnu.replace("GNU General", "GNU Lesser General")),
+        ("AGPL-3.0", gnu.replace("GNU General", "GNU Affero General")),
+    ]
+    for name, text in texts:
+        for worded in (text, text.replace("useful", "helpful").replace("any", "every")):
+            assert [m.license for m in scanner.word_matches(f"Some prose. {worded} And more.")] == [name]
+            assert [m.license for m in scanner.matches(f"Some prose.\n{worded}\nAnd more.")] == [name]

@@ -144,7 +144,8 @@ def shard_by_bytes(
     Columns called ``size``, ``shard`` or ``slot`` are replaced; all others are carried along.
 
     Neither a shard nor a group of equal texts meets in one task: rows are ordered in buckets cut from
-    the leading bits of the keys, finer where many rows fall, and slots are counted from bucket sums.
+    the leading bits of the keys, finer where many rows fall, and slots are counted from bucket sums. Only rows
+    equal in text and id are never parted.
     """
     carried = [c for c in df.columns if c not in ("size", "shard", "slot")]
     keyed = _keys(df.select(*(F.col(f"`{c}`") for c in carried)), f"`{text}`", f"`{key}`")
@@ -156,26 +157,30 @@ def shard_by_bytes(
 
     bits = bits_for(narrow.count(), rows_per_bucket)
     coarse = F.lit(0).cast("long") if bits == 0 else F.shiftright("_h", 64 - bits)
-    cells = narrow.select(shard(F.col("_h"), F.col("_u")).alias("_shard"), coarse.alias("_cell"), "_h")
-    # Cells with many more rows than planned are cut again, by the next bits or, when one text fills them, by the ids.
+    # Cells with many more rows than planned are cut again by the next bits; and among their texts those that alone
+    # hold so many, by the ids. All shards count: of a text that a boundary cuts, each has a part of the ids' range only.
+    texts = narrow.groupBy(coarse.alias("_cell"), "_h").agg(F.count(F.lit(1)).alias("_rows"))
+    cut = F.ceil(F.log2(F.col("_rows") / rows_per_bucket)).cast("int")
+    hot = F.when(F.col("_rows") > 2 * rows_per_bucket, F.struct(F.col("_h").alias("h"), cut.alias("bits")))
     crowded = (
-        cells.groupBy("_shard", "_cell")
-        .agg(F.count(F.lit(1)).alias("_rows"), (F.min("_h") == F.max("_h")).alias("_one_text"))
+        texts.groupBy("_cell")
+        .agg(F.sum("_rows").alias("_rows"), F.collect_list(hot).alias("_hot"))
         .filter(F.col("_rows") > 2 * rows_per_bucket)
-        .select("_shard", "_cell", "_one_text", F.ceil(F.log2(F.col("_rows") / rows_per_bucket)).cast("int").alias("_bits"))
+        .select("_cell", cut.alias("_bits"), "_hot")
     )
-    fine = F.when(F.col("_bits").isNull(), F.lit(0).cast("long")).otherwise(
+    # One row per crowded cell: at most one for 2 * rows_per_bucket rows.
+    zero = F.lit(0).cast("long")
+    fine = F.when(F.col("_bits").isNull(), zero).otherwise(
         # shiftright keeps the sign, and so the order.
-        F.when(F.col("_one_text"), F.expr("shiftright(_u, 64 - _bits)")).otherwise(
-            F.expr("shiftrightunsigned(shiftleft(_h, {0}), 64 - _bits)".format(bits))
-            if bits
-            else F.expr("shiftright(_h, 64 - _bits)")
-        )
+        F.expr("shiftrightunsigned(shiftleft(_h, {0}), 64 - _bits)".format(bits)) if bits else F.expr("shiftright(_h, 64 - _bits)")
     )
+    # Hot texts have odd numbers, those between them even ones.
+    among = F.coalesce(F.expr("2 * size(filter(_hot, x -> x.h < _h)) + int(exists(_hot, x -> x.h = _h))"), F.lit(0))
+    part = F.coalesce(F.expr("shiftright(_u, 64 - get(filter(_hot, x -> x.h = _h), 0).bits)"), zero)
     rows = keyed.withColumns({"_shard": shard(F.col("_h"), F.col("_u")), "_cell": coarse})
-    rows = rows.join(crowded, ["_shard", "_cell"], "left").withColumn("_fine", fine).drop("_bits", "_one_text")
+    rows = rows.join(F.broadcast(crowded), "_cell", "left").withColumns({"_fine": fine, "_among": among, "_part": part}).drop("_bits", "_hot")
     order = [F.col("_h"), F.col("_u"), F.col(f"`{key}`")]
-    placed = running_sum(rows, ["_shard"], ["_cell", "_fine"], order, F.lit(1).cast("long"), "_slot")
+    placed = running_sum(rows, ["_shard"], ["_cell", "_fine", "_among", "_part"], order, F.lit(1).cast("long"), "_slot")
     return placed.select(
         *(F.col(f"`{c}`") for c in carried),
         F.col("_size").alias("size"),

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from aforo.llm import sharding
 from aforo.llm.sharding import shard_by_bytes, write_shards
 
 SCHEMA = "doc_id long, text string"
@@ -46,6 +47,28 @@ def test_hot_text_is_split(frame):
     assert len(shards_of(got)) == 8
 
 
+@pytest.mark.parametrize("hot", ["hot text", "", None])
+@pytest.mark.parametrize("per_bucket, shards", [(100, 2), (200, 1), (1000, 3)])
+def test_hot_text_amid_others_meets_in_no_bucket(frame, monkeypatch, hot, per_bucket, shards):
+    """Half of all rows hold one text, other texts share its cell."""
+    buckets = []
+
+    def seen(df, group, bucket, *rest):
+        buckets.append(df.groupBy(*group, *bucket).count().agg(F.max("count")).first()[0])
+        return running_sum(df, group, bucket, *rest)
+
+    running_sum = sharding.running_sum
+    monkeypatch.setattr(sharding, "running_sum", seen)
+    rows = [(i, hot if i % 2 else f"text {i}") for i in range(6000)]
+    df = frame(SCHEMA, rows)
+    got = shard_by_bytes(df, shards, rows_per_bucket=per_bucket).collect()
+    assert buckets[0] <= 2 * per_bucket
+    check(got, shards)
+    keys = {r.doc_id: (r.h, r.u) for r in df.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64("doc_id").alias("u")).collect()}
+    placed = [keys[r.doc_id] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert placed == sorted(placed) and len(placed) == 6000
+
+
 def test_equal_texts_stay_together_where_they_can(frame):
     rows = [(i, f"text {i // 4} " * 40) for i in range(4000)]
     got = shard_by_bytes(frame(SCHEMA, rows), 8).collect()

@@ -24,8 +24,6 @@ ROWS_PER_LANGUAGE = 4_000
 #: Most frequent words, and n-grams of each length, that are kept of all languages together, shared evenly.
 WORDS_KEPT = 120_000
 GRAMS_KEPT = 40_000
-#: Languages learned, the most frequent first.
-LANGUAGES_KEPT = 200
 LONGEST_GRAM = 5
 #: What a step down to shorter n-grams costs, as a factor of the difference between languages.
 DISCOUNT = 0.7
@@ -61,20 +59,18 @@ def labelled(df: DataFrame, text: str, lang: str, key: str, rows: int = ROWS_PER
     """
     known = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("_key"))
     known = known.filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("_key").isNotNull() & ~held_out(F.col("_key")))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES_KEPT).collect()
-    # Shares of the hash's range, for at most LANGUAGES_KEPT languages.
-    shares = {r.lang: min(1.0, rows / r.n) for r in sizes}
-    if not shares:
-        return known.select("lang", "text").limit(0)
-    pairs = [F.lit(x) for language, share in shares.items() for x in (language, int(share * 1_000_000))]
-    chosen = F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < F.element_at(F.create_map(*pairs), F.col("lang"))
-    return known.filter(F.col("lang").isin(*shares) & F.col("text").isNotNull() & chosen).select("lang", "text")
+    # One row per language; shares of the hash's range, in millionths.
+    share = F.floor(F.least(F.lit(1.0), F.lit(rows) / F.count(F.lit(1))) * 1_000_000)
+    shares = known.groupBy("lang").agg(share.alias("_share"))
+    chosen = F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < F.col("_share")
+    return known.filter(F.col("text").isNotNull()).join(F.broadcast(shares), "lang").filter(chosen).select("lang", "text")
 
 
 def train(
     df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_PER_LANGUAGE, scratch: str | None = None
 ) -> Model:
-    """Count words and n-grams of the labelled rows and keep the most frequent of each language.
+    """Count words and n-grams of the labelled rows and keep the most frequent of each language, of which all
+    that are labelled are learned. The tables have a column for each.
 
     Without any labelled row the model has no languages, and all texts are ``und``.
     """
@@ -96,8 +92,8 @@ def train(
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = tuple(sorted(totals))
     share = max(1, len(languages))
-    known = _most_frequent(words.select("lang", F.col("w").alias("x"), "n", F.lit(0).alias("size")), WORDS_KEPT // share)
-    known_grams = _most_frequent(grams.select("lang", F.col("g").alias("x"), "n", F.length("g").alias("size")), GRAMS_KEPT // share)
+    known = _most_frequent(words.select("lang", F.col("w").alias("x"), "n", F.lit(0).alias("size")), max(1, WORDS_KEPT // share))
+    known_grams = _most_frequent(grams.select("lang", F.col("g").alias("x"), "n", F.length("g").alias("size")), max(1, GRAMS_KEPT // share))
     return Model(languages, *_log_frequencies(known, languages), *_log_frequencies(known_grams, languages))
 
 

@@ -83,3 +83,14 @@ def test_nulls_empty_long_and_clashing_columns(frame):
 def test_nothing_to_learn_from(frame, rows):
     df = frame(SCHEMA, rows)
     assert [r.lang_pred for r in langid.identify(df, langid.train(df)).collect()] == ["und"] * len(rows)
+
+
+def test_every_label_is_learned(frame):
+    """More than 200 languages, the rarest of which has one row."""
+    keys = [i for i in range(2000) if not out_of_training(i)]
+    letters = "abcdefghijklmnop"
+    names = [x + y for x in letters for y in letters][:220]
+    rows = [(key, names[i % 219] * 4, names[i % 219]) for i, key in enumerate(keys[:438])] + [(keys[438], "zzzyzzz", names[219])]
+    model = langid.train(frame(SCHEMA, rows))
+    assert model.languages == tuple(sorted(names))
+    assert langid.Scorer(model).predict("zzzyzzz")[0] == names[219]

@@ -180,8 +180,8 @@ def nearest(
     """``query_id``, ``rank`` (from 1), the neighbour's key and ``score``, its Euclidean distance in double precision.
 
     ``queries`` has the same key and vector columns; a row is no neighbour of a query with its own key.
-    Ties go to the smaller key. Vectors that are NULL, zero, of another length than the first sampled one, or
-    that hold NULL or a non-finite number take no part on either side, nor do NULL keys; with fewer than
+    Ties go to the smaller key. Vectors that are NULL, zero, of another length than most distinct
+    ones (of tied lengths the larger), or that hold NULL or a non-finite number take no part on either side, nor do NULL keys; with fewer than
     ``k`` candidates all are returned. Rows of one key and vector count once. Other columns are not looked at.
 
     Equal vectors are one point of the index, which names their ``k + 1`` smallest keys: no other can be
@@ -193,17 +193,19 @@ def nearest(
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     named = points.distinct().withColumn("_rank", rank).filter(F.col("_rank") <= k + 1)
     index = stored(named.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-index", scratch)
-    rows = index.count()
-    chosen = index.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).select("v").collect()
+    # One row per length that occurs.
+    lengths = index.groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("rows"))
+    usual = lengths.orderBy(F.desc("rows"), F.desc("length")).first()
     asked = _valid(queries, key, vector)
     empty = "query_id long, rank int, vec_id long, score double".replace("vec_id", f"`{key}`")
-    if not chosen:
+    if usual is None:
         return spark.createDataFrame([], empty)
-    dimensions = len(chosen[0].v)
-    fitted = fit(np.array([r.v for r in chosen if len(r.v) == dimensions]), rows, dimensions, directions, cell_rows)
+    dimensions, rows = usual.length, usual.rows
+    same = F.size("v") == dimensions
+    chosen = index.filter(same).select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).select("v").collect()
+    fitted = fit(np.array([r.v for r in chosen]), rows, dimensions, directions, cell_rows)
     reach = math.sqrt(chi_square_quantile(confidence, directions))
 
-    same = F.size("v") == dimensions
     dealt = stored(_dealt(index.filter(same), fitted), "ann-dealt", scratch)
     # Cells that the sample has misjudged are cut into parts, by a hash of the vector.
     cells = dealt.groupBy("cell").agg(

@@ -110,3 +110,16 @@ def test_upper_tree_deals_all_rows():
     fitted = fit(points, 4000, 16, cell_rows=500)
     sizes = np.bincount(fitted.cells(fitted.project(points)))
     assert len(sizes) == 8 and sizes.min() > 400
+
+
+def test_a_few_vectors_of_other_lengths_cost_no_others(frame):
+    """Whatever their hashes: among so many odd ones some has the least of all."""
+    rows = vectors(120, dims=8)
+    odd = [(1000 + i, [float(i + 1)] * (7 if i % 2 else 9)) for i in range(80)]
+    queries = [*rows[::20], odd[0]]
+    got = got_rows(nearest(frame(SCHEMA, rows + odd), frame(SCHEMA, queries)))
+    expected = brute_force(rows, rows[::20])
+    assert {(q, r) for q, r, _, _ in got} == {(q, r) for q, r, _, _ in expected} and recall(got, expected) > 0.95
+    # Of tied lengths the larger counts.
+    pair = [(1, [1.0, 2.0]), (2, [1.0, 3.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 4.0])]
+    assert [(r[0], r[2]) for r in got_rows(nearest(frame(SCHEMA, pair), frame(SCHEMA, pair)))] == [(3, 4), (4, 3)]

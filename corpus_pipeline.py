@@ -18,9 +18,14 @@ BPE_FILE = "byte_bpe_50k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents without a language; those without a label get the predicted one."""
+    """Drop the documents without a language; those without a label get the predicted one.
+
+    Where no label can be learned from, every text with a letter has a language, which stays ``und`` if not labelled.
+    """
     docs = docs.select(*COLUMNS)
-    found = langid.identify(docs, langid.train(docs)).filter(F.col("lang_pred") != langid.UNKNOWN)
+    model = langid.train(docs)
+    has_one = F.col("lang_pred") != langid.UNKNOWN if model.languages else F.col("text").rlike(langid.WORD)
+    found = langid.identify(docs, model).filter(has_one)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

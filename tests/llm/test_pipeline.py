@@ -29,6 +29,12 @@ def test_language_drops_what_has_none(spark, frame):
     assert {r.lang for r in got} == {"en"} and list(got[0].asDict()) == list(pipeline.COLUMNS)
 
 
+def test_language_keeps_texts_where_nothing_can_be_learned(spark, frame):
+    rows = [document(i, f"the house number {i}", None) for i in range(5)] + [document(100, None, None), document(101, "123", None), document(102, "", None)]
+    got = pipeline.language(spark, frame(SCHEMA, rows), "").collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == [(i, "und") for i in range(5)]
+
+
 def test_one_of_each_group_stays(spark, frame):
     base = " ".join(f"w{i}" for i in range(100))
     rows = [document(5, base), document(3, base + " more"), document(9, base.upper()), document(7, "something else entirely here now")]

@@ -49,11 +49,11 @@ def tree(tmp_path):
     return write
 
 
-def plan_of(df, mode="formatted"):
-    """Text of the physical plan."""
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+@pytest.fixture(scope="session")
+def plan():
+    """Text of a table's physical plan."""
 
+    def plan_of(df, mode="formatted"):
+        return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
-@pytest.fixture
-def plan():
     return plan_of

@@ -26,10 +26,8 @@ def operators(text):
 
 
 @pytest.fixture(scope="module")
-def plans(spark):
-    from conftest import plan_of
-
-    return {name: operators(plan_of(build(spark, SF), "simple")) for name, build in QUERIES.items()}
+def plans(spark, plan):
+    return {name: operators(plan(build(spark, SF), "simple")) for name, build in QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -17,8 +17,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one window or one group of a task is meant to hold.
 ROWS_PER_BUCKET = 50_000
-#: Rows of an Arrow batch that a worker holds as Python objects.
+#: Rows, and bytes unless one row alone has more, of an Arrow batch that a worker holds as Python objects.
 ROWS_AT_ONCE = 1024
+BYTES_AT_ONCE = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,28 @@ def importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept_by_worker(key: tuple, make: Callable[[], object]):
+    """What ``make`` builds, kept until another operator's task comes to this worker: a worker serves many
+    tasks of one operator, and later those of others, which need the memory."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded rows and bytes; a row that is larger comes alone."""
+    half = batch.num_rows // 2
+    if half and (batch.num_rows > ROWS_AT_ONCE or batch.nbytes > BYTES_AT_ONCE):
+        yield from slices(batch.slice(0, half))
+        yield from slices(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: T.StructType) -> DataFrame:
     """Apply ``function`` to Arrow batches; it returns the output columns by name, as Arrow arrays or lists."""
     importable(df.sparkSession)
@@ -85,8 +108,8 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
-                yield pa.RecordBatch.from_pydict(function(batch.slice(i, ROWS_AT_ONCE)), schema=arrow)
+            for part in slices(batch):
+                yield pa.RecordBatch.from_pydict(function(part), schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforo.llm import ann, bpe, langid, licenses, mixing, neardup, orderminhash, sharding, tokencount, urlfilter
+from aforo.llm import (
+    ann,
+    bpe,
+    langid,
+    licenses,
+    mixing,
+    neardup,
+    orderminhash,
+    sharding,
+    tokencount,
+    urlfilter,
+    whitening,
+)
 from aforo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +206,9 @@ SELECT t.doc_id, len(t.s)::BIGINT AS n_shingles, coalesce(r.root, t.doc_id) AS c
        t.doc_id IS NOT DISTINCT FROM coalesce(r.root, t.doc_id) AS kept
 FROM sets t LEFT JOIN distinct_sets d ON list_sort(t.s) = d.s LEFT JOIN roots r ON r.id = d.id
 """
+
+
+@query
+def op12_polarised_whitening(spark, sf_dir):
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return whitening.by_component(white).withColumn("deviation", F.col("deviation").cast("long"))

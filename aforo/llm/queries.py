@@ -16,6 +16,7 @@ from aforo.llm import (
     mixing,
     neardup,
     orderminhash,
+    packing,
     sharding,
     tokencount,
     urlfilter,
@@ -212,3 +213,10 @@ FROM sets t LEFT JOIN distinct_sets d ON list_sort(t.s) = d.s LEFT JOIN roots r
 def op12_polarised_whitening(spark, sf_dir):
     white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return whitening.by_component(white).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op13_curve_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, bpe.Vocabulary.load(public_tokenizers.path(BPE_FILE)), TOKEN_LIMIT)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

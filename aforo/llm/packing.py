@@ -92,13 +92,19 @@ class _Reader:
         self.placer = Placer(1 + max([*vocabulary.tokens, *vocabulary.special.values()]))
 
 
+def _width(vocabulary: Vocabulary, end: int) -> str:
+    """How ids are kept while they move: 16 bits where all fit, else 32."""
+    return "<u2" if max([end, *vocabulary.tokens, *vocabulary.special.values()]) < 1 << 16 else "<u4"
+
+
 def _encoded(df: DataFrame, vocabulary: Vocabulary, end: int) -> DataFrame:
-    """``_key``, ``_n`` and ``_ids`` (32-bit, little-endian, with ``end``) of each row, and its ``_place`` on the curve."""
+    """``_key``, ``_n`` and ``_ids`` (with ``end``, as narrow as they go) of each row, and its ``_place`` on the curve."""
+    width = _width(vocabulary, end)
 
     def run(batch):
         reader = kept_by_worker(("packing", len(vocabulary.tokens), hash(vocabulary.merges)), lambda: _Reader(vocabulary))
         documents = [reader.encoder.ids(t or "") for t in batch.column("_text").to_pylist()]
-        whole = [np.append(ids, np.uint32(end)).astype("<u4") for ids in documents]
+        whole = [np.append(ids, np.uint32(end)).astype(width) for ids in documents]
         out = {"_key": batch.column("_key"), "_n": [len(ids) for ids in whole], "_ids": [ids.tobytes() for ids in whole]}
         return out | {"_place": reader.placer.keys(documents)}
 
@@ -143,6 +149,27 @@ def _in_order(tokens: DataFrame, scratch: str | None) -> DataFrame:
     return along.join(F.broadcast(offsets), "_range").withColumn("_start", F.col("_offset") + F.col("_before"))
 
 
+def _cut(placed: DataFrame, width: str, length: int) -> DataFrame:
+    """The pieces of each row: ``_key`` and the other columns of ``pack``."""
+    kinds = {"start": "long", "length": "long", "ids": "binary", "doc_tokens": "long", "sequence_id": "long", "offset": "long"}
+    given = placed.select("_key", "_start", "_ids")
+
+    def run(batch):
+        rows, pieces = [], []
+        for i, (begin, raw) in enumerate(zip(batch.column("_start").to_pylist(), batch.column("_ids"))):
+            ids = np.frombuffer(raw.as_buffer(), width)
+            at = 0
+            while at < len(ids):
+                sequence, offset = divmod(begin + at, length)
+                piece = ids[at : at + length - offset]
+                rows.append(i)
+                pieces.append((at, len(piece), piece.astype("<u4").tobytes(), len(ids), sequence, offset))
+                at += len(piece)
+        return {"_key": batch.column("_key").take(pa.array(rows, pa.int32())), **dict(zip(kinds, zip(*pieces)))}
+
+    return map_batches(given, run, fields(given, ["_start", "_ids"], **kinds))
+
+
 def pack(
     df: DataFrame,
     vocabulary: Vocabulary,
@@ -166,18 +193,4 @@ def pack(
     tokens = _encoded(given, vocabulary, end).withColumn("_tie", F.xxhash64("_key", "_ids"))
     placed = _in_order(stored(tokens, "packing-tokens", scratch), scratch)
 
-    def piece(sequence):
-        first = F.greatest(sequence * length, F.col("_start"))
-        size = F.least((sequence + 1) * length, F.col("_start") + F.col("_n")) - first
-        start = first - F.col("_start")
-        return F.struct(
-            start.alias("start"),
-            size.alias("length"),
-            F.substring("_ids", (start * 4 + 1).cast("int"), (size * 4).cast("int")).alias("ids"),
-            F.col("_n").alias("doc_tokens"),
-            sequence.alias("sequence_id"),
-            (first - sequence * length).alias("offset"),
-        )
-
-    touched = F.sequence(F.floor(F.col("_start") / length), F.floor((F.col("_start") + F.col("_n") - 1) / length))
-    return placed.select(F.col("_key").alias(key), F.inline(F.transform(touched, piece)))
+    return _cut(placed, _width(vocabulary, end), length).withColumnRenamed("_key", key)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aforo.llm import (
+    alignment,
     ann,
     bpe,
     langid,
@@ -29,6 +30,7 @@ ORACLE: dict[str, str] = {}
 
 SHARDS = 8
 BPE_FILE = "byte_bpe_50k.json"
+PIECE_FILE = "piece_bpe_32k.model"
 COUNT_FILE = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 # The rules of the url query.
@@ -209,6 +211,13 @@ FROM sets t LEFT JOIN distinct_sets d ON list_sort(t.s) = d.s LEFT JOIN roots r
 """
 
 
+@query
+def op11_merge_path_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = alignment.Pieces.load(public_tokenizers.path(PIECE_FILE))
+    return alignment.link_counts(docs, bpe.Vocabulary.load(public_tokenizers.path(BPE_FILE)), pieces)
+
+
 @query
 def op12_polarised_whitening(spark, sf_dir):
     white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -1,0 +1,177 @@
+"""Alignment against ends compared one by one, and counts against plain loops over the library's tokens."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from aforo.llm import alignment, bpe, queries
+
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def first():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@pytest.fixture(scope="module")
+def second():
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    return alignment.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def tokens(first, second, vocabulary, text):
+    """(id, bytes) of both, whole text by whole text; none if either differs from space and text."""
+    if not text:
+        return [], []
+    a = [(i, vocabulary.tokens[i]) for i in first.encode(" " + text, add_special_tokens=False).ids]
+    b = []
+    for i in second.encode(text):
+        piece = second.id_to_piece(i)
+        b.append((i, bytes([int(piece[3:5], 16)]) if second.is_byte(i) else piece.replace("▁", " ").encode()))
+    same = all(b"".join(s for _, s in side) == b" " + text.encode() for side in (a, b))
+    return (a, b) if same else ([], [])
+
+
+def groups(a, b):
+    """Lists of ids that end together, by walking along both."""
+    found, i, j, x, y = [], 0, 0, 0, 0
+    one, other = [], []
+    while i < len(a) or j < len(b):
+        if x <= y and i < len(a) and not (x == y and one):
+            x += len(a[i][1])
+            one.append(a[i][0])
+            i += 1
+        else:
+            y += len(b[j][1])
+            other.append(b[j][0])
+            j += 1
+        if x == y and one and other:
+            found.append((one, other))
+            one, other = [], []
+    return found
+
+
+def brute_force(first, second, vocabulary, rows):
+    sides = [tokens(first, second, vocabulary, t) for _, t in rows]
+    grouped = [groups(a, b) for a, b in sides]
+    counts = Counter((g[0][-1], g[1][-1]) for gs in grouped for g in gs)
+    most = {}
+    for (_, b), n in counts.items():
+        most[b] = max(most.get(b, 0), n)
+    result = []
+    for (i, _), (a, b), gs in zip(rows, sides, grouped):
+        links = [(g[0][-1], g[1][-1]) for g in gs]
+        written = ";".join(f"{','.join(map(str, g[0]))}|{','.join(map(str, g[1]))}" for g in gs)
+        digest = hashlib.sha256(written.encode()).hexdigest() if gs else ""
+        result.append((i, len(a), len(b), len(gs), len(links), sum(counts[p] == most[p[1]] for p in links), sum(counts[p] for p in links), digest))
+    return result
+
+
+def ordered(rows):
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1:]))
+
+
+LETTERS = "aaab  \n\t't'sre<s></s><unk>|é1２ ١\x85\xa0 ñß中文🙂́‍LLd.,!_▁"
+
+
+def odd_rows():
+    rnd = random.Random(6)
+    words = ["harbour", "tide", "noon", "  ", "quay's", "1234", "\n", "Überfahrt", "<|endoftext|>", "<0x41>"]
+    rows = [(i, "".join(rnd.choice(LETTERS) for _ in range(rnd.randint(0, 30)))) for i in range(150)]
+    rows += [(200 + i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 60)))) for i in range(100)]
+    rows += [(300 + i, "a hot text in a third of the rows") for i in range(120)]
+    return [*rows, (500, None), (501, ""), (None, "no id"), (None, "no id"), (7, rows[7][1]), (502, " " * 3000), (503, "a▁b"), (504, "ab " * 30_000)]
+
+
+@pytest.mark.parametrize("most_pairs", [alignment.MOST_PAIRS, 0])
+def test_against_brute_force(frame, first, second, vocabulary, pieces, most_pairs):
+    rows = odd_rows()
+    got = alignment.link_counts(frame(SCHEMA, rows), vocabulary, pieces, most_pairs=most_pairs).collect()
+    assert ordered(got) == ordered(brute_force(first, second, vocabulary, rows))
+
+
+def test_frequent_pairs_apart(frame, first, second, vocabulary, pieces, monkeypatch):
+    """Some pairs broadcast, the others joined by shuffle."""
+    monkeypatch.setattr(alignment, "FREQUENT", 100)
+    rows = odd_rows()
+    got = alignment.link_counts(frame(SCHEMA, rows), vocabulary, pieces, most_pairs=10).collect()
+    assert ordered(got) == ordered(brute_force(first, second, vocabulary, rows))
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 64, 100_000])
+def test_pieces_of_any_size_give_the_same_merge(piece):
+    rnd = np.random.default_rng(piece)
+    for _ in range(60):
+        size = int(rnd.integers(1, 200))
+        x, y = (np.unique(np.append(rnd.integers(1, size + 1, int(rnd.integers(1, size + 1))), size)) for _ in range(2))
+        found = alignment.align_ends(x, y, piece)
+        ends = sorted({*x.tolist(), *y.tolist()})
+        assert found.a.tolist() == [int((x < e).sum()) for e in ends]
+        assert found.b.tolist() == [int((y < e).sum()) for e in ends]
+        both = sorted({*x.tolist()} & {*y.tolist()})
+        assert x[found.group_a].tolist() == y[found.group_b].tolist() == both
+
+
+def test_pieces_do_equal_work():
+    rnd = np.random.default_rng(0)
+    x, y = np.cumsum(rnd.integers(1, 9, 5000)), np.cumsum(rnd.integers(1, 3, 9000))
+    corners = [alignment.crossing(x, y, d) for d in range(0, 14_000, 500)]
+    work = [b[0] + b[1] - a[0] - a[1] for a, b in zip(corners, corners[1:])]
+    assert all(abs(w - 500) <= 1 for w in work)
+
+
+def test_spans(frame, first, second, vocabulary, pieces):
+    rows = [(1, "tokens of two kinds, aligned"), (2, None), (3, "▁"), (4, "déjà vu 中"), (4, "déjà vu 中")]
+    got = alignment.align(frame(f"{SCHEMA}, a_ids string, group_a int, other string", [(*r, "x", 5, "o") for r in rows]), vocabulary, pieces).collect()
+    assert len(got) == 5 and all(r.other == "o" for r in got)
+    for r in got:
+        text = dict(rows)[r.doc_id]
+        a, b = tokens(first, second, vocabulary, text)
+        assert (r.a_ids, r.b_ids) == ([i for i, _ in a], [i for i, _ in b])
+        ends_a, ends_b = (np.cumsum([len(s) for _, s in side]).tolist() for side in (a, b))
+        assert [ends_a[i] for i in r.group_a] == [ends_b[i] for i in r.group_b] == sorted({*ends_a} & {*ends_b})
+        spans = [(max([0, *ends_a][i], [0, *ends_b][j]), min(ends_a[i], ends_b[j])) for i, j in zip(r.overlap_a, r.overlap_b)]
+        assert all(begin < end for begin, end in spans) and [b for _, b in spans] == sorted({*ends_a, *ends_b})
+
+
+def test_parts_of_long_texts(vocabulary, pieces, second, monkeypatch):
+    monkeypatch.setattr(alignment, "PART", 20)
+    tokenizers = alignment.Tokenizers(vocabulary, pieces)
+    rnd = random.Random(3)
+    for _ in range(400):
+        text = "".join(rnd.choice(LETTERS + "   ") for _ in range(rnd.randint(1, 300))).replace("▁", "")
+        ids = [i for part in second.encode(tokenizers.parts(text)) for i in part]
+        assert ids == second.encode(text), repr(text)
+        assert tokenizers.ids(text)[1].tolist() == ids
+
+
+def test_empty_and_clashing_columns(frame, vocabulary, pieces):
+    assert alignment.link_counts(frame(SCHEMA, []), vocabulary, pieces).count() == 0
+    assert alignment.link_counts(frame(SCHEMA, [(1, None), (2, "")]), vocabulary, pieces, most_pairs=0).count() == 2
+    rows = [(i, "some text", 1, "x", 2) for i in range(4)]
+    got = alignment.link_counts(frame(f"{SCHEMA}, n_a int, pair string, _row int", rows), vocabulary, pieces).collect()
+    assert {r.n_links for r in got} == {2} and {r.count_sum for r in got} == {8}
+
+
+def test_query(spark, first, second, vocabulary):
+    got = queries.QUERIES["op11_merge_path_alignment"](spark, "/root/testdata/sf0.001").collect()
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    assert ordered(got) == ordered(brute_force(first, second, vocabulary, rows))

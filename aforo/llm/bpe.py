@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import regex
 from pyspark.sql import DataFrame
 
-from aforo.llm.common import fields, map_batches
+from aforo.llm.common import fields, kept_by_worker, map_batches
 
 # Fixed value: how byte-level BPE cuts text into words.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -232,16 +232,10 @@ class Codec:
         return ",".join([p[0] for p in pieces]), b"".join([p[1] for p in pieces]).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(vocabulary: Vocabulary) -> Codec:
-    """One automaton per worker and vocabulary."""
-    key = hash((len(vocabulary.tokens), vocabulary.merges, tuple(vocabulary.special)))
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(vocabulary)
-    return _codecs[key]
+    """One automaton per worker."""
+    key = ("bpe", len(vocabulary.tokens), hash(vocabulary.merges), tuple(vocabulary.special))
+    return kept_by_worker(key, lambda: Codec(vocabulary))
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aforo.llm.common import fields, map_batches
+from aforo.llm.common import fields, kept_by_worker, map_batches
 from aforo.llm.components import components
 from aforo.sources.scratch import stored
 
@@ -37,8 +37,8 @@ FILTER_SLOTS = 1 << 20
 #: Counters for how common shingles are: 2 to this power, whatever the number of documents.
 COUNTER_BITS = 20
 
-#: Bytes of text that are hashed together.
-SLICE = 1 << 20
+#: Bytes of text that are hashed together; each takes some 50 bytes meanwhile.
+SLICE = 1 << 18
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -59,21 +59,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & _MASK, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 class Shingler:
-    """Shingle sets as sorted distinct 64-bit hashes."""
+    """Shingle sets as sorted distinct 64-bit hashes.
+
+    A word's hash adds up a number for each letter at its place, mixed of both. A polynomial in the place
+    would do with one product, but modulo a power of two some long words collide in every base.
+    """
 
     def __init__(self, words: int):
         self._words = words
-        self._grow(SLICE + 4096)
-
-    def _grow(self, n: int) -> None:
-        self._up, self._down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
 
     def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The set of each text; a NULL text, or one without words, has none."""
@@ -90,15 +84,14 @@ class Shingler:
 
     def _slice(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-        if len(raw) >= len(self._up):
-            self._grow(len(raw) + 1)
         blank = _SPACE[raw]
-        letters = _LETTERS[raw]
-        letters[blank] = 0
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * self._up[: len(raw)])])
         edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        words = _mixed((sums[ends] - sums[starts]) * self._down[starts])
+        letters = raw[~blank]
+        sizes = ends - starts
+        upto = np.cumsum(sizes)
+        places = np.arange(len(letters)) - np.repeat(upto - sizes, sizes)
+        words = _mixed(np.add.reduceat(_mixed(_LETTERS[letters] + places.astype(np.uint64) * np.uint64(_BASE)), upto - sizes)) if len(starts) else letters.astype(np.uint64)
         # The first word of each text.
         lengths = np.array([len(t) + 1 for t in texts])
         first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
@@ -144,13 +137,8 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
-_shinglers: dict[int, Shingler] = {}
-
-
 def _shingler(words: int) -> Shingler:
-    if words not in _shinglers:
-        _shinglers[words] = Shingler(words)
-    return _shinglers[words]
+    return kept_by_worker(("neardup", words), lambda: Shingler(words))
 
 
 def _digest(found: np.ndarray) -> bytes:

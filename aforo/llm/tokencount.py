@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from aforo.llm.common import fields, map_batches
+from aforo.llm.common import fields, kept_by_worker, map_batches
 
 #: Characters of a chunk, and by how many neighbours overlap at first.
 CHUNK = 16_384
@@ -127,17 +127,10 @@ class Counter:
         return None
 
 
-_counters: dict[int, Counter] = {}
-
-
 def _counter(tokenizer: str) -> Counter:
-    key = hash(tokenizer)
-    if key not in _counters:
-        # Spark runs a worker per core; threads of their own would only add memory.
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _counters.clear()
-        _counters[key] = Counter(tokenizer)
-    return _counters[key]
+    # Spark runs a worker per core; threads of their own would only add memory.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return kept_by_worker(("tokencount", hash(tokenizer)), lambda: Counter(tokenizer))
 
 
 def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", limit: int = 2048) -> DataFrame:

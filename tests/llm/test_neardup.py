@@ -80,6 +80,15 @@ def test_hot_group_of_copies(frame):
     assert sum(r.kept for r in got) == 401
 
 
+def test_words_that_collide_in_every_polynomial(frame):
+    """The Thue-Morse word and its complement; and letters in another order."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, f"x {one}"), (4, f"x {other}"), (5, "ab ba"), (6, "ba ab")]
+    got = near_duplicates(frame("doc_id long, text string", rows), words=2).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got) and len(got) == 6
+
+
 def test_letters_and_spaces(frame):
     """Only A-Z fold and only ASCII space parts words."""
     rows = [(1, "A B\tC\u000bd"), (2, " a b c D\n"), (3, "Ä b c d"), (4, "ä b c d"), (5, "a b c d"), (6, "a b c d\x1c")]

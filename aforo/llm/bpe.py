@@ -30,8 +30,8 @@ from aforo.llm.common import fields, kept_by_worker, map_batches
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries of the tables that workers keep of what they have met; a full table starts anew.
-PIECES_KEPT = 400_000
-ARCS_KEPT = 1_000_000
+PIECES_KEPT = 250_000
+ARCS_KEPT = 500_000
 
 NEVER = 1 << 60
 START = -1

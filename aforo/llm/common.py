@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
@@ -19,7 +22,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 50_000
 #: Rows, and bytes unless one row alone has more, of an Arrow batch that a worker holds as Python objects.
 ROWS_AT_ONCE = 1024
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +89,12 @@ def kept_by_worker(key: tuple, make: Callable[[], object]):
     """What ``make`` builds, kept until another operator's task comes to this worker: a worker serves many
     tasks of one operator, and later those of others, which need the memory."""
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)  # what was freed goes back to the machine
         _kept[key] = make()
     return _kept[key]
 

@@ -22,14 +22,14 @@ from aforo.sources.scratch import stored
 
 #: Characters of labelled text that are learned from, shared evenly by all languages; a language with more is
 #: thinned by a hash of the id, whole rows at a time. Bounds what reaches the driver and the workers.
-LEARNED_CHARACTERS = 8_000_000
+LEARNED_CHARACTERS = 6_000_000
 #: Labels beyond this number are an error: such a column holds something else than languages.
 MOST_LANGUAGES = 10_000
 LONGEST_GRAM = 5
 #: What a step down to shorter n-grams costs, as a factor of the difference between languages.
 DISCOUNT = 0.7
 #: Entries of the table of pieces of text that a worker keeps, and bytes of their scores; a full one starts anew.
-PIECES_KEPT = 300_000
+PIECES_KEPT = 200_000
 SCORES_KEPT = 32 << 20
 
 UNKNOWN = "und"
@@ -42,15 +42,20 @@ _STOPS = ".,;:!?\"()"
 
 @dataclass(frozen=True)
 class Entries:
-    """Words, or n-grams, by name. The languages that know one, and by how much its logarithm exceeds that of
-    an unseen entry there, stand from ``begins`` on; ``unseen`` has a row for each length and a column per language."""
+    """Words, or n-grams, by name; ``lines`` has them one a line. The languages that know one, and by how much its
+    logarithm exceeds that of an unseen entry there, stand from ``begins`` on; ``unseen`` has a row for each length and
+    a column per language."""
 
-    names: list[str] = field(repr=False)
+    lines: str = field(repr=False)
     begins: np.ndarray = field(repr=False)
     places: np.ndarray = field(repr=False)
     gains: np.ndarray = field(repr=False)
     unseen: np.ndarray = field(repr=False)
 
+    @property
+    def names(self) -> list[str]:
+        return self.lines.split("\n") if self.lines else []
+
     def scores(self, entries: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         """``n`` rows with a column per language: the gains of each entry added to its row."""
         columns = self.unseen.shape[1]
@@ -141,7 +146,7 @@ def _entries(counted: pa.Table, languages: tuple[str, ...], sizes: int) -> Entri
     unseen = np.log(0.5 / np.maximum(smoothed, 0.5))
     order = np.argsort(entry, kind="stable")
     begins = np.concatenate([[0], np.cumsum(np.bincount(entry, minlength=len(names)))]).astype(np.int64)
-    return Entries(names, begins, place[order].astype(np.int32), np.log((n[order] + 0.5) / 0.5), unseen)
+    return Entries("\n".join(names), begins, place[order].astype(np.int32), np.log((n[order] + 0.5) / 0.5), unseen)
 
 
 class Scorer:
@@ -246,7 +251,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     given = df.select(*(f"`{c}`" for c in kept))
 
     def run(batch):
-        scorer = kept_by_worker(("langid", model.languages, len(model.words.names), model.words.gains.tobytes()), lambda: Scorer(model))
+        scorer = kept_by_worker(("langid", model.languages, hash(model.words.lines), hash(model.words.gains.tobytes())), lambda: Scorer(model))
         found = scorer.predict(batch.column(text).to_pylist())
         out = {c: batch.column(c) for c in kept}
         return out | {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}

@@ -29,8 +29,9 @@ from aforo.llm.common import fields, kept_by_worker, map_batches
 # Fixed value: how byte-level BPE cuts text into words.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of the tables that workers keep of what they have met; a full table starts anew.
-PIECES_KEPT = 250_000
+#: Entries of the tables that workers keep of what they have met. A full table of pieces is set aside, for those
+#: met again to return from, until the next is full; a full table of arcs starts anew.
+PIECES_KEPT = 75_000
 ARCS_KEPT = 500_000
 
 NEVER = 1 << 60
@@ -80,7 +81,7 @@ class MergeAutomaton:
         self._parents: dict[int, tuple[int, int]] = {}
         self._merged: dict[tuple[int, int], int] = {}
         self._spines: tuple[dict, dict] = ({}, {})
-        self._arcs: dict[tuple[int, int], bool] = {}
+        self._arcs: dict[int, bool] = {}  # by state and token as one number, which is smaller than a pair
         dead = set()
         for rank, (u, v, w) in enumerate(vocabulary.merges):
             if w in self._parents:
@@ -129,11 +130,11 @@ class MergeAutomaton:
         """Whether ``token`` can be read in ``state``."""
         if state == START:
             return True
-        found = self._arcs.get((state, token))
+        found = self._arcs.get(state << 32 | token)
         if found is None:
             if len(self._arcs) >= ARCS_KEPT:
                 self._arcs.clear()
-            found = self._arcs[state, token] = not self._forbidden(state, token)
+            found = self._arcs[state << 32 | token] = not self._forbidden(state, token)
         return found
 
     def read(self, word: bytes) -> list[int]:
@@ -153,7 +154,7 @@ class MergeAutomaton:
                 token = ids.get(word[at:end])
                 if token is None or dead_ends and (end, token) in dead_ends:
                     continue
-                open_ = arcs.get((state, token))
+                open_ = arcs.get(state << 32 | token)
                 if open_ or open_ is None and self.arc(state, token):
                     path.append(token)
                     ends.append(end)
@@ -177,12 +178,17 @@ class _Pieces(dict):
 
     def __init__(self, codec: Codec, prefix: str):
         self._codec, self._prefix = codec, prefix
+        self._aside: dict[str, tuple[str, bytes]] = {}
 
     def __missing__(self, piece: str) -> tuple[str, bytes]:
         if len(self) >= PIECES_KEPT:
+            self._aside = dict(self)
             self.clear()
-        ids = self._codec.ids(self._prefix + piece)
-        found = self[piece] = (",".join(map(str, ids)), self._codec.automaton.spell(ids))
+        found = self._aside.get(piece)
+        if found is None:
+            ids = self._codec.ids(self._prefix + piece)
+            found = (",".join(map(str, ids)), self._codec.automaton.spell(ids))
+        self[piece] = found
         return found
 
 

@@ -74,12 +74,15 @@ def running_sum(
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 
-    Enough where the path holds on the executors too, as in local mode; else ship it with ``--py-files``.
+    Enough where the path holds on the executors too, as in local mode; else ship it with ``--py-files``. Batches
+    come from the system's allocator, which gives a freed one back, unless the session says otherwise.
     """
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    environment.setdefault("MALLOC_ARENA_MAX", "2")
 
 
 _kept: dict[tuple, object] = {}

@@ -93,7 +93,8 @@ def labelled(df: DataFrame, text: str, lang: str, key: str, characters: int = LE
     if not thinned:
         return known.select("lang", "text")
     # One row per language, of which there are not many; shares of the range of a 53-bit hash.
-    shares = df.sparkSession.createDataFrame([*thinned.items()], "lang string, _share double")
+    entries = F.array(*(F.struct(F.lit(name).alias("lang"), F.lit(share).alias("_share")) for name, share in thinned.items()))
+    shares = df.sparkSession.range(1).select(F.inline(entries))
     chosen = F.shiftrightunsigned(F.xxhash64("_key"), 11) < F.coalesce("_share", F.lit(1.0)) * float(1 << 53)
     return known.join(F.broadcast(shares), "lang", "left").filter(chosen).select("lang", "text")
 

@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 
 from aforo.functions.values import is_floating, missing, nan_to_null, number_from_text
 
+#: Pairs of columns that one aggregate correlates. A pair has ten buffer fields, and generated code ends at a
+#: hundred; methods that the virtual machine compiles end earlier.
+PAIRS_PER_TILE = 3
+
 # The readings the study counts as invalid.
 INVALID_RULES: dict[str, str] = {"vmed_negativa": "vmed < 0"}
 
@@ -82,20 +86,15 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    """Correlation of two columns over the rows that have both; NULL where one of them is constant.
-
-    ``corr`` itself divides by the deviations unguarded, which in ANSI mode fails the query.
-    """
-    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every ordered pair of numeric columns; 1 of a column with itself.
 
-    A row counts for a pair when both values are present. One pass: each row goes once per column, grouped
-    by that column, against all columns, so that the aggregate grows with the columns and not with their pairs.
+    A row counts for a pair when both values are present; NaN is missing. A column that is constant over a pair's
+    rows gives NULL. An empty table has no pairs.
+
+    The pairs, each of two columns once, are dealt into tiles of ``PAIRS_PER_TILE``, and a row goes once into each
+    tile's moments: their buffers fit generated code whatever the number of columns, and the work grows
+    with the pairs. One tile copies nothing. One scan; what is shuffled is a row per task and tile.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
     if not names:
@@ -106,19 +105,36 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         present = nan_to_null(column) if is_floating(df.schema[name].dataType) else column
         return present.cast("double").alias(f"_{names.index(name)}")
 
+    def both(i: int | None, j: int | None, slot: int) -> list[Column]:
+        """The values of a pair, where both are present; NULL in the slots that a last tile has left."""
+        if i is None:
+            return [F.lit(None).cast("double").alias(f"_{side}{slot}") for side in "xy"]
+        x, y = F.col(f"_{i}"), F.col(f"_{j}")
+        return [F.when(y.isNotNull(), x).alias(f"_x{slot}"), F.when(x.isNotNull(), y).alias(f"_y{slot}")]
+
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    slots = min(PAIRS_PER_TILE, len(pairs))
+    tiles = [pairs[at : at + slots] for at in range(0, len(pairs), slots)]
+    tiles[-1] = tiles[-1] + [(None, None)] * (slots - len(tiles[-1]))
+    rows = [[F.lit(t).alias("_tile"), *(c for slot, pair in enumerate(tile) for c in both(*pair, slot))] for t, tile in enumerate(tiles)]
     values = df.select(*(value(n) for n in names))
-    sides = F.array(*(F.struct(F.lit(n).alias("columna_a"), F.col(f"_{i}").alias("_x")) for i, n in enumerate(names)))
-    totals = (
-        values.select("*", F.inline(sides))
-        .groupBy("columna_a")
-        .agg(*(_pearson(F.col("_x"), F.col(f"_{i}")).alias(f"_r{i}") for i in range(len(names))))
-    )
-
-    def cell(i: int, name: str) -> Column:
-        found = F.col(f"_r{i}")
-        return F.when(found.isNotNull() & (F.col("columna_a") == name), F.lit(1.0)).otherwise(found)
-
-    return _long(totals, [(F.col("columna_a"), F.lit(n), cell(i, n)) for i, n in enumerate(names)], ("columna_a", "columna_b", "correlacion"))
+    dealt = values.select(*rows[0]) if len(rows) == 1 else values.select(F.inline(F.array(*(F.struct(*r) for r in rows))))
+
+    def pearson(slot: int) -> Column:
+        x, y = F.col(f"_x{slot}"), F.col(f"_y{slot}")
+        # ``corr`` itself divides by the deviations unguarded, which in ANSI mode fails the query.
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"_r{slot}")
+
+    totals = dealt.groupBy("_tile").agg(*(pearson(slot) for slot in range(slots)))
+    found = totals.select("_tile", F.posexplode(F.array(*(f"_r{slot}" for slot in range(slots)))).alias("_slot", "_r"))
+    place = F.col("_tile") * slots + F.col("_slot")
+    ends = [F.get(F.array(*(F.lit(names[pair[side]]) for pair in pairs)), place) for side in (0, 1)]
+    named = found.filter(place < len(pairs)).select(ends[0].alias("_a"), ends[1].alias("_b"), "_r")
+    same = F.col("_a") == F.col("_b")
+    r = F.when(same & F.col("_r").isNotNull(), F.lit(1.0)).otherwise(F.col("_r")).alias("correlacion")
+    there = F.struct(F.col("_a").alias("columna_a"), F.col("_b").alias("columna_b"), r)
+    back = F.struct(F.col("_b").alias("columna_a"), F.col("_a").alias("columna_b"), r)
+    return named.select(F.inline(F.when(same, F.array(there)).otherwise(F.array(there, back))))
 
 
 def column_profile(df: DataFrame, rules: Mapping[str, str] = INVALID_RULES) -> DataFrame:

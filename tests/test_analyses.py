@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +167,33 @@ def test_correlation_is_symmetric_and_pairwise(spark):
         assert value == pytest.approx(expected.loc[a, b])
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 14])
+def test_correlation_of_many_columns(spark, size):
+    """Any number of tiles, the last one not full; NULL and NaN count pair by pair."""
+    rnd = random.Random(size)
+    rows = [[rnd.choice([rnd.gauss(i, 1 + i), rnd.gauss(i, 1), None, float("nan")]) for i in range(size)] for _ in range(60)]
+    df = spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"c{i} double" for i in range(size)))
+    expected = df.toPandas().corr()
+    got = [tuple(r) for r in profile.correlation(df).collect()]
+    assert len(got) == len({r[:2] for r in got}) == size * size
+    for a, b, value in got:
+        assert value == pytest.approx(expected.loc[a, b], abs=1e-12) and (a != b or value == 1.0)
+    assert profile.correlation(df.limit(0)).count() == 0
+
+
+def test_correlation_stays_in_generated_code(spark, plan):
+    """However many columns there are; rows are folded before the only shuffle."""
+    df = spark.range(100).select(*((F.col("id") * i % 7).alias(f"c{i}") for i in range(30)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = plan(profile.correlation(df), "simple").splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    aggregates = [line for line in lines if "HashAggregate" in line]
+    assert len(aggregates) == 2 and all("*(" in line for line in aggregates)
+    assert sum("Exchange" in line for line in lines) == 1
+
+
 def test_profiles(spark):
     rows = [(1, 2.0, -3), (None, float("nan"), 4), (5, None, None)]
     df = spark.createDataFrame(rows, "a int, b double, vmed int")

@@ -203,6 +203,17 @@ SELECT event_id, CAST(num AS DOUBLE) AS periodo_num, nombre AS periodo FROM R WH
 
 
 ORACLE["classify_range_join_dirty"] = _dirty()
+ORACLE["classify_range_join_many"] = f"""WITH {L}, D AS (
+    SELECT fecha, count(*) AS filas FROM E GROUP BY fecha
+  ), T AS (
+    SELECT o_orderkey AS num, o_orderpriority AS nombre, CAST(o_orderdate AS DATE) AS inicio,
+      CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 AS INTEGER) AS fin
+    FROM orders
+  ), F AS (
+    SELECT D.fecha, min(num) AS num FROM D JOIN T ON fecha >= CAST(inicio AS TIMESTAMP) AND fecha <= CAST(fin AS TIMESTAMP) GROUP BY D.fecha
+  )
+SELECT D.fecha, CAST(F.num AS DOUBLE) AS periodo_num, T.nombre AS periodo, filas
+FROM D LEFT JOIN F ON F.fecha = D.fecha LEFT JOIN T ON T.num = F.num"""
 _folders = " ".join(f"WHEN '{p.nombre}' THEN '{p.carpeta}'" for p in EVENT_PERIODS)
 ORACLE["map_lookup"] = f"{BASE} SELECT event_id, CASE periodo {_folders} END AS carpeta FROM P"
 

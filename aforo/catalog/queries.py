@@ -296,6 +296,17 @@ def classify_range_join_dirty(spark, sf_dir):
     return as_double(classify_by_table(cleaned(spark, sf_dir), dated).select("event_id", *LABELS), "periodo_num")
 
 
+@query
+def classify_range_join_many(spark, sf_dir):
+    """Order lines by the orders' processing times: a period of a few days each, many of which overlap."""
+    orders = spark.read.schema("o_orderkey bigint, o_orderpriority string, o_orderdate timestamp_ntz").parquet(f"{sf_dir}/orders.parquet")
+    begin = F.col("o_orderdate").cast("date").alias("inicio")
+    table = orders.select(F.col("o_orderkey").alias("num"), F.col("o_orderpriority").alias("nombre"), begin)
+    table = table.withColumn("fin", F.date_add("inicio", (F.col("num") % 7).cast("int")))
+    found = classify_by_table(lines(spark, sf_dir), table)
+    return as_double(found.groupBy("fecha", *LABELS).agg(F.count(F.lit(1)).alias("filas")), "periodo_num")
+
+
 @query
 def map_lookup(spark, sf_dir):
     folders = {p.nombre: p.carpeta for p in EVENT_PERIODS}

@@ -15,8 +15,11 @@ from aforo.operators.clean import TS
 from aforo.periods import PERIODS, Period
 
 PERIOD_ENDS = ("instant", "day")
-#: Entries (a period in a month) up to which the lookup side is broadcast.
+#: Segments up to which the lookup side is broadcast.
 BROADCAST_ENTRIES = 100_000
+# Days by which dates are moved, so that all are counted from zero on; and the binary levels of their positions.
+FIRST_DAY = 1 << 31
+LEVELS = 33
 
 
 def _check(period_end: str) -> None:
@@ -87,8 +90,33 @@ def classify(
     return rows.withColumns({"periodo_num": number, "periodo": name})
 
 
-def _month(column: Column) -> Column:
-    return F.year(column) * 12 + F.month(column)
+def _position(day: Column) -> Column:
+    """Two positions a day: an even one for its first instant, and after it one for the rest."""
+    return (F.unix_date(day).cast("long") + FIRST_DAY) * 2
+
+
+def _resolved(sound: DataFrame, period_end: str, unfolded: int) -> DataFrame:
+    """``_position`` and ``_period``, the lowest period there, for every position that a period holds.
+
+    Bounds are dates, so positions are the finest segments that all bounds together can cut, and disjoint. Where
+    unfolding every period by itself would make more rows than can be broadcast, a period is first taken as its few
+    binary blocks of positions; equal blocks of all periods become one, and only these are unfolded. So what is
+    made is bounded by the calendar, not by how many periods overlap.
+    """
+    first, last = _position(F.col("inicio")), _position(F.col("fin"))
+    end = last + (1 if period_end == "instant" else 2)
+    spans = sound.select(first.alias("_first"), end.alias("_end"), F.struct("num", "nombre").alias("_period"))
+    if unfolded > BROADCAST_ENTRIES:
+        # By level: the block that begins or ends the span, unless a block of the next level holds it.
+        blocks = f"""transform(sequence(0, {LEVELS}), k -> named_struct(
+            'level', k, 'low', shiftright(_first + shiftleft(1L, k) - 1, k), 'high', shiftright(_end, k)))"""
+        edges = f"""flatten(transform(filter({blocks}, b -> b.low < b.high), b -> array_compact(array(
+            if(b.low % 2 = 1, named_struct('level', b.level, 'at', b.low), null),
+            if(b.high % 2 = 1, named_struct('level', b.level, 'at', b.high - 1), null)))))"""
+        spans = spans.select("_period", F.inline(F.expr(edges))).groupBy("level", "at").agg(F.min("_period").alias("_period"))
+        spans = spans.select(F.expr("shiftleft(at, level)").alias("_first"), F.expr("shiftleft(at + 1, level)").alias("_end"), "_period")
+    each = spans.select("_period", F.explode(F.sequence(F.col("_first"), F.col("_end") - 1)).alias("_position"))
+    return each.groupBy("_position").agg(F.min("_period").alias("_period"))
 
 
 def classify_by_table(
@@ -100,29 +128,27 @@ def classify_by_table(
 ) -> DataFrame:
     """Left lookup of each reading in a period table given as data (``num, nombre, inicio, fin``).
 
-    The table is unfolded to months, each with the list of the periods that touch it by number, so the join is
-    an equality and a reading meets one row. The first period of the list that holds the reading wins:
-    the lowest number where periods overlap. A period that ends before it begins, or lacks a bound, holds nothing.
-    Dates of any year may occur. Unless ``broadcast`` says, the unfolded table is counted, and broadcast when it
-    has at most ``BROADCAST_ENTRIES`` entries, so that readings are not shuffled; beyond that Spark decides.
+    The periods are cut into disjoint segments, a day's first instant or the rest of it, for each of which the lowest
+    number that holds it is found once, however many overlap. A reading then meets one row by an equality: no range
+    join, no list of periods, no test of one after another. A period that ends before it begins, or lacks a bound, holds
+    nothing. Dates of any year may occur. Unless ``broadcast`` says, the segments are broadcast where the bounds show
+    that there are at most ``BROADCAST_ENTRIES``, so that readings are not shuffled; beyond that Spark decides.
     """
     _check(period_end)
     for name in ("inicio", "fin"):
         if not isinstance(table.schema[name].dataType, T.DateType):
             raise TypeError(f"period column {name} must be a date")
     sound = table.filter(F.col("inicio") <= F.col("fin"))
-    months = sound.select("num", "nombre", "inicio", "fin", F.explode(F.sequence(_month(F.col("inicio")), _month(F.col("fin")))).alias("_month"))
+    extent = sound.agg(
+        F.coalesce(F.sum(F.datediff("fin", "inicio") + 1), F.lit(0)).alias("days"),
+        F.coalesce(F.datediff(F.max("fin"), F.min("inicio")) + 1, F.lit(0)).alias("calendar"),
+    ).first()
     if broadcast is None:
-        broadcast = months.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
-    lists = months.groupBy("_month").agg(F.sort_array(F.collect_list(F.struct("num", "nombre", "inicio", "fin"))).alias("_periods"))
-
-    def holds(period: Column) -> Column:
-        begin = period["inicio"].cast("timestamp_ntz")
-        if period_end == "instant":
-            return F.col(ts).between(begin, period["fin"].cast("timestamp_ntz"))
-        return (F.col(ts) >= begin) & (F.col(ts).cast("date") <= period["fin"])
+        broadcast = 2 * min(extent.days, extent.calendar) <= BROADCAST_ENTRIES
+    segments = _resolved(sound, period_end, 2 * extent.days)
 
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("periodo_num", "periodo")]
-    found = F.get(F.filter("_periods", holds), F.lit(0))
-    joined = df.select(*kept, _month(F.col(ts)).alias("_month")).join(F.broadcast(lists) if broadcast else lists, "_month", "left")
-    return joined.select(*kept, found["num"].alias("periodo_num"), found["nombre"].alias("periodo"))
+    day = F.col(ts).cast("date")
+    later = (F.col(ts) != day.cast("timestamp_ntz")).cast("long")
+    joined = df.select(*kept, (_position(day) + later).alias("_position")).join(F.broadcast(segments) if broadcast else segments, "_position", "left")
+    return joined.select(*kept, F.col("_period.num").alias("periodo_num"), F.col("_period.nombre").alias("periodo"))

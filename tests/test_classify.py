@@ -1,10 +1,12 @@
 import datetime as dt
+from unittest import mock
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from aforo.operators import classify as lookup
 from aforo.operators.classify import classify, classify_by_table
 from aforo.operators.clean import clean
 from aforo.operators.profile import classification_profile
@@ -91,9 +93,12 @@ def test_first_match_wins_however_periods_overlap(spark, bounds, moments, end):
     df = clean(spark.createDataFrame(list(enumerate(stamps)), "i int, fecha timestamp_ntz"))
     expected = {i: brute(t) for i, t in enumerate(stamps)}
     assert labels(classify(df, periods, end, keep_unclassified=True)) == expected
-    by_table = classify_by_table(df, period_table(spark, periods), end)
-    assert by_table.count() == len(stamps)
-    assert labels(by_table) == expected
+    for most in (100_000, 1):
+        # Each period unfolded by itself, and by binary blocks.
+        with mock.patch.object(lookup, "BROADCAST_ENTRIES", most):
+            by_table = classify_by_table(df, period_table(spark, periods), end)
+            assert by_table.count() == len(stamps)
+            assert labels(by_table) == expected
 
 
 def test_dates_reach_the_scan(spark, plan):
@@ -107,6 +112,30 @@ def test_dates_reach_the_scan(spark, plan):
     assert "GreaterThanOrEqual(ts,2024-01-11T00:00)" in one and "2024-01-01T00:00)" not in one.split("PushedFilters")[1].split("\n")[0]
 
 
+def test_many_periods_in_a_month(spark, plan):
+    """A hundred thousand periods of a day each: no more rows than the days have segments, and no lists."""
+    n = 100_000
+    table = spark.range(n).select(
+        (F.lit(n) - F.col("id")).alias("num"),
+        F.format_string("p%d", "id").alias("nombre"),
+        F.expr("date_add(date'2020-05-01', int(id % 30))").alias("inicio"),
+    )
+    table = table.withColumn("fin", F.date_add("inicio", 1))
+    stamps = [(i, dt.datetime(2020, 5, 1) + dt.timedelta(hours=7 * i)) for i in range(120)]
+    df = clean(spark.createDataFrame(stamps, "i int, fecha timestamp_ntz"))
+    found = classify_by_table(df, table)
+    lowest = {d: n - max(i for i in range(n - 60, n) if i % 30 == d) for d in range(30)}
+
+    def brute(t):
+        days = [d for d in range(30) if 0 <= (t - dt.datetime(2020, 5, 1 + d)).total_seconds() <= 86_400]
+        return min((lowest[d] for d in days), default=None)
+
+    assert {i: r[0] for i, r in labels(found).items()} == {i: brute(t) for i, t in stamps}
+    text = plan(found)
+    assert "collect_list" not in text and "BroadcastHashJoin" in text
+    assert lookup._resolved(table, "instant", 2 * n).count() == 61
+
+
 def test_table_lookup_is_an_equality_join(spark, plan):
     from aforo.sources.views import EVENT_PERIODS, events_readings
 

@@ -1,4 +1,5 @@
 import math
+import random
 import statistics
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from aforo.functions.values import lookup, number_from_text, round_half_even, within
+from aforo.operators import median
 from aforo.operators.clean import clean
 from aforo.operators.stats import Stat, group_stats, named_stats, spec_stats
 
@@ -162,6 +164,27 @@ def test_median_of_one_group_of_a_million_values(spark):
     assert group_stats(df, ["k"], [Stat("m", "v", "median")]).first().m == 500_000 / 3
 
 
+@pytest.mark.parametrize("n", [2000, 2001])
+def test_median_of_skewed_values_in_bounded_lists(spark, monkeypatch, n):
+    """Nearly all values next to 1, some at a billion: narrowed by ranks until few are left, whatever the values."""
+    monkeypatch.setattr(median, "MOST_VALUES", 20)
+    monkeypatch.setattr(median, "CELLS", 4)
+    monkeypatch.setattr(median, "BRACKET", 0.45)
+    rounds = []
+    narrowed = median._narrowed
+    monkeypatch.setattr(median, "_narrowed", lambda c: rounds.append(c) or narrowed(c))
+    values = [1 + i * 1e-9 for i in range(n - 150)] + [1e9 + i for i in range(100)] + [-1e9] * 50
+    random.Random(5).shuffle(values)
+    rows = [("hot", v, float(i)) for i, v in enumerate(values)] + [(f"k{i % 7}", float(i % 5), 0.5) for i in range(100)] + [(None, None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    got = {r.k: (r.v_median, r.w_median) for r in group_stats(df, ["k"], spec_stats({"v": ["median"], "w": ["median"]})).collect()}
+    for key in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == key]
+        present = [r[1] for r in mine if r[1] is not None]
+        assert got[key] == (statistics.median(present) if present else None, statistics.median(r[2] for r in mine))
+    assert len(rounds) > 2
+
+
 def test_median_passes_over_nan(spark):
     df = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", 3.0), ("b", float("nan"))], "k string, v double")
     got = {r.k: r.v_median for r in group_stats(df, ["k"], spec_stats({"v": ["median"]})).collect()}

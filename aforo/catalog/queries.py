@@ -434,6 +434,13 @@ def pivot_from_rows(spark, sf_dir):
     return reshape.mean_matrix(lines_classified(spark, sf_dir), "periodo", "tipo_elem", RETURN_FLAGS, charts.CHART_MEASURES)
 
 
+@query
+def pivot_from_rows_rest(spark, sf_dir):
+    """Two road types by name, all others together."""
+    listed = {k: v for k, v in RETURN_FLAGS.items() if k != "R"}
+    return reshape.mean_matrix(lines_classified(spark, sf_dir), "periodo", "tipo_elem", listed, charts.CHART_MEASURES, rest="otros")
+
+
 @query
 def pivot_hour_period(spark, sf_dir):
     return charts.load_curves_wide(analyses.load_by_hour(classified(spark, sf_dir)), EVENT_PERIODS)

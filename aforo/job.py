@@ -4,7 +4,7 @@
 
 Reads the month files (or a Parquet copy written by ``--ingest``), cleans, classifies, and writes
 the four analyses, the rows per period, the rows outside all periods and the tables behind the charts as CSV, all
-from one scan of the readings. Cells that could not be read as their type are counted in ``perdidas``.
+from one scan of the readings. Cells and dates that could not be read are counted in ``perdidas`` by the same scan.
 ``--explore`` adds the exploration of the raw columns and of all readings, whatever their period.
 """
 
@@ -14,14 +14,14 @@ import argparse
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from aforo.functions.dates import CALENDAR_COLUMNS
 from aforo.functions.values import number_from_text
 from aforo.operators import profile
 from aforo.operators.classify import classify
-from aforo.operators.clean import TS, clean
+from aforo.operators.clean import TS, clean, timestamp_of
 from aforo.periods import PERIODS, Period, pick, read_period_file
 from aforo.plans import analyses, charts, summary
 from aforo.sources import lake, readings, scratch, sinks
@@ -63,16 +63,24 @@ class Options:
         return clean(df, **{**given, **changes})
 
 
-def load(spark: SparkSession, root: str, nums: Sequence[int] | None, periods: Sequence[Period] = PERIODS) -> DataFrame:
-    """Typed readings from all period folders, or from those of the given periods."""
-    return readings.read_all(spark, root) if nums is None else readings.read_periods(spark, root, pick(periods, nums))
+def load_text(spark: SparkSession, root: str, nums: Sequence[int] | None, periods: Sequence[Period] = PERIODS) -> DataFrame:
+    """Readings as text from all period folders, or from those of the given periods."""
+    types = {c: "string" for c in readings.READING_TYPES}
+    return readings.read_all(spark, root, types=types) if nums is None else readings.read_periods(spark, root, pick(periods, nums), types=types)
 
 
-def losses(spark: SparkSession, root: str, nums: Sequence[int] | None, periods: Sequence[Period] = PERIODS) -> DataFrame:
-    """Cells of the same files that hold something but not a number, by column."""
-    types = {c: "string" for c in readings.READING_TYPES}
-    text = readings.read_all(spark, root, types=types) if nums is None else readings.read_periods(spark, root, pick(periods, nums), types=types)
-    return profile.cast_losses(text, readings.READING_TYPES)
+def watched(text: DataFrame, watch: Observation, options: Options) -> DataFrame:
+    """The typed readings; the first action over them also counts the cells and dates that cannot be read."""
+    numbers = {c: t for c, t in readings.READING_TYPES.items() if t != "string"}
+    dates = {"fecha": timestamp_of(text, "fecha", options.date_format)}
+    return readings.typed(profile.watch_losses(text, numbers, watch, dates))
+
+
+def seen_counts(watch: Observation, written: DataFrame) -> dict[str, int]:
+    """What was counted while ``written`` was; nothing where no row was read."""
+    if written.isEmpty():
+        return {c: 0 for c, t in readings.READING_TYPES.items() if t != "string"} | {"fecha": 0}
+    return watch.get
 
 
 def analyse(df: DataFrame, output: str, options: Options, periods: Sequence[Period] = PERIODS) -> None:
@@ -154,26 +162,30 @@ def _ranges(texts: Sequence[str]) -> dict[str, tuple[float, float]]:
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     options = Options(args.date_format, args.period_end, args.weekend, args.weekday, args.nan, args.decimals, _ranges(args.ranges))
     periods = read_period_file(spark, args.period_file) if args.period_file else PERIODS
+    watch = Observation()
     if not args.parquet:
         # Before anything is written: a root without readings leaves old results alone.
-        raw = load(spark, args.root, args.periods, periods)
-        lost = losses(spark, args.root, args.periods, periods)
+        text = load_text(spark, args.root, args.periods, periods)
+        raw, seen = readings.typed(text), watched(text, watch, options)
         if args.ingest:
             # The copy keeps NaN and all values, so that later runs can choose.
-            lake.write_readings(replace(options, nan="propagate", ranges={}).clean(raw), args.ingest)
-            sinks.write_parquet(lost, f"{args.ingest}/{LOSSES}")
+            lake.write_readings(replace(options, nan="propagate", ranges={}).clean(seen), args.ingest)
+            counts = seen_counts(watch, lake.read_readings(spark, args.ingest))
+            sinks.write_parquet(profile.seen_losses(spark, counts), f"{args.ingest}/{LOSSES}")
     copy = args.ingest or (args.root if args.parquet else None)
     if copy:
         chosen = pick(periods, args.periods) if args.parquet and args.periods else None
         kept = lake.read_readings(spark, copy, chosen, options.period_end)
         raw = kept.drop(TS, *CALENDAR_COLUMNS)
-        df = options.clean(kept, fecha=TS)
-        lost = spark.read.parquet(f"{copy}/{LOSSES}") if readings.exists(spark, f"{copy}/{LOSSES}") else None
+        df = seen = options.clean(kept, fecha=TS)
     else:
-        df = options.clean(raw)
-    analyse(df, args.output, options, periods)
-    if lost is not None:
-        sinks.write_csv(lost, f"{args.output}/perdidas", keys=["columna"])
+        df, seen = options.clean(raw), options.clean(seen)
+    analyse(seen, args.output, options, periods)
+    if not copy:
+        counts = seen_counts(watch, spark.read.parquet(f"{args.output}/resumen"))
+        sinks.write_csv(profile.seen_losses(spark, counts), f"{args.output}/perdidas", keys=["columna"])
+    elif readings.exists(spark, f"{copy}/{LOSSES}"):
+        sinks.write_csv(spark.read.parquet(f"{copy}/{LOSSES}"), f"{args.output}/perdidas", keys=["columna"])
     if args.explore:
         explore(raw, df, args.output, options)
     scratch.release(spark)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,17 +52,33 @@ def invalid_readings(df: DataFrame, rules: Mapping[str, str] = INVALID_RULES) ->
     return _long(totals, [(F.lit(name), F.col(f"_{i}")) for i, name in enumerate(rules)], ("regla", "filas"))
 
 
+def _lost(text: Column, type_name: str) -> Column:
+    filled = (F.trim(text) != "") & (F.lower(F.trim(text)) != "nan")
+    return filled & number_from_text(text, type_name).isNull()
+
+
 def cast_losses(raw: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Text cells that hold something, yet become NULL as the given type. ``NaN`` is missing, not lost."""
     names = [c for c in types if c in raw.columns]
+    totals = raw.agg(*(F.count_if(_lost(F.col(f"`{c}`"), types[c])).alias(f"_{i}") for i, c in enumerate(names)))
+    return _long(totals, [(F.lit(c), F.col(f"_{i}")) for i, c in enumerate(names)], ("columna", "perdidos"))
 
-    def lost(name: str) -> Column:
-        text = F.col(f"`{name}`")
-        filled = (F.trim(text) != "") & (F.lower(F.trim(text)) != "nan")
-        return filled & number_from_text(text, types[name]).isNull()
 
-    totals = raw.agg(*(F.count_if(lost(c)).alias(f"_{i}") for i, c in enumerate(names)))
-    return _long(totals, [(F.lit(c), F.col(f"_{i}")) for i, c in enumerate(names)], ("columna", "perdidos"))
+def watch_losses(raw: DataFrame, types: Mapping[str, str], watch: Observation, dates: Mapping[str, Column] | None = None) -> DataFrame:
+    """``raw`` itself; the first action over it also counts what ``cast_losses`` counts, in the same scan.
+
+    ``dates`` maps a text column to the timestamp that is read from it: text that gives none is lost, too. After
+    the action ``watch.get`` has the counts, unless there was no row: Spark then drops the plan with the watch in it.
+    """
+    lost = {c: _lost(F.col(f"`{c}`"), t) for c, t in types.items() if c in raw.columns}
+    lost |= {c: F.col(f"`{c}`").isNotNull() & stamp.isNull() for c, stamp in (dates or {}).items()}
+    return raw.observe(watch, *(F.count_if(condition).alias(c) for c, condition in lost.items()))
+
+
+def seen_losses(spark: SparkSession, counts: Mapping[str, int]) -> DataFrame:
+    """``columna`` and ``perdidos`` from a finished watch's counts (``watch.get``), a row per column."""
+    entries = [F.struct(F.lit(c).alias("columna"), F.lit(n).cast("long").alias("perdidos")) for c, n in counts.items()]
+    return spark.range(1).select(F.inline(F.array(*entries)))
 
 
 def classification_profile(classified: DataFrame) -> DataFrame:

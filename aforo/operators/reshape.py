@@ -12,6 +12,7 @@ from aforo.functions.values import lookup
 
 #: Alias of the NULL category.
 NULL_ALIAS = "nulo"
+_REST = object()
 
 
 def wide(
@@ -20,18 +21,29 @@ def wide(
     columns: str,
     values: Mapping[str, str],
     cells: Sequence[tuple[str, Column]],
+    rest: str | None = None,
 ) -> DataFrame:
     """Pivot ``columns`` against ``index``; cell columns are called ``<cell>_<alias>``.
 
     ``values`` maps each category, among them None for NULL, to its alias. They are given, not looked up: that
-    saves a job, and the result has the same columns whatever the data holds. A category absent from
-    ``values`` gets no column, so list them all (``categories`` finds them).
+    saves a job, and the result has the same columns whatever the data holds. No row is lost: those of all other
+    categories together make one more column per cell, ``<cell>_<rest>``, or without ``rest`` an error that
+    names one of them (``categories`` finds them all).
     """
+    category = F.col(f"`{columns}`")
     place = {value: f"c{i}" for i, value in enumerate(values)}
-    number = lookup(F.col(f"`{columns}`"), {v: p for v, p in place.items() if v is not None})
+    number = lookup(category, {v: p for v, p in place.items() if v is not None})
     if None in place:
-        number = F.when(F.col(f"`{columns}`").isNull(), F.lit(place[None])).otherwise(number)
-    placed = df.withColumn("_category", number)
+        number = F.when(category.isNull(), F.lit(place[None])).otherwise(number)
+    if rest is None:
+        named = F.coalesce(category.cast("string"), F.lit("NULL"))
+        other = F.raise_error(F.concat(F.lit(f"{columns} has a category without a column: "), named)).cast("string")
+    else:
+        if rest in values.values():
+            raise ValueError(f"{rest} already names a category")
+        other = F.lit("rest")
+        values, place = {**values, _REST: rest}, {**place, _REST: "rest"}
+    placed = df.withColumn("_category", F.coalesce(number, other))
     pivoted = placed.groupBy(index).pivot("_category", list(place.values())).agg(*(c.alias(name) for name, c in cells))
     # A single aggregate is named after the category alone, several get a suffix.
     source = (lambda value, cell: place[value]) if len(cells) == 1 else (lambda value, cell: f"{place[value]}_{cell}")
@@ -42,16 +54,18 @@ def wide(
 
 
 def spread(df: DataFrame, index: str, columns: str, values: Mapping[str, str], measures: Sequence[str]) -> DataFrame:
-    """Reshape a table that already has one row per index and category.
+    """Reshape a table that already has one row per index and category; one that is not listed is an error.
 
     Any aggregate takes that row's value; ``max`` lets Catalyst drop a sort of the input.
     """
     return wide(df, index, columns, values, [(m, F.max(m)) for m in measures])
 
 
-def mean_matrix(df: DataFrame, index: str, columns: str, values: Mapping[str, str], measures: Sequence[str]) -> DataFrame:
-    """Group, average and reshape straight from readings."""
-    return wide(df, index, columns, values, [(m, F.avg(m)) for m in measures])
+def mean_matrix(
+    df: DataFrame, index: str, columns: str, values: Mapping[str, str], measures: Sequence[str], rest: str | None = None
+) -> DataFrame:
+    """Group, average and reshape straight from readings; with ``rest``, one more column for the categories not listed."""
+    return wide(df, index, columns, values, [(m, F.avg(m)) for m in measures], rest)
 
 
 def categories(df: DataFrame, column: str) -> dict[str | None, str]:

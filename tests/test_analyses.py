@@ -133,6 +133,23 @@ def test_too_many_categories_are_refused(spark):
         spark.conf.unset("spark.sql.pivotMaxValues")
 
 
+def test_pivot_loses_no_category(spark):
+    rows = [("p", "a", 1.0), ("p", "b", 2.0), ("p", "c", 4.0), ("p", None, 6.0), ("q", "a", None)]
+    df = spark.createDataFrame(rows, "periodo string, tipo string, carga double")
+    got = reshape.mean_matrix(df, "periodo", "tipo", {"a": "a", "b": "b"}, ["carga"], rest="otros").collect()
+    assert [tuple(r) for r in got] == [("p", 1.0, 2.0, 5.0), ("q", None, None, None)]
+    assert got[0].asDict().keys() == {"periodo", "carga_a", "carga_b", "carga_otros"}
+    one = reshape.mean_matrix(df, "periodo", "tipo", {None: "nulo"}, ["carga", "carga"][:1], rest="otros").first()
+    assert (one.carga_nulo, one.carga_otros) == (6.0, pytest.approx(7 / 3))
+    all_listed = {"a": "a", "b": "b", "c": "c", None: "nulo"}
+    assert reshape.mean_matrix(df, "periodo", "tipo", all_listed, ["carga"]).first().carga_nulo == 6.0
+    for values in ({"a": "a", "b": "b", "c": "c"}, {"a": "a", "b": "b", None: "nulo"}):
+        with pytest.raises(Exception, match="tipo has a category without a column"):
+            reshape.mean_matrix(df, "periodo", "tipo", values, ["carga"]).collect()
+    with pytest.raises(ValueError):
+        reshape.mean_matrix(df, "periodo", "tipo", {"a": "otros"}, ["carga"], rest="otros")
+
+
 def test_constant_column_has_no_correlation(spark):
     rows = [(1.0, 7, 2, None), (2.0, 7, 1, 5.0), (4.0, 7, 9, None)]
     df = spark.createDataFrame(rows, "a double, constante int, c int, solo double")

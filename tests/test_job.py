@@ -1,13 +1,16 @@
 import csv
 from pathlib import Path
+from unittest import mock
 
 import pytest
+from pyspark.sql import Observation
 
 from aforo import job
+from aforo.operators import profile
 from aforo.operators.classify import classify
 from aforo.operators.clean import clean
 from aforo.periods import PERIODS
-from aforo.plans import analyses
+from aforo.plans import analyses, summary
 from aforo.sources import readings
 
 HEADER = "id;fecha;tipo_elem;intensidad;ocupacion;carga;vmed"
@@ -138,6 +141,41 @@ def test_exploration_is_the_same_from_text_and_copies(spark, tree, tmp_path):
     assert table(tmp_path / "t" / "analisis_01_intensidad_ocupacion_carga")[0]["intensidad_mean"] == "12.7"
 
 
+def test_losses_are_counted_in_the_only_scan(spark, tree, tmp_path):
+    """One query of the whole run reads text, and it counts cells and dates."""
+    rows = ["1;2020-03-11 06:00:00;URB;x;1;1;1", "2;11/03/2020;URB;5;n/a;1;y", "3;;M30;NaN;;7;1", "4;2020-03-12 06:00:00;URB;4;1;1;1"]
+    root = tree(PERIODS[1].carpeta, "03-2020", rows, HEADER)
+    counted = []
+    seen = profile.watch_losses
+    with mock.patch.object(profile, "watch_losses", lambda *a: counted.append(seen(*a)) or counted[0]):
+        run(spark, root, tmp_path / "o")
+    lost = {r["columna"]: r["perdidos"] for r in table(tmp_path / "o" / "perdidas")}
+    assert lost == {"fecha": "1", "intensidad": "1", "ocupacion": "1", "carga": "0", "vmed": "1"}
+    assert len(counted) == 1
+    old = {r.columna: r.perdidos for r in profile.cast_losses(job.load_text(spark, root, None), readings.READING_TYPES).collect()}
+    assert {c: str(n) for c, n in old.items() if c in ("intensidad", "ocupacion", "carga", "vmed")}.items() <= lost.items()
+
+
+def test_one_text_scan(spark, root, plan):
+    """The summary's scan carries the counts; reading them afterwards scans nothing."""
+    options, watch = job.Options(), Observation()
+    df = classify(options.clean(job.watched(job.load_text(spark, root, None), watch, options)), keep_unclassified=True)
+    text = plan(summary.summarize(df), "simple")
+    assert text.count("FileScan csv") == 1 and text.count("CollectMetrics") == 1
+    summary.summarize(df).collect()
+    assert "FileScan" not in plan(profile.seen_losses(spark, watch.get), "simple")
+
+
+def test_losses_of_files_without_rows(spark, tree, tmp_path):
+    root = tree(PERIODS[1].carpeta, "03-2020", [], HEADER)
+    run(spark, root, tmp_path / "o")
+    assert {r["perdidos"] for r in table(tmp_path / "o" / "perdidas")} == {"0"}
+    (tmp_path / PERIODS[0].carpeta).mkdir()
+    (tmp_path / PERIODS[0].carpeta / "04-2020.csv").write_text("")
+    run(spark, root, tmp_path / "p", "--periods", 1)
+    assert {r["perdidos"] for r in table(tmp_path / "p" / "perdidas")} == {"0"}
+
+
 def test_all_road_types_have_a_column(spark, tree, tmp_path):
     kinds = ["URB", "M30", "A b", "a_b", ""]
     root = tree(PERIODS[1].carpeta, "03-2020", [f"{i};2020-03-1{i} 06:00:00;{k};{i};1;1;1" for i, k in enumerate(kinds)], HEADER)

@@ -305,7 +305,8 @@ SELECT periodo, {_cells('tipo_elem', _kinds, BARS)},
   {", ".join(f"{_r(f'avg({m}) FILTER (WHERE tipo_elem IS NULL)')} AS {m}_nulo" for m in BARS)}
 FROM K GROUP BY periodo"""
 ORACLE["pivot_from_rows"] = f"{LINES} SELECT periodo, {_cells('tipo_elem', {'A': 'a', 'N': 'n', 'R': 'r'}, BARS)} FROM P GROUP BY periodo"
-_rest = ", ".join(f"avg({m}) FILTER (WHERE tipo_elem IS NULL OR tipo_elem NOT IN ('A', 'N')) AS {m}_otros" for m in BARS)
+_others = "tipo_elem IS NULL OR tipo_elem NOT IN ('A', 'N')"
+_rest = ", ".join(f"""{_r(f"avg({m}) FILTER (WHERE {_others})")} AS {m}_otros""" for m in BARS)
 ORACLE["pivot_from_rows_rest"] = (
     f"{LINES} SELECT periodo, {_cells('tipo_elem', {'A': 'a', 'N': 'n'}, BARS)}, {_rest} FROM P GROUP BY periodo"
 )

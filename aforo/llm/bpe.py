@@ -31,7 +31,7 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 
 #: Entries of the tables that workers keep of what they have met. A full table of pieces is set aside, for those
 #: met again to return from, until the next is full; a full table of arcs starts anew.
-PIECES_KEPT = 75_000
+PIECES_KEPT = 150_000
 ARCS_KEPT = 500_000
 
 NEVER = 1 << 60

@@ -27,7 +27,7 @@ _WORDS = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _COPYRIGHT = re.compile(r"\s*(?:copyright\s*(?:\(c\)|©|[0-9]{4})|\(c\)|©)", re.IGNORECASE)
 # A full stop ends the sentence after a word of three letters or more that is no abbreviation.
 _STATEMENT = re.compile(
-    r"(?:^\s*(?:\(c\)|©)|\bcopyright\s*(?:\(c\)|©|[0-9]{4})|(?:\(c\)|©)\s*[0-9]{4})"
+    r"(?:^[^\S\n]*(?:\(c\)|©)|\bcopyright\s*(?:\(c\)|©|[0-9]{4})|(?:\(c\)|©)\s*[0-9]{4})"
     r".*?(?:$|(?<=\w\w\w)(?<!\binc)(?<!\bltd)(?<!\bcorp)\.(?=\s)(?:\s*all rights reserved\.?)?)",
     re.IGNORECASE | re.MULTILINE,
 )

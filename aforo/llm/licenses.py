@@ -195,11 +195,11 @@ class Scanner:
     def _without_statements(self, lines: list[str]) -> tuple[list[str], list[int]]:
         """The words outside copyright statements, and their numbers among all words."""
         words, numbers, before = [], [], 0
-        for line in lines:
+        for line in map(str.lower, lines):
             spans = [m.span() for m in _STATEMENT.finditer(line)]
             for m in _WORDS.finditer(line):
                 if not any(begin <= m.start() < end for begin, end in spans):
-                    words.append(m.group().lower())
+                    words.append(m.group())
                     numbers.append(before)
                 before += 1
         return words, numbers

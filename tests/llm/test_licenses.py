@@ -55,6 +55,15 @@ def test_lines_of_a_text(scanner):
     assert [(m.license, m.first_line, m.last_line) for m in scanner.matches(document)] == [("MIT", 1, 1), ("CC-BY-NC-4.0", 3, 3)]
 
 
+def test_letters_that_grow_in_lower_case(scanner):
+    """``İ`` becomes two characters, at which a word breaks: words are counted alike with and without statements."""
+    before = "\n".join(["İstanbul " * 10] * 5)
+    document = f"{before}\nCopyright (c) 2021 A. Person\n{TEXTS['MIT']}"
+    found = scanner.word_matches(document)
+    assert [(m.license, m.dice, m.last_line) for m in found] == [("MIT", 1.0, document.rstrip().count("\n"))]
+    assert found[0].first_line == 6
+
+
 def test_unlike_texts(scanner):
     assert scanner.matches("The license of this software is a general permission of any version.") == []
     assert scanner.matches("license " * 5000) == []

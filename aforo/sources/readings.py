@@ -10,11 +10,13 @@ import csv
 import logging
 import re
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aforo.functions import kinds
 from aforo.functions.values import number_from_text
 from aforo.operators.union import union_by_name
 from aforo.periods import PERIODS, Period
@@ -25,6 +27,8 @@ log = logging.getLogger(__name__)
 SEPARATOR = ";"
 ALL_MONTHS = "periodo_*/*.csv"
 FOLDER_MONTHS = "*.csv"
+# Waiting for storage, not work of the driver: one line of each month.
+HEADERS_AT_ONCE = 16
 # Measures are doubles: whole files hold integers, single cells may not.
 READING_TYPES: dict[str, str] = {
     "fecha": "string",
@@ -87,10 +91,12 @@ def _reader(spark: SparkSession, sep: str):
 
 
 def months_by_header(spark: SparkSession, months: Mapping[str, str], sep: str = SEPARATOR) -> dict[tuple[str, ...], list[str]]:
-    """Month files grouped by header line. Reads one line per month, not per part file."""
+    """Month files grouped by header line. Reads one line per month, not per part file, several months at a time."""
     grouped: dict[tuple[str, ...], list[str]] = {}
-    for month, leaf in months.items():
-        grouped.setdefault(header_of(spark, leaf, sep), []).append(month)
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        headers = pool.map(lambda leaf: header_of(spark, leaf, sep), months.values())
+        for month, header in zip(months, headers, strict=True):
+            grouped.setdefault(header, []).append(month)
     return grouped
 
 
@@ -102,35 +108,19 @@ def _text_schema(header: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in header])
 
 
-def _settled(schemas: Sequence[T.StructType]) -> dict[str, T.DataType]:
-    """One type per column: the common one, the wider of two numeric ones, else text. Times stay text,
-    because Spark would read them in the session's zone."""
-    settled: dict[str, T.DataType] = {}
-    for field in (f for schema in schemas for f in schema.fields):
-        kind = field.dataType
-        if not isinstance(kind, (T.NumericType, T.BooleanType, T.DateType)):
-            kind = T.StringType()
-        known = settled.setdefault(field.name, kind)
-        if known != kind:
-            numeric = isinstance(known, T.NumericType) and isinstance(kind, T.NumericType)
-            whole = all(isinstance(t, (T.IntegerType, T.LongType)) for t in (known, kind))
-            settled[field.name] = (T.LongType() if whole else T.DoubleType()) if numeric else T.StringType()
-    return settled
-
-
-def _scan(spark: SparkSession, pattern: str, sep: str, infer: bool = False) -> DataFrame | None:
-    """All month files, one scan per distinct header, as text or inferred; None when there are no files."""
+def _scan(spark: SparkSession, pattern: str, sep: str) -> DataFrame | None:
+    """All month files as text, one scan per distinct header; None when there are no files."""
     months = month_files(spark, pattern)
     if not months:
         log.warning("no month files under %s", pattern)
         return None
-    grouped = {h: [literal_path(f) for f in files] for h, files in months_by_header(spark, months, sep).items()}
-    schemas = {header: _text_schema(header) for header in grouped}
-    if infer:
-        guessed = {h: _reader(spark, sep).option("inferSchema", True).csv(files).schema for h, files in grouped.items()}
-        types = _settled(list(guessed.values()))
-        schemas = {h: T.StructType([T.StructField(c, types[c]) for c in h]) for h in grouped}
-    return union_by_name([_reader(spark, sep).option("enforceSchema", False).schema(schemas[h]).csv(files) for h, files in grouped.items()])
+    grouped = months_by_header(spark, months, sep)
+    return union_by_name(
+        [
+            _reader(spark, sep).option("enforceSchema", False).schema(_text_schema(h)).csv([literal_path(f) for f in files])
+            for h, files in grouped.items()
+        ]
+    )
 
 
 def read_text_cells(spark: SparkSession, pattern: str, sep: str = SEPARATOR) -> DataFrame:
@@ -165,12 +155,13 @@ def read_files(
 ) -> DataFrame:
     """Readings from the files of a pattern; none is no error.
 
-    ``infer=True`` lets Spark guess the types instead, which takes one more pass over the text. Columns
-    whose files disagree get a common type, and times stay text for ``clean`` to parse.
+    ``infer=True`` takes the types from the cells instead (``functions.kinds``): one more pass over the text, by
+    one job for all files. Columns whose files disagree get a common type, and times stay text for ``clean`` to parse.
     """
-    if infer and (found := _scan(spark, pattern, sep, infer=True)) is not None:
-        return found
-    return typed(read_text_cells(spark, pattern, sep), types)
+    text = _scan(spark, pattern, sep)
+    if text is None:
+        return typed(empty_text(spark), types)
+    return kinds.as_kinds(text, kinds.settled(text)) if infer else typed(text, types)
 
 
 def _require(spark: SparkSession, root: str, patterns: Sequence[str]) -> None:

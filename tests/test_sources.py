@@ -3,6 +3,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from aforo.functions import kinds
 from aforo.operators import profile
 from aforo.operators.classify import classify
 from aforo.operators.clean import clean
@@ -143,6 +144,56 @@ def test_inference_over_unlike_files(spark, tree):
     assert [(r.id, r.intensidad, r.carga) for r in df.orderBy("id").collect()] == [(1, "100", 10.0), (2, "abc", 2.5)]
 
 
+def test_inference_takes_one_job_for_any_number_of_headers(spark, tree):
+    """Seven orders of the columns, whose cells disagree between files; the types are those of all cells."""
+    names = ["id", "fecha", "carga", "vmed"]
+    for i in range(7):
+        turned = names[i % 4 :] + names[: i % 4] + [f"x{i}"]
+        cells = {"id": str(i), "fecha": "2019-02-01 00:00:00", "carga": "3000000000" if i == 5 else "1", "vmed": "2.5" if i == 6 else "7"}
+        root = tree(P1.carpeta, f"{i:02}-2019", [";".join(cells.get(c, "true") for c in turned)], ";".join(turned))
+    tracker = spark.sparkContext.statusTracker()
+    text = readings.read_text_cells(spark, f"{root}/{readings.ALL_MONTHS}")
+    spark.sparkContext.setJobGroup("inference", "")
+    try:
+        types = kinds.settled(text)
+        stages = [s for j in tracker.getJobIdsForGroup("inference") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert types == {"id": "int", "fecha": "string", "carga": "bigint", "vmed": "double", **{f"x{i}": "boolean" for i in range(7)}}
+    assert len(stages) <= 3
+    df = readings.read_all(spark, root, infer=True)
+    assert dict(df.dtypes) == types and df.agg(F.sum("id"), F.sum("carga"), F.sum("vmed")).first() == (21, 3000000006, 44.5)
+
+
+@pytest.mark.parametrize(
+    ("cells", "kind"),
+    [
+        (["1", None, "-2"], "int"),
+        (["1", "2147483648"], "bigint"),
+        (["1", "-9223372036854775809"], "decimal(38,0)"),
+        (["1", "9" * 39], "double"),
+        (["1", "2.5"], "double"),
+        (["1", "NaN"], "double"),
+        (["TRUE", "false", ""], "boolean"),
+        (["2020-02-29", "2019-01-01"], "date"),
+        (["2020-02-30"], "string"),
+        (["2020-02-29", "2020-02-29 10:00:00"], "string"),
+        (["true", "1"], "string"),
+        (["1", "x"], "string"),
+        (["", None], "string"),
+        ([], "string"),
+    ],
+)
+def test_kinds(spark, cells, kind):
+    """The same whatever the order and the parts of the rows; reading by the kind loses no cell."""
+    for rows in (cells, cells[::-1]):
+        df = spark.createDataFrame([(c, "t") for c in rows], "`a.b` string, other string").repartition(3)
+        assert kinds.settled(df)["a.b"] == kind
+    read = kinds.as_kinds(df, {"a.b": kind})
+    assert dict(read.dtypes) == {"a.b": kind, "other": "string"}
+    assert read.filter("`a.b` IS NOT NULL").count() == sum(c is not None and (c != "" or kind == "string") for c in cells)
+
+
 def test_fractional_and_large_cells_are_kept(spark, tree):
     root = tree(P1.carpeta, "02-2019", ["1;2019-02-01 00:00:00;URB;12.7;5;21.5;99999999999"])
     row = readings.read_all(spark, root).first()

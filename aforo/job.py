@@ -6,6 +6,7 @@ Reads the month files (or a Parquet copy written by ``--ingest``), cleans, class
 the four analyses, the rows per period, the rows outside all periods and the tables behind the charts as CSV, all
 from one scan of the readings. Cells and dates that could not be read are counted in ``perdidas`` by the same scan.
 ``--explore`` adds the exploration of the raw columns and of all readings, whatever their period.
+The tables of a run replace those of the last one together: a run that fails leaves them as they were.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from aforo.operators.classify import classify
 from aforo.operators.clean import TS, clean, timestamp_of
 from aforo.periods import PERIODS, Period, pick, read_period_file
 from aforo.plans import analyses, charts, summary
-from aforo.sources import lake, readings, scratch, sinks
+from aforo.sources import lake, readings, resultset, scratch, sinks
 
 # Names of the result tables and their sort keys.
 RESULTS = {
@@ -180,14 +181,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         df = seen = options.clean(kept, fecha=TS)
     else:
         df, seen = options.clean(raw), options.clean(seen)
-    analyse(seen, args.output, options, periods)
-    if not copy:
-        counts = seen_counts(watch, spark.read.parquet(f"{args.output}/resumen"))
-        sinks.write_csv(profile.seen_losses(spark, counts), f"{args.output}/perdidas", keys=["columna"])
-    elif readings.exists(spark, f"{copy}/{LOSSES}"):
-        sinks.write_csv(spark.read.parquet(f"{copy}/{LOSSES}"), f"{args.output}/perdidas", keys=["columna"])
-    if args.explore:
-        explore(raw, df, args.output, options)
+    with resultset.replacing(spark, args.output) as output:
+        analyse(seen, output, options, periods)
+        if not copy:
+            counts = seen_counts(watch, spark.read.parquet(f"{output}/resumen"))
+            sinks.write_csv(profile.seen_losses(spark, counts), f"{output}/perdidas", keys=["columna"])
+        elif readings.exists(spark, f"{copy}/{LOSSES}"):
+            sinks.write_csv(spark.read.parquet(f"{copy}/{LOSSES}"), f"{output}/perdidas", keys=["columna"])
+        if args.explore:
+            explore(raw, df, output, options)
     scratch.release(spark)
 
 

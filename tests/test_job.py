@@ -11,7 +11,7 @@ from aforo.operators.classify import classify
 from aforo.operators.clean import clean
 from aforo.periods import PERIODS
 from aforo.plans import analyses, summary
-from aforo.sources import readings
+from aforo.sources import readings, resultset, sinks
 
 HEADER = "id;fecha;tipo_elem;intensidad;ocupacion;carga;vmed"
 
@@ -197,3 +197,67 @@ def test_wrong_root_leaves_old_results_alone(spark, root, tmp_path):
     with pytest.raises(FileNotFoundError):
         run(spark, root + "x", tmp_path / "k")
     assert table(tmp_path / "k" / "instancias_por_periodo") == before
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in Path(folder).rglob("*") if p.is_file()}
+
+
+def test_run_that_fails_leaves_the_results_whole(spark, root, tmp_path):
+    """It fails at its last but one table; the next run replaces all of them."""
+    out = tmp_path / "k"
+    run(spark, root, out)
+    before = files_of(out)
+    write = sinks.write_csv
+
+    def failing(df, path, **options):
+        if path.endswith("grafico_04_tipo_via"):
+            raise RuntimeError("lost")
+        write(df, path, **options)
+
+    with mock.patch.object(sinks, "write_csv", failing), pytest.raises(RuntimeError, match="lost"):
+        run(spark, root, out, "--period-end", "day")
+    assert files_of(out) == before
+    run(spark, root, out, "--period-end", "day")
+    after = files_of(out)
+    assert after != before and not any(p.name.startswith(resultset.STAGED) for p in out.iterdir())
+    assert set(resultset.tables(spark, str(out))) == {*job.RESULTS, *job.CHARTS, "resumen", "sin_periodo", "perdidas"}
+
+
+@pytest.mark.parametrize("lost_at", range(5))
+def test_swap_cut_short_is_ended(spark, tmp_path, lost_at):
+    """Three tables over two older ones; the driver is lost before the swap's n-th move."""
+    out = str(tmp_path / "salida")
+
+    def write(numbers):
+        with resultset.replacing(spark, out) as staged:
+            for name, n in numbers.items():
+                sinks.write_parquet(spark.range(n), f"{staged}/{name}")
+
+    write({"a": 1, "b": 2, "otra": 9})
+    moves, move = [], resultset._Files.move
+
+    def lost(files, source, target):
+        if not source.endswith("-parte"):
+            moves.append(target)
+            if len(moves) > lost_at:
+                raise SystemExit
+        move(files, source, target)
+
+    with mock.patch.object(resultset._Files, "move", lost):
+        if lost_at < 4:
+            with pytest.raises(SystemExit):
+                write({"a": 3, "b": 4, "c d": 5})
+        else:
+            write({"a": 3, "b": 4, "c d": 5})
+    assert resultset.tables(spark, out) == ["a", "b", "c d"]
+    assert {n: spark.read.parquet(f"{out}/{n}").count() for n in ("a", "b", "c d", "otra")} == {"a": 3, "b": 4, "c d": 5, "otra": 9}
+    assert resultset.recover(spark, out) == 0 and sorted(p.name for p in Path(out).iterdir() if p.is_dir()) == ["a", "b", "c d", "otra"]
+
+
+def test_runs_not_ended_are_left_alone(spark, tmp_path):
+    out = tmp_path / "salida"
+    with resultset.replacing(spark, str(out)) as staged:
+        sinks.write_parquet(spark.range(2), f"{staged}/a")
+        assert resultset.recover(spark, str(out)) == 0 and resultset.tables(spark, str(out)) == []
+    assert resultset.tables(spark, f"{out}/") == ["a"] and spark.read.parquet(str(out / "a")).count() == 2

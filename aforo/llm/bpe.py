@@ -11,6 +11,10 @@ known by the token read last, and what it forbids follows from the gadgets:
 
 The sets of forbidden tokens are kept in that form (parents and time of making), which is linear in
 the merges, and arcs are looked up through a table that remembers them.
+
+The tokens that may come next are compiled into the table of a trie. Words that a batch meets for the first
+time are read side by side, one arc of each at a time. Long ones, and those that need many tries, are read
+one by one.
 """
 
 from __future__ import annotations
@@ -18,9 +22,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -33,9 +40,17 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: met again to return from, until the next is full; a full table of arcs starts anew.
 PIECES_KEPT = 150_000
 ARCS_KEPT = 500_000
+#: Bits of the number of arcs kept for words that are read side by side; a new one takes the place of an old one.
+ARC_BITS = 21
+#: Pieces that are read side by side, and characters of the longest of them.
+PIECES_AT_ONCE = 20_000
+LONGEST_PIECE = 64
+#: Arcs that are tried for a word before it is read alone, where dead ends are remembered.
+MOST_TRIES = 512
 
 NEVER = 1 << 60
 START = -1
+NO_BYTE = 256  # behind each word
 
 
 def byte_characters() -> dict[str, int]:
@@ -91,6 +106,34 @@ class MergeAutomaton:
             self._gadget(rank, u, v, w)
         self._ids = {label: i for i, label in self.labels.items() if i not in dead and (len(label) == 1 or i in self._parents)}
         self._lengths = self._candidate_lengths()
+        self._compile()
+
+    def _compile(self) -> None:
+        """The trie of the tokens that can be read: nodes by depth and then bytes, so that a child's number is
+        the place of its edge among all edges, and the first two bytes' nodes in a table of their own."""
+        nodes = sorted({label[:n] for label in self._ids for n in range(1, len(label) + 1)}, key=lambda p: (len(p), p))
+        number = {p: i for i, p in enumerate(nodes)}
+        parents = [number.get(p[:-1], -1) for p in nodes]
+        longest: list[int] = []  # token among the prefixes of a node, itself included
+        for node, parent in zip(nodes, parents, strict=True):
+            longest.append(self._ids.get(node, longest[parent] if parent >= 0 else -1))
+        self._longest_token = np.array(longest, np.int64)
+        span = self._span = max(self.labels) + 1
+        self._size, self._shorter = np.zeros(span, np.int64), np.full(span, -1, np.int64)
+        for label, token in self._ids.items():
+            self._size[token] = len(label)
+            parent = parents[number[label]]
+            self._shorter[token] = longest[parent] if parent >= 0 else -1
+        ends = np.array([p[-1] for p in nodes], np.int64)
+        above = np.array(parents, np.int64)
+        self._edges = above * (NO_BYTE + 1) + ends  # rising, the roots' being below 0
+        depth = np.array([len(p) for p in nodes], np.int64)
+        self._two = np.full((256, NO_BYTE + 1), -1, np.int64)
+        self._two[ends[depth == 1]] = np.flatnonzero(depth == 1)[:, None]
+        second = np.flatnonzero(depth == 2)
+        self._two[ends[above[second]], ends[second]] = second
+        self._deep = int((depth == 1).sum())  # nodes from here on have two bytes or more
+        self._arcs_kept = np.full(1 << ARC_BITS, -1, np.int64)
 
     def _candidate_lengths(self) -> dict[bytes, tuple[int, ...]]:
         """By the next bytes, up to four of them: the lengths of the tokens that may come, longest first."""
@@ -168,28 +211,106 @@ class MergeAutomaton:
                 at, state = ends[-1], path[-1] if path else START
         return path
 
+    def read_all(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """What ``read`` gives for each word: all tokens in order, and how many of them each word has."""
+        n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        data = np.frombuffer(b"\0".join([*words, b""]), np.uint8).astype(np.int64)
+        data[ends] = NO_BYTE
+        apart = sizes > 4 * LONGEST_PIECE
+        live = np.flatnonzero((sizes > 0) & ~apart)
+        path, counts = np.zeros((n, sizes[live].max(initial=0)), np.int32), np.zeros(n, np.int64)
+        at, depth = (ends - sizes)[live], np.zeros(live.size, np.int64)
+        token = self._longest(data, at)
+        for _ in range(MOST_TRIES):
+            # An open arc is taken. Where it is closed the next shorter token comes, after the last of them a step back.
+            open_ = token >= 0
+            asked = np.flatnonzero(open_ & (depth > 0))  # the start forbids nothing
+            open_[asked] = self._open(path[live[asked], depth[asked] - 1].astype(np.int64), token[asked])
+            on, closed = np.flatnonzero(open_), np.flatnonzero(~open_)
+            path[live[on], depth[on]] = token[on]
+            depth[on] += 1
+            at[on] += self._size[token[on]]
+            token[closed] = np.where(token[closed] >= 0, self._shorter[token[closed]], -1)
+            back = closed[(token[closed] < 0) & (depth[closed] > 0)]
+            depth[back] -= 1
+            last = path[live[back], depth[back]]
+            at[back] -= self._size[last]
+            token[back] = self._shorter[last]
+            ended = data[at] == NO_BYTE
+            counts[live[ended]] = depth[ended]
+            on = on[~ended[on]]
+            token[on] = self._longest(data, at[on])
+            more = ~ended & ((token >= 0) | (depth > 0))
+            apart[live[~ended & ~more]] = True
+            live, at, depth, token = live[more], at[more], depth[more], token[more]
+            if not live.size:
+                break
+        apart[live] = True
+        alone = {i: self.read(words[i]) for i in np.flatnonzero(apart).tolist()}
+        word, step = np.nonzero(np.arange(path.shape[1]) < counts[:, None])
+        for i, tokens in alone.items():
+            counts[i] = len(tokens)
+        starts = np.cumsum(counts) - counts
+        found = np.empty(int(counts.sum()), np.int64)
+        found[starts[word] + step] = path[word, step]
+        for i, tokens in alone.items():
+            found[starts[i] : starts[i] + len(tokens)] = tokens
+        return found, counts
+
+    def _longest(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The longest token at each place, -1 for none."""
+        node = self._two[data[at], data[at + 1]]
+        live = np.flatnonzero(node >= self._deep)
+        at, inner = at[live] + 2, node[live]
+        while live.size:
+            edge = inner * (NO_BYTE + 1) + data[at]
+            child = np.searchsorted(self._edges, edge)
+            child[child == self._edges.size] = 0
+            on = self._edges[child] == edge
+            live, inner, at = live[on], child[on], at[on] + 1
+            node[live] = inner
+        return np.where(node >= 0, self._longest_token[node], -1)
+
+    def _open(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """``arc`` for each pair."""
+        arcs = states * self._span + tokens
+        slots = ((arcs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ARC_BITS)).astype(np.int64)
+        kept = self._arcs_kept[slots]
+        new = np.flatnonzero(kept >> 1 != arcs)
+        if new.size:
+            asked, places = np.unique(arcs[new], return_inverse=True)
+            answers = [not self._forbidden(*divmod(arc, self._span)) for arc in asked.tolist()]
+            kept[new] = (asked << 1 | np.array(answers, np.int64))[places]
+            self._arcs_kept[slots[new]] = kept[new]
+        return kept & 1 == 1
+
     def spell(self, ids: Sequence[int]) -> bytes:
         """The labels of the arcs, one after the other."""
         return b"".join([self.labels[i] for i in ids])
 
 
-class _Pieces(dict):
+class _Pieces:
     """Ids and spelling of pieces met so far, by their text without the leading space."""
 
     def __init__(self, codec: Codec, prefix: str):
         self._codec, self._prefix = codec, prefix
         self._aside: dict[str, tuple[str, bytes]] = {}
-
-    def __missing__(self, piece: str) -> tuple[str, bytes]:
-        if len(self) >= PIECES_KEPT:
-            self._aside = dict(self)
-            self.clear()
-        found = self._aside.get(piece)
-        if found is None:
-            ids = self._codec.ids(self._prefix + piece)
-            found = (",".join(map(str, ids)), self._codec.automaton.spell(ids))
-        self[piece] = found
-        return found
+        self._known: dict[str, tuple[str, bytes]] = {}
+
+    def of(self, wanted: set[str]) -> dict[str, tuple[str, bytes]]:
+        """A table that holds all wanted pieces, and others."""
+        missing = [p for p in wanted if p not in self._known]
+        if len(self._known) + len(missing) > PIECES_KEPT:
+            self._aside, self._known = self._known, {}
+            missing = list(wanted)
+        known, aside = self._known, self._aside
+        known.update((p, aside[p]) for p in missing if p in aside)
+        new = [p for p in missing if p not in known]
+        for i in range(0, len(new), PIECES_AT_ONCE):
+            some = new[i : i + PIECES_AT_ONCE]
+            known.update(zip(some, self._codec.read(some, self._prefix), strict=True))
+        return known
 
 
 class Codec:
@@ -206,6 +327,9 @@ class Codec:
         by_length = sorted(self._special, key=len, reverse=True)
         self._special_split = re.compile(f"({'|'.join(map(re.escape, by_length))})") if by_length else None
         self._words = regex.compile(WORD_SPLIT)
+        span = range(max(self.automaton.labels) + 1)
+        self._names = pa.array(map(str, span), pa.string())
+        self._labels = pa.array([self.automaton.labels.get(i, b"") for i in span], pa.binary())
         self._first, self._later = _Pieces(self, ""), _Pieces(self, " ")
 
     def ids(self, text: str) -> list[int]:
@@ -225,17 +349,54 @@ class Codec:
             return [text]
         return self._words.findall(text)
 
-    def pieces(self, text: str) -> list[tuple[str, bytes]]:
-        """Ids joined by commas, and spelling, of pieces that make up the text and can be encoded one by one."""
-        first, *later = self._CUT.split(text) if self._LOOSE_SPACE.search(text) else text.split(" ")
-        tail = self._later
-        found = [tail[p] for p in later]
-        return [self._first[first], *found] if first else found
+    def read(self, pieces: Sequence[str], prefix: str) -> list[tuple[str, bytes]]:
+        """Ids joined by commas, and spelling, of each piece after ``prefix``. Long pieces and special strings are read one by one."""
+        special = self._special_split.search if self._special_split else lambda text: None
+        none = special("\n".join(pieces)) is None
+        alone = [i for i, p in enumerate(pieces) if len(p) > LONGEST_PIECE or not none and special(p)]
+        together = list(pieces)
+        for i in alone:
+            together[i] = ""
+        findall = self._words.findall
+        words = [[prefix + p] if p.isalpha() else findall(prefix + p) if p else () for p in together]
+        tokens, counts = self.automaton.read_all([w.encode("utf-8", "surrogatepass") for ws in words for w in ws])
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, words)])]
+        found = list(zip(self._joined(self._names, tokens, ends, ","), self._joined(self._labels, tokens, ends, b""), strict=True))
+        for i in alone:
+            path = self.ids(prefix + pieces[i])
+            found[i] = (",".join(map(str, path)), self.automaton.spell(path))
+        return found
+
+    @staticmethod
+    def _joined(written: pa.Array, tokens: np.ndarray, ends: np.ndarray, between: str | bytes) -> list:
+        """What is written for the tokens between each two ends, cut out of one buffer."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), written.take(pa.array(tokens))), between)
+        _, cuts, content = joined.buffers()
+        cuts = np.frombuffer(cuts, np.int32)[: len(ends)].tolist()
+        whole = content.to_pybytes() if isinstance(between, bytes) else str(content, "ascii")
+        return [whole[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces that make up the text with a space before each but the first, and can be encoded one by one."""
+        return self._CUT.split(text) if self._LOOSE_SPACE.search(text) else text.split(" ")
+
+    def pieces(self, texts: Sequence[str]) -> Iterator[list[tuple[str, bytes]]]:
+        """Ids joined by commas, and spelling, of the pieces that make up each text."""
+        cut = [self._cut(t) for t in texts]
+        first = self._first.of({pieces[0] for pieces in cut if pieces[0]})
+        later = self._later.of(set().union(*(pieces[1:] for pieces in cut)))
+        for start, *rest in cut:
+            found = [later[p] for p in rest]
+            yield [first[start], *found] if start else found
+
+    def round_trips(self, texts: Sequence[str]) -> Iterator[tuple[str, str]]:
+        """For each text its ids joined by commas, and the text they decode to."""
+        for pieces in self.pieces(texts):
+            yield ",".join([p[0] for p in pieces]), b"".join([p[1] for p in pieces]).decode("utf-8", "replace")
 
     def round_trip(self, text: str) -> tuple[str, str]:
         """Ids joined by commas, and the text they decode to."""
-        pieces = self.pieces(text)
-        return ",".join([p[0] for p in pieces]), b"".join([p[1] for p in pieces]).decode("utf-8", "replace")
+        return next(self.round_trips([text]))
 
 
 def _codec(vocabulary: Vocabulary) -> Codec:
@@ -269,8 +430,7 @@ def digest(df: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: Seq
     def run(batch):
         codec = _codec(vocabulary)
         counts, id_digests, text_digests = [], [], []
-        for text in batch.column("_text").to_pylist():
-            ids, decoded = codec.round_trip(text or "")
+        for ids, decoded in codec.round_trips([t or "" for t in batch.column("_text").to_pylist()]):
             counts.append(ids.count(",") + 1 if ids else 0)
             id_digests.append(hashlib.sha256(ids.encode()).hexdigest())
             text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
@@ -281,7 +441,7 @@ def digest(df: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: Seq
 
 
 def _encode_column(codec: Codec, texts: list) -> list:
-    return [[int(i) for p in codec.pieces(t or "") for i in p[0].split(",")] for t in texts]
+    return [[int(i) for p in pieces for i in p[0].split(",")] for pieces in codec.pieces([t or "" for t in texts])]
 
 
 def _decode_column(codec: Codec, rows: list) -> list:

@@ -86,6 +86,66 @@ def test_automaton_of_random_merges():
             assert automaton.spell(expected) == word
 
 
+def each(automaton, words):
+    """What ``read_all`` finds, by word."""
+    tokens, counts = automaton.read_all(words)
+    ends = counts.cumsum().tolist()
+    assert len(counts) == len(words) and (ends[-1] if ends else 0) == len(tokens)
+    return [tokens[end - n : end].tolist() for end, n in zip(ends, counts.tolist())]
+
+
+def test_words_side_by_side_of_random_merges():
+    rnd = random.Random(8)
+    for _ in range(40):
+        tokens, merges = {0: b"a", 1: b"b", 2: b"c"}, []
+        while len(merges) < 12:
+            u, v = rnd.choice(list(tokens)), rnd.choice(list(tokens))
+            if tokens[u] + tokens[v] not in tokens.values():
+                merges.append((u, v, len(tokens)))
+                tokens[len(tokens)] = tokens[u] + tokens[v]
+        automaton = bpe.MergeAutomaton(bpe.Vocabulary(tokens, tuple(merges), {}))
+        words = [bytes(rnd.choice(b"abc") for _ in range(rnd.randint(0, 14))) for _ in range(150)]
+        assert each(automaton, words) == [naive_bpe([{97: 0, 98: 1, 99: 2}[c] for c in word], merges) for word in words]
+        with pytest.raises(ValueError):
+            automaton.read_all([b"ab", b"axb"])
+
+
+@pytest.mark.parametrize("tries", [3, bpe.MOST_TRIES])
+def test_words_side_by_side(vocabulary, monkeypatch, tries):
+    """Rare words with steps back, words too long for that, and bytes that are no text."""
+    monkeypatch.setattr(bpe, "MOST_TRIES", tries)
+    rnd, automaton = random.Random(9), bpe.MergeAutomaton(vocabulary)
+    parts = ["th", "on", "er", "ing", "tion", "é", "中", "1", " ", "-", "the", "an", "x", "\n", "."]
+    words = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))).encode() for _ in range(3000)]
+    words += [bytes(rnd.randrange(256) for _ in range(rnd.randint(0, 9))) for _ in range(2000)]
+    words += [b"", b"a" * 255, b"a" * 256, b"a" * 257, b"ab" * 3000, b"\0", b"\xff" * 5]
+    assert each(automaton, words) == [automaton.read(word) for word in words]
+    assert each(automaton, []) == [] and each(automaton, [b""]) == [[]]
+
+
+def test_rare_words_of_a_batch_are_read_together(library, vocabulary, monkeypatch):
+    codec, rnd = bpe.Codec(vocabulary), random.Random(10)
+    parts = ["th", "on", "er", "ing", "tion", "é", "an", "re", ", ", ". ", " ", "\n", "'s", "12"]
+    texts = [" ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9))) for _ in range(60)) for _ in range(50)]
+    monkeypatch.setattr(codec.automaton, "read", lambda word: pytest.fail(f"{word!r} was read alone"))
+    for text, (ids, decoded) in zip(texts, codec.round_trips(texts), strict=True):
+        assert [int(i) for i in ids.split(",")] == library.encode(text, add_special_tokens=False).ids
+        assert decoded == text
+
+
+def test_full_tables_lose_nothing(library, vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES_KEPT", 20)
+    monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 7)
+    monkeypatch.setattr(bpe, "ARC_BITS", 3)
+    codec, rnd = bpe.Codec(vocabulary), random.Random(11)
+    for _ in range(60):
+        texts = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 60))) for _ in range(rnd.randint(0, 4))]
+        texts += ["", "<|endoftext|>", "y" * 90 + " z<|endoftext|>", *texts[:1]]
+        for text, (ids, decoded) in zip(texts, codec.round_trips(texts), strict=True):
+            assert ([int(i) for i in ids.split(",")] if ids else []) == library.encode(text, add_special_tokens=False).ids
+            assert decoded == text
+
+
 def test_frames(frame, vocabulary, library):
     rows = [(1, "Hello there", "t"), (1, "Hello there", "t"), (None, None, None), (3, "", ""), (4, "x" * 300_000 + " <|endoftext|>", "u")]
     df = frame("doc_id long, text string, token_ids string", rows)

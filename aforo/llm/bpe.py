@@ -10,7 +10,7 @@ known by the token read last, and what it forbids follows from the gadgets:
 * v is forbidden after u from the merge on. With u = v, w is too: the left pair merges first.
 
 The sets of forbidden tokens are kept in that form (parents and time of making), which is linear in
-the merges, and arcs are looked up through a table that remembers them.
+the merges and does not grow, and arcs are looked up through a table that remembers them.
 
 The tokens that may come next are compiled into the table of a trie. Words that a batch meets for the first
 time are read side by side, one arc of each at a time. Long ones, and those that need many tries, are read
@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,12 +39,12 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 
 #: Entries of the tables that workers keep of what they have met. A full table of pieces is set aside, for those
 #: met again to return from, until the next is full; a full table of arcs starts anew.
-PIECES_KEPT = 150_000
+PIECES_KEPT = 100_000
 ARCS_KEPT = 500_000
 #: Bits of the number of arcs kept for words that are read side by side; a new one takes the place of an old one.
 ARC_BITS = 21
 #: Pieces that are read side by side, and characters of the longest of them.
-PIECES_AT_ONCE = 20_000
+PIECES_AT_ONCE = 5_000
 LONGEST_PIECE = 64
 #: Arcs that are tried for a word before it is read alone, where dead ends are remembered.
 MOST_TRIES = 512
@@ -92,19 +93,21 @@ class MergeAutomaton:
 
     def __init__(self, vocabulary: Vocabulary):
         self.labels = dict(vocabulary.tokens)
-        self._made: dict[int, int] = {}
-        self._parents: dict[int, tuple[int, int]] = {}
-        self._merged: dict[tuple[int, int], int] = {}
-        self._spines: tuple[dict, dict] = ({}, {})
-        self._arcs: dict[int, bool] = {}  # by state and token as one number, which is smaller than a pair
+        span = self._span = max(self.labels) + 1
+        # By token: its parts, -1 for none, and the merge that makes it.
+        self._parts: tuple[list[int], list[int]] = ([-1] * span, [-1] * span)
+        self._made = [NEVER] * span
+        # By two tokens as one number, which is smaller than a pair.
+        self._merged: dict[int, int] = {}
+        self._arcs: dict[int, bool] = {}
         dead = set()
         for rank, (u, v, w) in enumerate(vocabulary.merges):
-            if w in self._parents:
+            if self._made[w] != NEVER:
                 raise ValueError(f"two merges make token {w}")
             if u in dead or v in dead or self._forbidden(u, v):
                 dead.add(w)  # never read: its parts cannot follow each other
             self._gadget(rank, u, v, w)
-        self._ids = {label: i for i, label in self.labels.items() if i not in dead and (len(label) == 1 or i in self._parents)}
+        self._ids = {label: i for i, label in self.labels.items() if i not in dead and (len(label) == 1 or self._made[i] != NEVER)}
         self._lengths = self._candidate_lengths()
         self._compile()
 
@@ -118,8 +121,7 @@ class MergeAutomaton:
         for node, parent in zip(nodes, parents, strict=True):
             longest.append(self._ids.get(node, longest[parent] if parent >= 0 else -1))
         self._longest_token = np.array(longest, np.int64)
-        span = self._span = max(self.labels) + 1
-        self._size, self._shorter = np.zeros(span, np.int64), np.full(span, -1, np.int64)
+        self._size, self._shorter = np.zeros(self._span, np.int64), np.full(self._span, -1, np.int64)
         for label, token in self._ids.items():
             self._size[token] = len(label)
             parent = parents[number[label]]
@@ -145,27 +147,24 @@ class MergeAutomaton:
         return {start: tuple(sorted(lengths, reverse=True)) for start, lengths in found.items()}
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        self._parents[w] = (u, v)
+        self._parts[0][w], self._parts[1][w] = u, v
         self._made[w] = rank
-        self._merged[u, v] = rank
+        self._merged[u * self._span + v] = rank
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The symbols that stood at the token's left (0) or right (1) end, and until which merge."""
-        spine = self._spines[side].get(token)
-        if spine is None:
-            spine = [(token, NEVER)]
-            if token in self._parents:
-                (part, _), *rest = self._spine(self._parents[token][side], side)
-                spine += [(part, self._made[token]), *rest]
-            self._spines[side][token] = spine
+        part, made, until, spine = self._parts[side], self._made, NEVER, []
+        while token >= 0:
+            spine.append((token, until))
+            token, until = part[token], made[token]
         return spine
 
     def _forbidden(self, last: int, token: int) -> bool:
-        merged, starts = self._merged.get, self._spine(token, 0)
+        merged, span, starts = self._merged.get, self._span, self._spine(token, 0)
         for end, end_until in self._spine(last, 1):
             for start, start_until in starts:
                 # At the same merge the pair further left goes first.
-                if (rank := merged((end, start))) is not None and rank < end_until and rank <= start_until:
+                if (rank := merged(end * span + start)) is not None and rank < end_until and rank <= start_until:
                     return True
         return False
 
@@ -291,14 +290,14 @@ class MergeAutomaton:
 
 
 class _Pieces:
-    """Ids and spelling of pieces met so far, by their text without the leading space."""
+    """Ids, joined by commas, of pieces met so far, by their text without the leading space."""
 
     def __init__(self, codec: Codec, prefix: str):
         self._codec, self._prefix = codec, prefix
-        self._aside: dict[str, tuple[str, bytes]] = {}
-        self._known: dict[str, tuple[str, bytes]] = {}
+        self._aside: dict[str, str] = {}
+        self._known: dict[str, str] = {}
 
-    def of(self, wanted: set[str]) -> dict[str, tuple[str, bytes]]:
+    def of(self, wanted: set[str]) -> dict[str, str]:
         """A table that holds all wanted pieces, and others."""
         missing = [p for p in wanted if p not in self._known]
         if len(self._known) + len(missing) > PIECES_KEPT:
@@ -349,8 +348,8 @@ class Codec:
             return [text]
         return self._words.findall(text)
 
-    def read(self, pieces: Sequence[str], prefix: str) -> list[tuple[str, bytes]]:
-        """Ids joined by commas, and spelling, of each piece after ``prefix``. Long pieces and special strings are read one by one."""
+    def read(self, pieces: Sequence[str], prefix: str) -> list[str]:
+        """Ids joined by commas of each piece after ``prefix``. Long pieces and special strings are read one by one."""
         special = self._special_split.search if self._special_split else lambda text: None
         none = special("\n".join(pieces)) is None
         alone = [i for i, p in enumerate(pieces) if len(p) > LONGEST_PIECE or not none and special(p)]
@@ -361,48 +360,51 @@ class Codec:
         words = [[prefix + p] if p.isalpha() else findall(prefix + p) if p else () for p in together]
         tokens, counts = self.automaton.read_all([w.encode("utf-8", "surrogatepass") for ws in words for w in ws])
         ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, words)])]
-        found = list(zip(self._joined(self._names, tokens, ends, ","), self._joined(self._labels, tokens, ends, b""), strict=True))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self._names.take(pa.array(tokens))), ",")
+        _, cuts, content = joined.buffers()
+        cuts, whole = np.frombuffer(cuts, np.int32)[: len(ends)].tolist(), str(content, "ascii")
+        found = [whole[i:j] for i, j in zip(cuts, cuts[1:])]
         for i in alone:
-            path = self.ids(prefix + pieces[i])
-            found[i] = (",".join(map(str, path)), self.automaton.spell(path))
+            found[i] = ",".join(map(str, self.ids(prefix + pieces[i])))
         return found
 
-    @staticmethod
-    def _joined(written: pa.Array, tokens: np.ndarray, ends: np.ndarray, between: str | bytes) -> list:
-        """What is written for the tokens between each two ends, cut out of one buffer."""
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), written.take(pa.array(tokens))), between)
-        _, cuts, content = joined.buffers()
-        cuts = np.frombuffer(cuts, np.int32)[: len(ends)].tolist()
-        whole = content.to_pybytes() if isinstance(between, bytes) else str(content, "ascii")
-        return [whole[i:j] for i, j in zip(cuts, cuts[1:])]
-
     def _cut(self, text: str) -> list[str]:
         """Pieces that make up the text with a space before each but the first, and can be encoded one by one."""
         return self._CUT.split(text) if self._LOOSE_SPACE.search(text) else text.split(" ")
 
-    def pieces(self, texts: Sequence[str]) -> Iterator[list[tuple[str, bytes]]]:
-        """Ids joined by commas, and spelling, of the pieces that make up each text."""
+    def encoded(self, texts: Sequence[str]) -> list[str]:
+        """For each text its ids joined by commas."""
         cut = [self._cut(t) for t in texts]
         first = self._first.of({pieces[0] for pieces in cut if pieces[0]})
         later = self._later.of(set().union(*(pieces[1:] for pieces in cut)))
+        found = []
         for start, *rest in cut:
-            found = [later[p] for p in rest]
-            yield [first[start], *found] if start else found
+            ids = [later[p] for p in rest]
+            found.append(",".join([first[start], *ids] if start else ids))
+        return found
+
+    def decoded(self, encoded: Sequence[str]) -> list[str]:
+        """The texts that ids joined by commas decode to."""
+        ids = pc.split_pattern(pa.array([e for e in encoded if e], pa.large_string()), ",")
+        labels = pa.ListArray.from_arrays(ids.offsets, self._labels.take(ids.flatten().cast(pa.int32())))
+        texts = iter(pc.binary_join(labels, b"").to_pylist())
+        return [next(texts).decode("utf-8", "replace") if e else "" for e in encoded]
 
     def round_trips(self, texts: Sequence[str]) -> Iterator[tuple[str, str]]:
         """For each text its ids joined by commas, and the text they decode to."""
-        for pieces in self.pieces(texts):
-            yield ",".join([p[0] for p in pieces]), b"".join([p[1] for p in pieces]).decode("utf-8", "replace")
+        encoded = self.encoded(texts)
+        return zip(encoded, self.decoded(encoded), strict=True)
 
     def round_trip(self, text: str) -> tuple[str, str]:
         """Ids joined by commas, and the text they decode to."""
-        return next(self.round_trips([text]))
+        return next(iter(self.round_trips([text])))
 
 
-def _codec(vocabulary: Vocabulary) -> Codec:
-    """One automaton per worker."""
-    key = ("bpe", len(vocabulary.tokens), hash(vocabulary.merges), tuple(vocabulary.special))
-    return kept_by_worker(key, lambda: Codec(vocabulary))
+def _codec(vocabulary: Vocabulary) -> Callable[[], Codec]:
+    """One automaton per worker. The vocabulary travels packed and is unpacked for that alone, not by every task."""
+    packed = pickle.dumps(vocabulary)
+    key = ("bpe", hashlib.sha256(packed).hexdigest())
+    return lambda: kept_by_worker(key, lambda: Codec(pickle.loads(packed)))
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -426,11 +428,11 @@ def digest(df: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: Seq
     """
     given = df.select(*(f"`{c}`" for c in carry), df[f"`{text}`"].alias("_text"))
     schema = fields(given, ["_text"], n_tokens="long", ids_sha256="string", decoded_sha256="string")
+    codec = _codec(vocabulary)
 
     def run(batch):
-        codec = _codec(vocabulary)
         counts, id_digests, text_digests = [], [], []
-        for ids, decoded in codec.round_trips([t or "" for t in batch.column("_text").to_pylist()]):
+        for ids, decoded in codec().round_trips([t or "" for t in batch.column("_text").to_pylist()]):
             counts.append(ids.count(",") + 1 if ids else 0)
             id_digests.append(hashlib.sha256(ids.encode()).hexdigest())
             text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
@@ -441,7 +443,7 @@ def digest(df: DataFrame, vocabulary: Vocabulary, text: str = "text", carry: Seq
 
 
 def _encode_column(codec: Codec, texts: list) -> list:
-    return [[int(i) for p in pieces for i in p[0].split(",")] for pieces in codec.pieces([t or "" for t in texts])]
+    return [[int(i) for i in ids.split(",")] if ids else [] for ids in codec.encoded([t or "" for t in texts])]
 
 
 def _decode_column(codec: Codec, rows: list) -> list:
@@ -452,9 +454,10 @@ def _decode_column(codec: Codec, rows: list) -> list:
 def _mapped(df: DataFrame, vocabulary: Vocabulary, column: str, name: str, kind: str, function) -> DataFrame:
     kept = [c for c in df.columns if c != name]
     given = df.select(*(f"`{c}`" for c in kept), df[f"`{column}`"].alias("_input"))
+    codec = _codec(vocabulary)
 
     def run(batch):
         out = {c: batch.column(c) for c in kept}
-        return out | {name: function(_codec(vocabulary), batch.column("_input").to_pylist())}
+        return out | {name: function(codec(), batch.column("_input").to_pylist())}
 
     return map_batches(given, run, fields(given, ["_input"], **{name: kind}))

@@ -95,13 +95,18 @@ def kept_by_worker(key: tuple, make: Callable[[], object]):
         if _kept:
             _kept.clear()
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)  # what was freed goes back to the machine
+            _give_back()
         _kept[key] = make()
     return _kept[key]
 
 
+def _give_back() -> None:
+    """What was freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in parts of bounded rows and bytes; a row that is larger comes alone."""
     half = batch.num_rows // 2
@@ -113,7 +118,10 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: T.StructType) -> DataFrame:
-    """Apply ``function`` to Arrow batches; it returns the output columns by name, as Arrow arrays or lists."""
+    """Apply ``function`` to Arrow batches; it returns the output columns by name, as Arrow arrays or lists.
+
+    A worker lets go of a batch before it reads the next one, and of what a task has freed when the task ends.
+    """
     importable(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
@@ -121,6 +129,8 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schem
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_pydict(function(part), schema=arrow)
+            batch = part = None
+        _give_back()
 
     return df.mapInArrow(run, schema)
 

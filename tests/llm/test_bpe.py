@@ -1,11 +1,15 @@
 import hashlib
+import pickle
 import random
+import tracemalloc
+import weakref
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from aforo.llm import bpe
+from aforo.llm import bpe, common
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -146,6 +150,46 @@ def test_full_tables_lose_nothing(library, vocabulary, monkeypatch):
             assert decoded == text
 
 
+def test_memory_of_a_worker(vocabulary, monkeypatch):
+    """Reading new words leaves the automaton as large as it is, and a remembered piece takes few bytes."""
+    codec, rnd = bpe.Codec(vocabulary), random.Random(12)
+    before = len(pickle.dumps(codec.automaton))
+    pieces = ["".join(rnd.choices("etaoinshrdlu", k=9)) for _ in range(20_000)]
+    tracemalloc.start()
+    try:
+        assert list(codec.round_trips([" ".join(["", *pieces])]))[0][1] == " ".join(["", *pieces])
+        held = tracemalloc.get_traced_memory()[0] - sum(map(len, pieces))
+    finally:
+        tracemalloc.stop()
+    assert len(pickle.dumps(codec.automaton)) == before
+    # An object of the text with the piece, one with its ids, and their place in the table.
+    assert held < 220 * len(set(pieces))
+
+
+def test_a_batch_goes_before_the_next_comes(spark):
+    class Table:
+        sparkSession = spark
+
+        @staticmethod
+        def mapInArrow(run, schema):
+            return run
+
+    seen = []
+
+    def made(i):
+        batch = pa.RecordBatch.from_pydict({"x": [i] * 3000})
+        seen.append(weakref.ref(batch))
+        return batch
+
+    def batches():
+        for i in range(3):
+            assert all(batch() is None for batch in seen)
+            yield made(i)
+
+    run = common.map_batches(Table, lambda batch: {"x": batch.column("x")}, common.fields(spark.createDataFrame([], "x long")))
+    assert [x for part in run(batches()) for x in part.column("x").to_pylist()] == [0] * 3000 + [1] * 3000 + [2] * 3000
+
+
 def test_frames(frame, vocabulary, library):
     rows = [(1, "Hello there", "t"), (1, "Hello there", "t"), (None, None, None), (3, "", ""), (4, "x" * 300_000 + " <|endoftext|>", "u")]
     df = frame("doc_id long, text string, token_ids string", rows)
